@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("joins", "rows", "groups", "scalars", "history")
+MODULES = ("joins", "rows", "groups", "scalars", "history", "checks", "graphs", "synthetic", "files", "streams")
 
 
 def load():

@@ -88,7 +88,8 @@ def diff_date(t):
     "f015_diff_order_ship",
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, date_diff('year', o_orderdate, l_shipdate) AS years,
        date_diff('month', o_orderdate, l_shipdate) AS months, date_diff('day', o_orderdate, l_shipdate) AS days,
-       date_sub('month', o_orderdate, l_shipdate) AS whole_months FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+       date_diff('month', o_orderdate, l_shipdate) - CASE WHEN l_shipdate >= o_orderdate AND day(l_shipdate) < day(o_orderdate) THEN 1
+         WHEN l_shipdate < o_orderdate AND day(l_shipdate) > day(o_orderdate) THEN -1 ELSE 0 END AS whole_months FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 )
 def diff_order_ship(t):
     rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))

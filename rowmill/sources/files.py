@@ -119,7 +119,10 @@ def read_lake_path(spark: SparkSession, uri: str, file_format: str, **options) -
     return READERS[file_format](spark, uri, **options)
 
 
-def load_as_table(spark: SparkSession, path: str, file_format: str, name: str, **options) -> int:
+def load_as_table(
+    spark: SparkSession, path: str, file_format: str, name: str, location: str | None = None, **options
+) -> int:
     """Create or replace a table from files and give its row count."""
-    READERS[file_format](spark, path, **options).write.mode("overwrite").saveAsTable(name)
+    writer = READERS[file_format](spark, path, **options).write.mode("overwrite")
+    (writer.option("path", location) if location else writer).saveAsTable(name)
     return spark.table(name).count()

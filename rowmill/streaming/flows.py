@@ -108,9 +108,10 @@ def version_path(target: str, number: int) -> str:
     return f"{target.rstrip('/')}/version-{number:09d}"
 
 
-def latest_version(spark: SparkSession, target: str, query: StreamingQuery) -> DataFrame:
+def latest_version(spark: SparkSession, target: str, query: StreamingQuery, base: DataFrame) -> DataFrame:
     """The table after the last finished batch of a stopped query."""
-    return spark.read.parquet(version_path(target, query.lastProgress["batchId"]))
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
+    return spark.read.schema(base.schema).parquet(version_path(target, max(done))) if done else base
 
 
 def stream_merge(

@@ -16,7 +16,7 @@ from rowmill.plans import load  # noqa: E402
 
 def main(folder="/root/testdata/sf0.001", *parts):
     queries, sql = load()
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle.connect(folder)
     bad = 0

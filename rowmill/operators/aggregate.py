@@ -94,34 +94,55 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
     )
 
 
+def sliced_list(
+    df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ",", order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """One text per group, built from one part per (slice, group): no task gathers the rows of a group,
+    the last step only joins a group's parts."""
+    parts = _list_parts(df, keys, column, separator, order_by)
+    whole = F.transform(F.array_sort(F.collect_list(F.struct(SLICE, "_part"))), lambda p: p["_part"])
+    return parts.groupBy(*keys).agg(F.array_join(whole, separator).alias(name))
+
+
+def _list_parts(df: DataFrame, keys: Sequence[str], column: str, separator: str, order_by: Sequence[str] | None) -> DataFrame:
+    order = list(order_by or [column])
+    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, column]) if c not in keys])
+    sliced = ordered_slices(rows.where(F.col(column).isNotNull()), [*keys, *order])
+    return sliced.groupBy(SLICE, *keys).agg(_listed(column, [POS], separator).alias("_part"))
+
+
 def aggregate(
     df: DataFrame,
     keys: Sequence[str],
     operations: Sequence[Operation],
     order_by: Sequence[str] | None = None,
     separator: str = ",",
-    median: str = "ranked",
+    gather: str = "sliced",
 ) -> DataFrame:
     """Group by ``keys`` (none: one row) and apply ``(input, function, output)`` operations.
 
-    ``median="ranked"`` computes medians over slices; ``"hash"`` uses the built-in function, which
-    holds every distinct value of a group in memory and suits columns with few distinct values.
+    Medians and lists need all values of a group. ``gather="sliced"`` computes them over a sorted copy,
+    so any group size works; ``gather="memory"`` uses functions that hold a group's values in one task,
+    which is quicker where groups are known to be small.
     """
-    medians = [o for o in operations if o[1].lower() == "median"]
-    if median == "hash":
-        ranked, direct = [], [(c, f, o) for c, f, o in operations]
-    else:
-        ranked, direct = medians, [o for o in operations if o not in medians]
+    if gather not in ("sliced", "memory"):
+        raise ValueError("gather is sliced or memory")
+    whole = ("median", "list") if gather == "sliced" else ()
+    direct = [(c, f.lower(), o) for c, f, o in operations if f.lower() not in whole]
     columns = [
-        (F.median(c) if f.lower() == "median" else aggregate_column(c, f, order_by, separator)).alias(o)
-        for c, f, o in direct
+        (F.median(c) if f == "median" else aggregate_column(c, f, order_by, separator)).alias(o) for c, f, o in direct
     ]
     if columns:
         out = df.groupBy(*keys).agg(*columns)
     else:
         out = df.select(*keys).distinct() if keys else df.groupBy().agg(F.count("*").alias("_n")).drop("_n")
-    for column, _, name in ranked:
-        side = exact_median(df, keys, column, name)
+    for column, function, name in operations:
+        if function.lower() not in whole:
+            continue
+        if function.lower() == "median":
+            side = exact_median(df, keys, column, name)
+        else:
+            side = sliced_list(df, keys, column, name, separator, order_by)
         if keys:
             side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
             match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
@@ -138,24 +159,23 @@ def aggregate_sorted(df: DataFrame, keys: Sequence[str], operations: Sequence[Op
 
 def denormalize(
     df: DataFrame, keys: Sequence[str], column: str, separator: str = ",", dedup: bool = False,
-    order_by: Sequence[str] | None = None,
+    order_by: Sequence[str] | None = None, gather: str = "sliced",
 ) -> DataFrame:
     """One delimited text per key. With ``dedup`` equal values are removed before rows are gathered."""
     if dedup:
         df = df.select(*keys, column).distinct()
         order_by = None
-    return df.groupBy(*keys).agg(_listed(column, order_by, separator).alias(column))
+    return aggregate(df, keys, [(column, "list", column)], order_by, separator, gather)
 
 
 def denormalize_parts(
     df: DataFrame, keys: Sequence[str], column: str, separator: str = ",", order_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """As ``denormalize`` for keys too large for one cell: numbered parts that concatenate to the whole.
+    """As ``denormalize`` for keys whose text is too large for one cell: numbered parts that join to the whole.
 
-    A key is cut where the sorted table is cut, so no task gathers more than one slice of it.
+    A key is cut where the sorted table is cut, so a part is never larger than one slice.
     """
-    sliced = ordered_slices(df.select(*dict.fromkeys([*keys, column, *(order_by or [])])), [*keys, *(order_by or [column])])
-    parts = sliced.groupBy(SLICE, *keys).agg(_listed(column, [POS], separator).alias(column))
+    parts = _list_parts(df, keys, column, separator, order_by).withColumnRenamed("_part", column)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(SLICE))
     return parts.withColumn("part", number).select(*keys, "part", column)
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rowmill.operators.ordered import order_columns, ordered_slices, row_hash, running_total, with_position
 
-# Spark filters ranks before the shuffle up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
-_RANK_FILTER_LIMIT = 1000
+# Up to this rank every task keeps its own first rows of a key before the shuffle. The rows of one key
+# that meet in one task are then at most this many per task of the scan.
+_RANK_FILTER_LIMIT = 100
 
 
 def first_rows(

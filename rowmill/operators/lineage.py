@@ -73,19 +73,13 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     reads = materialize(access.where(F.col("access") == "read").select("job", "table_name").distinct(), "reads")
     writes = materialize(access.where(F.col("access") == "write").select("job", "table_name").distinct(), "writes")
     frontier = materialize(roots.select(F.col(column).alias("job")).distinct(), "frontier")
-    seen, seen_tables = [frontier], []
-    while True:
-        tables = frontier.join(reads, "job").select("table_name").distinct()
-        if seen_tables:
-            tables = tables.join(_union(seen_tables), "table_name", "left_anti")
-        tables = materialize(tables, "tables")
-        seen_tables.append(tables)
-        found = writes.join(tables, "table_name").select("job").distinct()
-        found = found.join(_union(seen), "job", "left_anti")
-        frontier = materialize(found, "frontier")
-        if frontier.isEmpty():
-            return _union(seen)
+    seen = []
+    while not frontier.isEmpty():
         seen.append(frontier)
+        tables = frontier.join(reads, "job").select("table_name").distinct()
+        writers = writes.join(tables, "table_name").select("job").distinct()
+        frontier = materialize(writers.join(_union(seen), "job", "left_anti"), "frontier")
+    return _union(seen or [frontier])
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -141,17 +135,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     waiting = materialize(
         nodes.select(F.col(name).alias("node")).unionAll(links.select("src")).unionAll(links.select("dst")).distinct(), "nodes"
     )
-    done, level = [], 0
+    done: list[DataFrame] = []
     while True:
+        left = waiting.join(_union(done).select("node"), "node", "left_anti") if done else waiting
         blocked = links.select(F.col("dst").alias("node")).distinct()
-        ready = materialize(waiting.join(blocked, "node", "left_anti"), "ready")
+        ready = left.join(blocked, "node", "left_anti").select("node", F.lit(len(done)).alias("level"))
+        ready = materialize(ready, "level")
         if ready.isEmpty():
-            rest = waiting.select("node", F.lit(None).cast("int").alias("level"))
-            return _union([*done, rest])
-        done.append(ready.select("node", F.lit(level).alias("level")))
-        waiting = materialize(waiting.join(ready, "node", "left_anti"), "nodes")
+            return _union([*done, left.select("node", F.lit(None).cast("int").alias("level"))])
+        done.append(ready)
         links = materialize(links.join(ready, F.col("src") == F.col("node"), "left_anti"), "links")
-        level += 1
 
 
 def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:

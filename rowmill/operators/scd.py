@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators.ordered import neighbour, ordered_slices, with_position
+from rowmill.session import materialize
 
 
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -105,6 +106,8 @@ def scd2(
     history = dim.where(~F.coalesce(F.col(current), F.lit(False))).select(*dim.columns)
     if surrogate is None:
         return history.unionAll(open_rows)
+    # Read three times below: by the numbering, by its sort and by the result.
+    open_rows = materialize(open_rows, "versions")
     added = assign_keys(open_rows.where(F.col(surrogate).isNull()), dim, surrogate, [*keys, start])
     return history.unionAll(open_rows.where(F.col(surrogate).isNotNull())).unionByName(added)
 

@@ -29,10 +29,16 @@ def write_xml(df: DataFrame, path: str, row_tag: str = "row", root_tag: str = "r
     df.write.mode(mode).format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
-    """Parquet. Tasks keep their rows, so a large partition value is written by many tasks."""
-    writer = df.write.mode(mode)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def write_parquet(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error", rebalance: bool = True
+) -> None:
+    """Parquet. With partition columns the rows are first gathered by them, so that a value gets few
+    files; adaptive execution splits a value that holds a large share of the rows over many tasks."""
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    gathered = df.hint("rebalance", *[F.col(c) for c in partition_by]) if rebalance else df
+    gathered.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def positional_line(fields: Sequence[tuple[str, int]], right: Sequence[str] = (), pad: Mapping[str, str] | None = None):

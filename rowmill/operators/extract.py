@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowmill.operators.reshape import explode_rows
+
 
 def extract_regex(df: DataFrame, column: str, pattern: str, names: Sequence[str]) -> DataFrame:
     """Capture groups to columns; NULL where the pattern does not match."""
@@ -40,7 +42,7 @@ def extract_json(
     source = F.col(column)
     if loop:
         items = F.from_json(F.get_json_object(source, loop), T.ArrayType(T.StringType()))
-        df = df.withColumn("_item", F.explode(items))
+        df = explode_rows(df, items, "_item")
         source = F.col("_item")
     out = df.withColumns({n: F.get_json_object(source, p) for n, p in paths.items()})
     return out.drop("_item")

@@ -1,7 +1,7 @@
 """Lookups: equality joins on expressions, matching modes, rejects, fuzzy and address-range lookups.
 
-No join here forces a broadcast. Adaptive execution broadcasts a side only when its measured size
-is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise splits skewed partitions.
+Joins on keys carry no broadcast hint. Spark broadcasts a side only when its size is below
+``spark.sql.autoBroadcastJoinThreshold``, and adaptive execution splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
@@ -82,16 +82,29 @@ def _full_lookup(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression],
     return left.unionAll(rest.select(*blanks, f"{name}.*"))
 
 
+# A keyless lookup up to this many rows and bytes, both measured, is sent to every task.
+SMALL_ROWS, SMALL_BYTES = 10_000, 1 << 20
+
+
+def _is_small(df: DataFrame) -> bool:
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    rows, size = df.select(size.alias("b")).limit(SMALL_ROWS + 1).agg(F.count("*"), F.sum("b")).first()
+    return rows <= SMALL_ROWS and (size or 0) <= SMALL_BYTES
+
+
 def keyless_lookup(main: DataFrame, ref: DataFrame, name: str = "lookup") -> DataFrame:
     """Every main row with every lookup row, as an equality join on a spread key.
 
-    Main rows are spread over as many keys as there are shuffle partitions and the lookup is copied
-    to each key, so the work divides evenly whatever the size of either side.
+    A lookup measured to be small is copied to every task and main stays where it is. A larger one
+    is copied to as many keys as there are shuffle partitions, over which main rows are spread evenly.
     """
-    spread = int(main.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = _is_small(ref)
+    spread = 4 if small else int(main.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = main.withColumn("_spread", F.pmod(row_hash(main), F.lit(spread)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     right = ref.withColumn("_copy", copies).alias(name)
+    # The size estimate of Spark does not count the copies, so the large case rules a broadcast out.
+    right = F.broadcast(right) if small else right.hint("merge")
     return left.join(right, F.col("_spread") == F.col(f"{name}._copy")).drop("_spread", "_copy")
 
 
@@ -152,10 +165,11 @@ def fuzzy_lookup(
     """
     left = main.select(F.col(column).alias("_a")).where(F.col("_a").isNotNull()).distinct()
     right = ref.select(F.col(ref_column).alias("_b")).where(F.col("_b").isNotNull()).distinct()
-    left = left.withColumn("_v", F.explode(_deletions(F.col("_a"), max_distance)))
-    right = right.withColumn("_v", F.explode(_deletions(F.col("_b"), max_distance)))
+    left = left.withColumn("_v", F.explode_outer(_deletions(F.col("_a"), max_distance)))
+    right = right.withColumn("_v", F.explode_outer(_deletions(F.col("_b"), max_distance)))
     near = (
-        left.join(right, "_v")
+        # Exploded sides are larger than their size estimates: no broadcast.
+        left.join(right.hint("merge"), "_v")
         .select("_a", "_b", F.levenshtein("_a", "_b", max_distance).alias(distance))
         .where(F.col(distance) >= 0)
         .distinct()
@@ -166,31 +180,30 @@ def fuzzy_lookup(
 
 def ip_number(text: Column) -> Column:
     """Dotted IPv4 address as a number; NULL when it is not one."""
-    parts = F.split(text, r"\.")
-    value = reduce(lambda acc, i: acc * 256 + F.get(parts, F.lit(i)).try_cast("bigint"), range(4), F.lit(0).cast("bigint"))
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    return F.when(text.rlike(rf"^({octet}\.){{3}}{octet}\z"), value)
+    octets = F.transform(F.split(text, r"\."), lambda p: F.when(p.rlike(r"^[0-9]{1,3}\z"), p.cast("bigint")))
+    number = F.aggregate(
+        octets, F.lit(0).cast("bigint"), lambda total, octet: F.when(octet <= 255, total * 256 + octet)
+    )
+    return F.when(F.size(octets) == 4, number)
 
 
 def locate_ip(
-    df: DataFrame, ip: Column, ranges: DataFrame, start: str, end: str, columns: Sequence[str]
+    df: DataFrame, address: str, ranges: DataFrame, start: str, end: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Left lookup of an address number in ``[start, end]`` ranges, as an equality join on /24 blocks.
+    """Left lookup of a dotted address column in ``[start, end]`` number ranges, as an equality join on /24 blocks.
 
-    Each distinct address is located once, so a block holds at most 256 of them however hot one
-    address is, and a range costs one row per /24 block it covers.
+    Each distinct address is parsed and located once, so a block holds at most 256 of them however
+    hot one address is, and a range costs one row per /24 block it covers.
     """
-    keyed = df.withColumn("_ip", ip)
-    block = 256
-    cover = F.sequence(F.floor(F.col(start) / block).cast("bigint"), F.floor(F.col(end) / block).cast("bigint"))
+    first, last = F.shiftright(F.col(start).cast("bigint"), 8), F.shiftright(F.col(end).cast("bigint"), 8)
     blocks = ranges.select(
-        F.col(start).alias("_start"), F.col(end).alias("_end"), *columns, F.explode(cover).alias("_block")
+        F.col(start).alias("_start"), F.col(end).alias("_end"), *columns, F.explode(F.sequence(first, last)).alias("_block")
     )
+    distinct = df.select(F.col(address).alias("_address")).distinct().withColumn("_ip", ip_number(F.col("_address")))
     found = (
-        keyed.select("_ip").where(F.col("_ip").isNotNull()).distinct()
-        .withColumn("_block", F.floor(F.col("_ip") / block).cast("bigint"))
-        .join(blocks, "_block")
+        distinct.withColumn("_block", F.shiftright("_ip", 8))
+        .join(blocks.hint("merge"), "_block")
         .where(F.col("_ip").between(F.col("_start"), F.col("_end")))
-        .select(F.col("_ip").alias("_found"), *columns)
+        .select("_address", *columns)
     )
-    return keyed.join(found, F.col("_ip") == F.col("_found"), "left").drop("_ip", "_found")
+    return df.join(found, F.col(address) == F.col("_address"), "left").drop("_address")

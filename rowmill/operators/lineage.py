@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.reshape import explode_rows
 from rowmill.session import materialize
 
-# Words that are never a table, and encoded characters in stored SQL.
+# Words that are never a table, and encoded white space in stored SQL.
 NOT_TABLES = ("dual", "select", "where", "and", "or")
-ENCODED = {"&#10;": "\n", "&#13;": "", "&#9;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "\\n": "\n", "\\t": " ", "`": ""}
-TABLE_REFERENCE = r"(?i)(?:FROM|JOIN)\s+([a-zA-Z_][\w.]*)"
+WHITE_SPACE = r"(?:\s|&#10;|&#9;|\\n|\\t)+"
+TABLE_REFERENCE = rf"(?i)(?:FROM|JOIN){WHITE_SPACE}([a-zA-Z_][\w.]*)"
 
 
 def table_name(raw: Column) -> Column:
@@ -24,22 +25,17 @@ def table_name(raw: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(bare, r"\."), -1)))
 
 
-def _decoded(sql: Column) -> Column:
-    for code, text in ENCODED.items():
-        sql = F.replace(sql, F.lit(code), F.lit(text))
-    return sql
-
-
 def tables_in_sql(sql: Column) -> Column:
-    """Distinct table names after FROM and JOIN in a query text."""
-    found = F.regexp_extract_all(_decoded(sql), F.lit(TABLE_REFERENCE), 1)
-    names = F.transform(found, table_name)
+    """Distinct table names after FROM and JOIN in a query text, which may hold encoded line ends."""
+    clean = F.replace(F.replace(sql, F.lit("`"), F.lit("")), F.lit("&#13;"), F.lit(""))
+    found = F.regexp_extract_all(clean, F.lit(TABLE_REFERENCE), 1)
+    names = F.transform(found, lambda n: F.lower(F.substring_index(n, ".", -1)))
     return F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.isin(*NOT_TABLES)))
 
 
 def extract_tables(df: DataFrame, column: str, name: str = "table_name") -> DataFrame:
     """One row per table a query text names."""
-    return df.withColumn(name, F.explode(tables_in_sql(F.col(column))))
+    return explode_rows(df, tables_in_sql(F.col(column)), name)
 
 
 def job_reads_writes(components: DataFrame) -> DataFrame:
@@ -50,9 +46,8 @@ def job_reads_writes(components: DataFrame) -> DataFrame:
     reads = F.col("kind").isin("DATA_SOURCE", "SQL_EXEC")
     tables = F.when(reads, F.array_union(queried, named)).when(F.col("kind") == "DATA_SINK", named)
     access = F.when(reads, "read").otherwise("write")
-    return components.select("job", access.alias("access"), F.explode(tables).alias("table_name")).where(
-        F.col("table_name") != ""
-    ).distinct()
+    named_rows = components.select("job", access.alias("access"), F.explode_outer(tables).alias("table_name"))
+    return named_rows.where(F.col("table_name") != "").distinct()
 
 
 def data_edges(access: DataFrame) -> DataFrame:
@@ -70,8 +65,9 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     one row per access and no writer-reader pair is built. Rounds are written out, and the loop
     stops when a round finds nothing new.
     """
-    reads = materialize(access.where(F.col("access") == "read").select("job", "table_name").distinct(), "reads")
-    writes = materialize(access.where(F.col("access") == "write").select("job", "table_name").distinct(), "writes")
+    access = materialize(access.select("access", "job", "table_name").distinct(), "access")
+    reads = access.where(F.col("access") == "read").select("job", "table_name")
+    writes = access.where(F.col("access") == "write").select("job", "table_name")
     frontier = materialize(roots.select(F.col(column).alias("job")).distinct(), "frontier")
     seen = []
     while not frontier.isEmpty():

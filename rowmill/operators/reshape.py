@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def explode_rows(df: DataFrame, items: Column, name: str, keep_empty: bool = False) -> DataFrame:
+    """One row per item of a computed list, in a new or existing column.
+
+    A plain ``explode`` lets Spark add filters that compute the list again; the outer form does not.
+    """
+    kept = [c for c in df.columns if c != name]
+    out = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer(items).alias("_item_no", name))
+    if not keep_empty:
+        out = out.where(F.col("_item_no").isNotNull())
+    order = df.columns if name in df.columns else [*df.columns, name]
+    return out.select(*[F.col(f"`{c}`") for c in order])
+
+
 def normalize(
     df: DataFrame, column: str, separator: str = ",", trim: bool = True, drop_empty: bool = False,
     regex: bool = False, keep_null: bool = False,
@@ -19,13 +32,12 @@ def normalize(
         items = F.transform(items, F.trim)
     if drop_empty:
         items = F.filter(items, lambda x: x != "")
-    explode = F.explode_outer if keep_null else F.explode
-    return df.withColumn(column, explode(items))
+    return explode_rows(df, items, column, keep_null)
 
 
 def array_flatten(df: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
     """One row per element of a list column."""
-    return df.withColumn(column, (F.explode_outer if keep_empty else F.explode)(column))
+    return explode_rows(df, F.col(column), column, keep_empty)
 
 
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}

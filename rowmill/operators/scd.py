@@ -102,7 +102,8 @@ def scd2(
         ),
         lambda v: v.isNotNull(),
     )
-    open_rows = now.select(F.inline(versions))
+    # The outer form computes the versions once; there is always one.
+    open_rows = now.select(F.inline_outer(versions))
     history = dim.where(~F.coalesce(F.col(current), F.lit(False))).select(*dim.columns)
     if surrogate is None:
         return history.unionAll(open_rows)

@@ -180,7 +180,7 @@ def p23(t):
     visits = t.events.select("event_id", dotted.alias("address"))
     low = F.lit(167772160) + F.col("s_suppkey") * 3000
     bounds = t.supplier.select("s_suppkey", low.alias("lo"), (low + 1999).alias("hi"))
-    out = joins.locate_ip(visits, joins.ip_number(F.col("address")), bounds, "lo", "hi", ["s_suppkey"])
+    out = joins.locate_ip(visits, "address", bounds, "lo", "hi", ["s_suppkey"])
     return out.select("event_id", "s_suppkey")
 
 

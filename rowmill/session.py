@@ -29,6 +29,15 @@ def build_session(app: str = "rowmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Give an existing session the defaults above where its launch configuration sets none."""
+    launched = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not launched.contains(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 

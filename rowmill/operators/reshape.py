@@ -29,7 +29,7 @@ def normalize(
     pattern = separator if regex else r"\Q" + separator + r"\E"
     items = F.split(F.col(column), pattern)
     if trim:
-        items = F.transform(items, F.trim)
+        items = F.transform(items, lambda item: F.trim(item))
     if drop_empty:
         items = F.filter(items, lambda x: x != "")
     return explode_rows(df, items, column, keep_null)

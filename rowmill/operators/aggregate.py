@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import POS, SLICE, ordered_slices, running_total
+from rowmill.operators.ordered import POS, SLICE, ordered_slices, row_hash, running_total
 
 Operation = tuple[str, str, str]  # (input column, function, output column)
 
@@ -106,7 +106,8 @@ def sliced_list(
 
 def _list_parts(df: DataFrame, keys: Sequence[str], column: str, separator: str, order_by: Sequence[str] | None) -> DataFrame:
     order = list(order_by or [column])
-    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, column]) if c not in keys])
+    # The hash of the whole row keeps copies of a value apart, so that they spread over slices.
+    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, column]) if c not in keys], row_hash(df).alias("_tie"))
     sliced = ordered_slices(rows.where(F.col(column).isNotNull()), [*keys, *order])
     return sliced.groupBy(SLICE, *keys).agg(_listed(column, [POS], separator).alias("_part"))
 

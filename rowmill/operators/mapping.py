@@ -37,7 +37,21 @@ def with_context(df: DataFrame, params: Mapping[str, Any]) -> DataFrame:
 
     The values are literals, so they fold into filters and reach the scan.
     """
-    return df.withColumn("context", F.struct(*[F.lit(v).alias(k) for k, v in params.items()]))
+    return df.withColumn("context", F.struct(*[F.lit(v).alias(k) for k, v in params.items()])) if params else df
+
+
+MAX_CONTEXT = 10_000
+
+
+def load_context(rows: DataFrame, name: str = "key", value: str = "value") -> dict[str, Any]:
+    """Parameters from ``(key, value)`` rows of a file or table, for ``with_context`` and ``read_query``.
+
+    Parameters are few by nature; more than ``MAX_CONTEXT`` rows is an error, not a cut.
+    """
+    found = rows.select(name, value).limit(MAX_CONTEXT + 1).collect()
+    if len(found) > MAX_CONTEXT:
+        raise ValueError(f"more than {MAX_CONTEXT} parameters")
+    return {r[0]: r[1] for r in found}
 
 
 def map_columns(

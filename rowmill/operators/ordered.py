@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.session import materialize
 
@@ -42,9 +43,21 @@ def reversed_columns(order: Sequence) -> list[Column]:
     return out
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def row_hash(df: DataFrame) -> Column:
-    """Hash over the whole row: a deterministic tie break that also splits equal sort keys."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """Hash over the whole row: a deterministic tie break that also splits equal sort keys.
+
+    Maps have no order of their own and stay out of the hash.
+    """
+    names = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in names]) if names else F.lit(0).cast("bigint")
 
 
 def ordered_slices(df: DataFrame, order: Sequence) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import neighbour, ordered_slices, with_position
+from rowmill.operators.ordered import neighbour, ordered_slices, row_hash, with_position
 from rowmill.session import materialize
 
 
@@ -158,7 +158,8 @@ def history_from_log(
     Runs over a sorted copy, so the log of one busy key spreads over many tasks.
     """
     columns = list(dict.fromkeys([*keys, ts, *order, *tracked]))
-    sliced = ordered_slices(log.select(*columns), [*keys, ts, *order])
+    # The hash of the whole row keeps entries of one moment apart, so that they spread over slices.
+    sliced = ordered_slices(log.select(*columns, row_hash(log).alias("_tie")), [*keys, ts, *order])
     before = neighbour(sliced, keys, F.struct(F.lit(1).alias("_seen"), *tracked), "_before")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_before.{c}")) for c in tracked])
     starts = before.where(F.col("_before").isNull() | ~same)

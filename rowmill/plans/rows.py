@@ -344,6 +344,16 @@ def p27(t):
     )
 
 
+@query(
+    "p27_load_context",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT max(c_acctbal) * 10 FROM customer) AND o_orderstatus = 'O'",
+)
+def p27_load(t):
+    rows = t.customer.agg(F.max("c_acctbal").alias("m")).select(F.lit("floor").alias("key"), (F.col("m") * 10).alias("value"))
+    rows = mapping.with_context(t.orders, mapping.load_context(rows))
+    return rows.where("o_totalprice >= context.floor AND o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
+
+
 @query("o01_sort", "SELECT n_nationkey, nullif(n_name, 'NATION_3') AS n_name, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def o01(t):
     rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))

@@ -74,6 +74,17 @@ def test_context_parameters_reach_the_scan(spark, sf):
     assert "EqualTo(o_orderstatus,F)" in plan
 
 
+def test_load_context(spark):
+    params = mapping.load_context(spark.createDataFrame([("floor", "3"), ("who", None)], "key string, value string"))
+    assert params == {"floor": "3", "who": None}
+    assert mapping.with_context(spark.range(1), {}).columns == ["id"]
+
+
+def test_map_columns_do_not_stop_the_sort(spark):
+    df = spark.range(5).withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    assert [r["n"] for r in dedup.sequence(df, "n", [("id", "desc")]).orderBy("id").collect()] == [5, 4, 3, 2, 1]
+
+
 def test_unknown_column_fails(spark):
     with pytest.raises(AnalysisException):
         mapping.map_columns(spark.range(1), {"a": "missing + 1"}).collect()

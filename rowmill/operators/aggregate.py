@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import POS, SLICE, ordered_slices, row_hash, running_total
+from rowmill.operators.ordered import POS, SLICE, ordered_slices, recomputed, row_hash, running_total, split_hot
 
 Operation = tuple[str, str, str]  # (input column, function, output column)
 
@@ -66,42 +66,48 @@ def aggregate_column(column: str, function: str, order_by: Sequence[str] | None
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median") -> DataFrame:
-    """Median of a numeric column per group, exact and without holding a group in one task.
+    """Median of a numeric column per group, exact for groups of any size.
 
-    Rows are first counted per (group, value). The counts are sorted over slices, and the one or
-    two middle values are the rows whose running count reaches the middle ranks.
+    Ordinary groups use the built-in function. Rows of large ones are counted per (group, value), the
+    counts are sorted over slices, and the middle values are where the running count reaches the middle ranks.
     """
-    value = F.col(column).cast("double")
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, value.alias("_value")).agg(F.count("*").alias("_n"))
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_value"))
+    cool, hot = split_hot(rows, keys)
+    plain = cool.groupBy(*keys).agg(F.median("_value").alias(name)) if keys else None
+    if hot is None:
+        return plain
+    counts = hot.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
     sliced = ordered_slices(counts, [*keys, "_value"])
     running = running_total(sliced, keys, F.col("_n"), "_upto")
     sizes = sliced.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    sizes = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_size")
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
-    middle = (
-        running.join(sizes, match)
-        if keys
-        else running.withColumn("_size", sizes.scalar())
-    )
+    if keys:
+        sizes = recomputed(sizes, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_size")
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        ranked = running.join(sizes, match)
+    else:
+        ranked = running.withColumn("_size", sizes.scalar())
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
     first = F.col("_upto") - F.col("_n") + 1
     holds = lambda rank: (rank >= first) & (rank <= F.col("_upto"))
     weight = F.when(holds(low), 1).otherwise(0) + F.when(holds(high), 1).otherwise(0)
-    return (
-        middle.where(holds(low) | holds(high))
-        .groupBy(*keys)
-        .agg((F.sum(F.col("_value") * weight) / 2).alias(name))
+    middle = (
+        ranked.where(holds(low) | holds(high)).groupBy(*keys).agg((F.sum(F.col("_value") * weight) / 2).alias(name))
     )
+    return plain.unionByName(middle) if keys else middle
 
 
-def sliced_list(
+def whole_list(
     df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ",", order_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """One text per group, built from one part per (slice, group): no task gathers the rows of a group,
-    the last step only joins a group's parts."""
-    parts = _list_parts(df, keys, column, separator, order_by)
+    """One text per group. Rows of large groups are gathered per (slice, group), and only the parts meet."""
+    cool, hot = split_hot(df, keys)
+    plain = cool.groupBy(*keys).agg(_listed(column, order_by, separator).alias(name)) if keys else None
+    if hot is None:
+        return plain
+    parts = _list_parts(hot, keys, column, separator, order_by)
     whole = F.transform(F.array_sort(F.collect_list(F.struct(SLICE, "_part"))), lambda p: p["_part"])
-    return parts.groupBy(*keys).agg(F.array_join(whole, separator).alias(name))
+    joined = parts.groupBy(*keys).agg(F.array_join(whole, separator).alias(name))
+    return plain.unionByName(joined) if keys else joined
 
 
 def _list_parts(df: DataFrame, keys: Sequence[str], column: str, separator: str, order_by: Sequence[str] | None) -> DataFrame:
@@ -122,9 +128,9 @@ def aggregate(
 ) -> DataFrame:
     """Group by ``keys`` (none: one row) and apply ``(input, function, output)`` operations.
 
-    Medians and lists need all values of a group. ``gather="sliced"`` computes them over a sorted copy,
-    so any group size works; ``gather="memory"`` uses functions that hold a group's values in one task,
-    which is quicker where groups are known to be small.
+    Medians and lists need all values of a group. ``gather="sliced"`` finds groups too large for one task
+    and computes those over a sorted copy; ``gather="memory"`` skips that check where groups are known
+    to be small.
     """
     if gather not in ("sliced", "memory"):
         raise ValueError("gather is sliced or memory")
@@ -143,7 +149,7 @@ def aggregate(
         if function.lower() == "median":
             side = exact_median(df, keys, column, name)
         else:
-            side = sliced_list(df, keys, column, name, separator, order_by)
+            side = whole_list(df, keys, column, name, separator, order_by)
         if keys:
             side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
             match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import order_columns, ordered_slices, row_hash, running_total, with_position
+from rowmill.operators.ordered import order_columns, ordered_slices, row_hash, running_total, split_hot, with_position
 
 # Up to this rank every task keeps its own first rows of a key before the shuffle. The rows of one key
 # that meet in one task are then at most this many per task of the scan.
@@ -19,18 +19,19 @@ def first_rows(
 ) -> DataFrame:
     """First ``n`` rows of each key in ``order``.
 
-    For small ``n`` each task keeps at most ``n`` rows per key before the shuffle. For large ``n``
-    the ranks come from a sorted copy, so a hot key does not land in one task.
+    For small ``n`` each task keeps at most ``n`` rows per key before the shuffle. For large ``n`` the
+    ranks of large keys come from a sorted copy, so a hot key does not land in one task.
     """
     parts = [F.lower(k) if k in ignore_case else F.col(k) for k in keys]
-    if n <= _RANK_FILTER_LIMIT:
-        window = Window.partitionBy(*parts).orderBy(*order_columns(order), row_hash(df))
-        return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
     groups = [f"_g{i}" for i in range(len(parts))]
     grouped = df.select("*", *[p.alias(g) for p, g in zip(parts, groups)])
-    sliced = ordered_slices(grouped, [*groups, *order])
-    ranked = running_total(sliced, groups, F.lit(1), "_rank")
-    return ranked.where(F.col("_rank") <= n).select(*df.columns)
+    cool, hot = (grouped, None) if n <= _RANK_FILTER_LIMIT else split_hot(grouped, groups)
+    window = Window.partitionBy(*groups).orderBy(*order_columns(order), row_hash(df))
+    kept = cool.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).select(*df.columns)
+    if hot is None:
+        return kept
+    ranked = running_total(ordered_slices(hot, [*groups, *order]), groups, F.lit(1), "_rank")
+    return kept.unionAll(ranked.where(F.col("_rank") <= n).select(*df.columns))
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence, case_sensitive: bool = True) -> DataFrame:
@@ -46,7 +47,10 @@ def sequence(df: DataFrame, name: str, order: Sequence, start: int = 1, step: in
 
 def sequence_within(df: DataFrame, name: str, keys: Sequence[str], order: Sequence) -> DataFrame:
     """Number the rows of each key 1, 2, ... also where one key holds a large share of the rows."""
-    sliced = ordered_slices(df, [*keys, *order])
-    return running_total(sliced, keys, F.lit(1).cast("bigint"), name).select(*df.columns, name)
-
-
+    cool, hot = split_hot(df, keys)
+    window = Window.partitionBy(*keys).orderBy(*order_columns(order), row_hash(df))
+    numbered = cool.withColumn(name, F.row_number().over(window).cast("bigint"))
+    if hot is None:
+        return numbered
+    ranked = running_total(ordered_slices(hot, [*keys, *order]), keys, F.lit(1).cast("bigint"), name)
+    return numbered.unionAll(ranked.select(*df.columns, name))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.operators.mapping import Expression, as_column
-from rowmill.operators.ordered import order_columns, reversed_columns, row_hash
+from rowmill.operators.ordered import order_columns, recomputed, reversed_columns, row_hash
 
 _HOW = {
     "inner": "inner",
@@ -62,7 +62,7 @@ def lookup(
     if match != "all":
         if match not in ("first", "unique") or not order:
             raise ValueError("match is all, first or unique; first and unique need an order")
-        ref = one_per_key(ref, list(on), order, last=match == "unique")
+        ref = recomputed(one_per_key(ref, list(on), order, last=match == "unique"), list(on))
     if kind == "full":
         return _full_lookup(main, ref, on, name)
     return main.join(ref.alias(name), _condition(name, on), kind)
@@ -76,6 +76,7 @@ def _full_lookup(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression],
     """
     left = main.join(ref.alias(name), _condition(name, on), "left")
     keys = main.select(*[as_column(e).alias(f"_m_{k}") for k, e in on.items()]).distinct()
+    keys = recomputed(keys, keys.columns)
     match = reduce(lambda a, b: a & b, [F.col(f"{name}.{k}") == F.col(f"_m_{k}") for k in on])
     rest = ref.alias(name).join(keys, match, "left_anti")
     blanks = [F.lit(None).cast(f.dataType).alias(f.name) for f in main.schema.fields]
@@ -116,7 +117,7 @@ def iterate_params(df: DataFrame, params: DataFrame, where: Expression = None, n
 
 def lookup_reject(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression], name: str = "lookup") -> DataFrame:
     """Main rows without any lookup match."""
-    keys = ref.select(*on).distinct()
+    keys = recomputed(ref.select(*on).distinct(), list(on))
     return main.join(keys.alias(name), _condition(name, on), "left_anti")
 
 

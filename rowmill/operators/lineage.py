@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.ordered import recomputed
 from rowmill.operators.reshape import explode_rows
 from rowmill.session import materialize
 
@@ -72,7 +73,7 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     seen = []
     while not frontier.isEmpty():
         seen.append(frontier)
-        tables = frontier.join(reads, "job").select("table_name").distinct()
+        tables = recomputed(frontier.join(reads, "job").select("table_name").distinct(), ["table_name"])
         writers = writes.join(tables, "table_name").select("job").distinct()
         frontier = materialize(writers.join(_union(seen), "job", "left_anti"), "frontier")
     return _union(seen or [frontier])
@@ -185,6 +186,7 @@ def classify(
         .join(by_suffix, "_name", "left")
         .select("_name", F.coalesce("_exact", "_by_suffix", F.lit(fallback)).alias(name))
     )
+    classes = recomputed(classes, ["_name"])
     return df.join(classes, F.col(column).eqNullSafe(F.col("_name")), "left").drop("_name").withColumn(
         name, F.coalesce(name, F.lit(fallback))
     )

@@ -3,11 +3,13 @@
 ``Window.partitionBy(key)`` sends every row of a key to one task, and a window without a key
 sends the whole table there. The helpers below sort the table by range instead, so a hot key
 spreads over many slices, and carry only one small row per (slice, key) across slice borders.
+``split_hot`` finds the keys that need this; all others keep the plain window or aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +73,36 @@ def ordered_slices(df: DataFrame, order: Sequence) -> DataFrame:
     return staged.withColumn(SLICE, F.shiftright(POS, _BITS))
 
 
+# Groups up to this many rows fit one task; larger ones go over slices.
+HOT_ROWS = 250_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (None when there are none).
+
+    Counts the rows per key first: a pass over the key columns that is combined before its shuffle.
+    Without keys the whole table is one group and counts as hot.
+    """
+    if not keys:
+        return df.limit(0), df
+    counts = df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).count()
+    large = counts.where(F.col("count") > (HOT_ROWS if limit is None else limit)).drop("count")
+    large = materialize(large, "hot")
+    if large.isEmpty():
+        return df, None
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    return df.join(large, match, "left_anti"), df.join(large, match, "left_semi")
+
+
+def recomputed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows with keys Spark takes for new ones.
+
+    A side that was grouped by its join key joins without a further shuffle, and then adaptive
+    execution cannot split a hot key of the other side. With recomputed keys both sides are shuffled.
+    """
+    return df.withColumns({k: F.when(F.col(k).isNotNull(), F.col(k)) for k in keys})
+
+
 def _slice_offsets(sliced: DataFrame) -> DataFrame:
     """Rows before each slice. One row per task of the sort, so its size is known and small."""
     spark = sliced.sparkSession

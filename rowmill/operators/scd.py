@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import neighbour, ordered_slices, row_hash, with_position
+from rowmill.operators.ordered import neighbour, order_columns, ordered_slices, row_hash, split_hot, with_position
 from rowmill.session import materialize
 
 
@@ -155,15 +155,25 @@ def history_from_log(
 ) -> DataFrame:
     """Validity intervals from an event log: one row per run of equal tracked values of a key.
 
-    Runs over a sorted copy, so the log of one busy key spreads over many tasks.
+    Ordinary keys use windows. Keys with a long log go over a sorted copy, spread over many tasks.
     """
     columns = list(dict.fromkeys([*keys, ts, *order, *tracked]))
-    # The hash of the whole row keeps entries of one moment apart, so that they spread over slices.
-    sliced = ordered_slices(log.select(*columns, row_hash(log).alias("_tie")), [*keys, ts, *order])
-    before = neighbour(sliced, keys, F.struct(F.lit(1).alias("_seen"), *tracked), "_before")
+    # The hash of the whole row orders entries of one moment and keeps them apart.
+    rows = log.select(*columns, row_hash(log).alias("_tie"))
+    seen = F.struct(F.lit(1).alias("_seen"), *tracked)
+    moment = F.struct(F.col(ts).alias("t"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_before.{c}")) for c in tracked])
-    starts = before.where(F.col("_before").isNull() | ~same)
-    bounded = neighbour(starts, keys, F.struct(F.col(ts).alias("t")), "_after", forward=True)
-    return bounded.select(
+    changed = F.col("_before").isNull() | ~same
+
+    cool, hot = split_hot(rows, keys)
+    window = Window.partitionBy(*keys).orderBy(*order_columns([ts, *order, "_tie"]))
+    starts = cool.withColumn("_before", F.lag(seen).over(window)).where(changed)
+    bounded = starts.withColumn("_after", F.lead(moment).over(window))
+    cells = [
         *keys, *tracked, F.col(ts).alias(start), F.col("_after.t").alias(end), F.col("_after").isNull().alias(current)
-    )
+    ]
+    if hot is None:
+        return bounded.select(*cells)
+    sliced = ordered_slices(hot, [*keys, ts, *order, "_tie"])
+    starts = neighbour(sliced, keys, seen, "_before").where(changed)
+    return bounded.select(*cells).unionAll(neighbour(starts, keys, moment, "_after", forward=True).select(*cells))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.operators import aggregate as agg
-from rowmill.operators import convert, dedup, extract, filtering, joins, lineage, mapping, quality, reshape, scd, sets, synth
+from rowmill.operators import convert, dedup, extract, filtering, joins, lineage, mapping, ordered, quality, reshape, scd, sets, synth
 from rowmill.operators.ordered import ordered_slices
 from rowmill.session import materialize
 from rowmill.types import declared_schema, spark_type
@@ -29,6 +29,14 @@ def hot(spark):
     return spark.createDataFrame(rows, "id bigint, key string, ts int, value double, state string").repartition(5).cache()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_limits():
+    """Groups above 100 rows count as hot, so that both ways are taken."""
+    before, ordered.HOT_ROWS = ordered.HOT_ROWS, 100
+    yield
+    ordered.HOT_ROWS = before
+
+
 def rows_of(df):
     return Counter(tuple(r) for r in df.collect())
 
@@ -170,6 +178,35 @@ def test_sample_ranges(hot, ranges):
     assert {r["id"] for r in filtering.sample_rows(hot, ["ts", "id"], ranges).collect()} == want
 
 
+def test_split_hot_finds_hot_and_null_keys(hot):
+    cool, large = ordered.split_hot(hot, ["key"], 30)
+    counts = Counter(r["key"] for r in hot.collect())
+    assert {r["key"] for r in large.select("key").distinct().collect()} == {k for k, n in counts.items() if n > 30} >= {"hot", None}
+    assert rows_of(cool) + rows_of(large) == rows_of(hot)
+    assert ordered.split_hot(hot, ["key"], 5000)[1] is None
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_results_do_not_depend_on_the_limit(hot, monkeypatch, limit):
+    calls = (
+        lambda: scd.history_from_log(hot, ["key"], "ts", ["state"], ["id"]),
+        lambda: agg.aggregate(hot, ["key"], [("value", "median", "m"), ("state", "list", "l")], order_by=["ts", "id"]),
+        lambda: dedup.sequence_within(hot, "n", ["key"], ["ts", "id"]),
+        lambda: dedup.first_rows(hot, 120, ["key"], ["ts", "id"]),
+    )
+    want = [rows_of(c()) for c in calls]
+    monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+    assert [rows_of(c()) for c in calls] == want
+
+
+def test_hot_main_key_is_split_beside_a_reduced_lookup(spark, hot):
+    ref = hot.select(F.col("key").alias("rk"), "ts", "id")
+    for df in (joins.lookup_reject(hot, ref, {"rk": "key"}), joins.lookup(hot, ref, {"rk": "key"}, "left", "first", ["ts", "id"])):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange hashpartitioning") + physical.count("BroadcastExchange") >= 2, plan
+
+
 # --- aggregates
 
 

@@ -156,7 +156,8 @@ def _deletions(text: Column, distance: int) -> Column:
 
 
 def fuzzy_lookup(
-    main: DataFrame, ref: DataFrame, column: str, ref_column: str, max_distance: int = 1, distance: str = "distance"
+    main: DataFrame, ref: DataFrame, column: str, ref_column: str, max_distance: int = 1, distance: str = "distance",
+    name: str = "lookup",
 ) -> DataFrame:
     """Main rows with every lookup row whose text is within ``max_distance`` edits.
 
@@ -176,7 +177,7 @@ def fuzzy_lookup(
         .distinct()
     )
     pairs = main.join(near, F.col(column) == F.col("_a")).drop("_a")
-    return pairs.join(ref, F.col("_b") == F.col(ref_column)).drop("_b")
+    return pairs.join(ref.alias(name), F.col("_b") == F.col(f"{name}.{ref_column}")).drop("_b")
 
 
 def ip_number(text: Column) -> Column:

@@ -70,9 +70,9 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     reads = access.where(F.col("access") == "read").select("job", "table_name")
     writes = access.where(F.col("access") == "write").select("job", "table_name")
     frontier = materialize(roots.select(F.col(column).alias("job")).distinct(), "frontier")
-    seen = []
+    seen: list[DataFrame] = []
     while not frontier.isEmpty():
-        seen.append(frontier)
+        seen = _with(seen, frontier)
         tables = recomputed(frontier.join(reads, "job").select("table_name").distinct(), ["table_name"])
         writers = writes.join(tables, "table_name").select("job").distinct()
         frontier = materialize(writers.join(_union(seen), "job", "left_anti"), "frontier")
@@ -86,6 +86,15 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+_MAX_PARTS = 16
+
+
+def _with(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """Parts of the rounds so far; many of them are written together, so that deep graphs keep small plans."""
+    parts = [*parts, new]
+    return [materialize(_union(parts), "rounds")] if len(parts) > _MAX_PARTS else parts
+
+
 def classify_jobs(access: DataFrame, jobs: DataFrame, connected: DataFrame) -> DataFrame:
     """``(job, status)``: ``connected``, ``data_dependent`` or ``dead``."""
     needed = needed_jobs(access, connected).select(F.col("job").alias("_needed"))
@@ -133,21 +142,23 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         nodes.select(F.col(name).alias("node")).unionAll(links.select("src")).unionAll(links.select("dst")).distinct(), "nodes"
     )
     done: list[DataFrame] = []
+    level = 0
     while True:
         left = waiting.join(_union(done).select("node"), "node", "left_anti") if done else waiting
         blocked = links.select(F.col("dst").alias("node")).distinct()
-        ready = left.join(blocked, "node", "left_anti").select("node", F.lit(len(done)).alias("level"))
+        ready = left.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level"))
         ready = materialize(ready, "level")
         if ready.isEmpty():
             return _union([*done, left.select("node", F.lit(None).cast("int").alias("level"))])
-        done.append(ready)
+        done = _with(done, ready)
+        level += 1
         links = materialize(links.join(ready, F.col("src") == F.col("node"), "left_anti"), "links")
 
 
 def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``max_depth``: the largest shortest distance from any single root.
 
-    ``distance(root, node)`` pairs grow breadth first from every root.
+    Breadth first from every root; the work is one row per root and node it reaches.
     """
     links = materialize(edges.select("src", "dst").distinct(), "links")
     roots = degrees(nodes, links).where(F.col("in_degree") == 0).select(F.col("node").alias("root"), "node")
@@ -158,7 +169,7 @@ def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = materialize(step.join(_union(seen), ["root", "node"], "left_anti"), "depth")
         if frontier.isEmpty():
             return links.sparkSession.range(1).select(F.lit(depth).cast("bigint").alias("max_depth"))
-        seen.append(frontier)
+        seen = _with(seen, frontier)
         depth += 1
 
 

@@ -12,7 +12,7 @@ def spark():
 
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.sql.shuffle.partitions": "5", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
            # Small tables keep all their slices, so that work across slice borders is tested.
            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.ui.showConsoleProgress": "false"},
     )

@@ -315,7 +315,7 @@ def test_keyless_lookup_small_and_large(spark, monkeypatch, limit):
 words = st.text(alphabet="abc", min_size=0, max_size=5)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(words, min_size=1, max_size=12), st.lists(words, min_size=1, max_size=12), st.integers(0, 2))
 def test_fuzzy_lookup_finds_exactly_the_near_pairs(spark, left, right, limit):
     def distance(a, b):
@@ -547,6 +547,20 @@ def test_levels_and_depth(spark):
     assert lineage.max_depth(nodes, edges).first()["max_depth"] == 3
 
 
+def test_deep_chain(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "_MAX_PARTS", 2)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    nodes = spark.createDataFrame([("n0",)], "node string")
+    assert {r["node"]: r["level"] for r in lineage.levels(nodes, edges).collect()} == {f"n{i}": i for i in range(7)}
+
+
+def test_fuzzy_lookup_with_equal_column_names(spark):
+    main = spark.createDataFrame([(1, "abc")], "id int, name string").alias("row1")
+    ref = spark.createDataFrame([(9, "abd")], "id int, name string")
+    out = joins.fuzzy_lookup(main, ref, "row1.name", "name").select("row1.id", F.col("lookup.id").alias("other"), "distance")
+    assert [tuple(r) for r in out.collect()] == [(1, 9, 1)]
+
+
 def test_classify_longest_suffix(spark):
     exact = spark.createDataFrame([("AXInput", "E")], "name string, class string")
     suffix = spark.createDataFrame([("put", "S"), ("Input", "L")], "suffix string, class string")

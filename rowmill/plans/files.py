@@ -127,13 +127,9 @@ def s17(t):
     return tables.run_sql(t.spark, "SELECT o_orderstatus, count(*) AS n FROM rowmill_orders GROUP BY o_orderstatus")
 
 
-def _uri(path):
-    return path if ":" in path.split("/")[0] else f"file:{path}"
-
-
 @query("s18_k11_lake_path", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s18(t):
-    uri = _uri(scratch_path(t.spark, "lake"))
+    uri = scratch_path(t.spark, "lake")
     out.write_lake_path(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), uri, "parquet")
     return src.read_lake_path(t.spark, uri, "parquet")
 

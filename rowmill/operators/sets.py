@@ -19,17 +19,26 @@ def unite(flows: Sequence[DataFrame], by: str = "position") -> DataFrame:
     raise ValueError("by is position or name")
 
 
+# Copies of one row that a task writes in one go.
+COPIES = 100_000
+
+
 def intersect(left: DataFrame, right: DataFrame, all: bool = False) -> DataFrame:
-    """Rows in both flows, NULLs equal.
+    """Rows in both flows, NULLs equal; with ``all`` as many copies as the side with fewer has.
 
-    The distinct form is one grouped union: equal rows collapse before the shuffle, where a semi
-    join would send every copy of a frequent row to one task.
+    One grouped union: equal rows collapse before the shuffle, where a semi join would send every
+    copy of a frequent row to one task. Copies come back in blocks that spread over tasks.
     """
-    if all:
-        return left.intersectAll(right)
-    both = left.withColumn("_side", F.lit(1)).unionAll(right.withColumn("_side", F.lit(2)))
-    sides = both.groupBy(*left.columns).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high"))
-    return sides.where((F.col("_low") == 1) & (F.col("_high") == 2)).drop("_low", "_high")
+    names = left.columns
+    both = left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}).unionAll(right.withColumns({"_l": F.lit(0), "_r": F.lit(1)}))
+    sides = both.groupBy(*names).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    shared = sides.select(*names, F.least("_l", "_r").alias("_n")).where(F.col("_n") > 0)
+    if not all:
+        return shared.drop("_n")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES).cast("bigint"))
+    spread = shared.withColumn("_block", F.explode(blocks)).repartition(*names, "_block")
+    left_over = F.least(F.col("_n") - F.col("_block") * COPIES, F.lit(COPIES).cast("bigint"))
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left_over))).select(*names)
 
 
 def replicate(df: DataFrame, n: int, keep: bool = False) -> list[DataFrame]:

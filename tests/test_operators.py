@@ -358,6 +358,13 @@ def test_intersect_matches_the_built_in(hot):
     assert rows_of(sets.intersect(a, b)) == rows_of(a.intersect(b))
 
 
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_intersect_all_matches_the_built_in(hot, monkeypatch, block):
+    monkeypatch.setattr(sets, "COPIES", block)
+    a, b = hot.select("key", "state"), hot.where("value > 400").select("key", "state")
+    assert rows_of(sets.intersect(a, b, all=True)) == rows_of(a.intersectAll(b))
+
+
 def test_unite_counts(hot):
     assert sets.unite([hot, hot, hot]).count() == 9000
 

@@ -202,10 +202,10 @@ def patch_foreign_key(
     """
     kind = child.schema[child_column].dataType
     values = parent.select(F.col(parent_column).alias("v")).where(F.col(parent_column).isNotNull()).distinct()
-    shared = values.select(F.col("v").cast("string").alias("v")).join(
-        child.select(F.col(child_column).cast("string").alias("v")), "v", "left_semi"
-    )
-    overlap = shared.limit(1).agg(F.count("*").alias("n")).scalar() > 0
+    # Both sides are reduced to distinct values, so a frequent value is one row here.
+    used = child.select(F.col(child_column).cast("string").alias("v")).distinct()
+    if not values.select(F.col("v").cast("string").alias("v")).join(used, "v", "left_semi").isEmpty():
+        return child
     numbered = with_position(child, order, "_n", start=0)
     if pool is not None:
         # At most ``pool`` values, so the list is a constant of known size.
@@ -219,5 +219,5 @@ def patch_foreign_key(
         patched = numbered.withColumn("_slot", F.col("_n") % size).join(
             ranked.select(F.col("v").alias("_new"), F.col("_i").alias("_slot")), "_slot", "left"
         )
-    value = F.when(overlap, F.col(child_column)).otherwise(F.coalesce(F.col("_new").cast(kind), F.col(child_column)))
+    value = F.coalesce(F.col("_new").cast(kind), F.col(child_column))
     return patched.withColumn(child_column, value).select(*child.columns)

@@ -93,7 +93,8 @@ def versioned_sink(target: str, merge: Callable[[DataFrame, DataFrame], DataFram
     """``foreachBatch`` function that merges each micro-batch into a table kept as versions.
 
     Batch n reads version n-1 and writes version n; a repeated batch overwrites its own version, so
-    a restart gives the same table. ``base`` is the table before the first batch.
+    a restart gives the same table. ``base`` is the table before the first batch. Every batch writes
+    the whole table: choose a trigger interval that suits its size.
     """
 
     def run(batch: DataFrame, number: int) -> None:

@@ -519,6 +519,19 @@ def test_every_text_rule_gives_text(spark):
     assert all(v is not None for v in row)
 
 
+def test_patch_foreign_key(spark):
+    parent = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "k string")
+    child = spark.createDataFrame([(i, "zz") for i in range(5)], "id int, ref string")
+    got = [r["ref"] for r in synth.patch_foreign_key(parent, "k", child, "ref", ["id"]).orderBy("id").collect()]
+    assert got == ["a", "b", "a", "b", "a"]
+    assert [r["ref"] for r in synth.patch_foreign_key(parent, "k", child, "ref", ["id"], pool=1).collect()] == ["a"] * 5
+    assert [r["ref"] for r in synth.patch_foreign_key(parent, "k", child, "ref", ["id"], pool=None).orderBy("id").collect()] == got
+    kept = child.unionAll(spark.createDataFrame([(9, "b")], child.schema))
+    assert rows_of(synth.patch_foreign_key(parent, "k", kept, "ref", ["id"])) == rows_of(kept)
+    none = synth.patch_foreign_key(parent.where("false"), "k", child, "ref", ["id"])
+    assert rows_of(none) == rows_of(child)
+
+
 def test_reconcile_and_unique_columns(spark):
     out = synth.reconcile(spark.createDataFrame([(1,)], "A int"), ["a", "b", "B"])
     assert out.columns == ["A", "b"]

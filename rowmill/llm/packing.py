@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ WINDOW = 2048
 END_ID = 1
 # Windows still open at the end of a partition with more than this many free places are merged and cut again.
 SLACK = 20
-_CACHE = 300_000  # distinct words whose ids a Python worker keeps; beyond that it starts afresh
-_KEEP = 24  # bytes; longer words are not worth keeping
+_CACHE = 1_000_000  # distinct words whose ids a Python worker keeps; beyond that it starts afresh
+_KEEP = 24  # characters; longer words are not worth keeping
+# ASCII punctuation: a run of it behind a word is one unit of the tokenizer.
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _WORKER: dict = {}
 
@@ -30,36 +32,81 @@ class Words:
     """Ids of texts as little-endian bytes, word by word.
 
     The tokenizer never joins characters over a space or line break, so a text's ids are those of its words in order.
+    Words of Latin letters, in any case and with punctuation behind, share the ids of the lower-case word;
+    those are looked up many at a time by the same model without its normaliser, which would not change them. All other
+    words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        # Ids that end a word.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.tails = {"": b""}
         self.ids: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of any words, by the whole tokenizer."""
         out = {}
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
             owner = np.array(found.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            out.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:]))
+        return out
+
+    def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of Latin letters: each ends in the one id that ends a word."""
+        out = {}
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
             raw = ids.tobytes()
             out.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:]))
         return out
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Add the ids of new words to ``ids``."""
+        ids, shared, other = self.ids, [], []
+        for w in words:
+            body = w.rstrip(_MARKS)
+            tail, low = w[len(body) :], body.lower()
+            if body.isalpha() and (body.isascii() or low.isalpha() and max(body) < "\u0250"):
+                if tail not in self.tails:
+                    if len(self.tails) > _CACHE:
+                        self.tails = {"": b""}
+                    self.tails.update(self._learn([tail]))
+                shared.append((w, low, self.tails[tail]))
+            else:
+                other.append(w)
+        ids.update(self._learn(other))
+        ids.update(self._learn_plain([low for low in dict.fromkeys(x[1] for x in shared) if low not in ids]))
+        for w, low, tail in shared:
+            ids[w] = ids[low] + tail
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.ids) > _CACHE:
             self.ids.clear()
-        new = [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.ids]
-        learnt = self.learn([w for w in new if w])
-        self.ids.update((w, b) for w, b in learnt.items() if len(w) <= _KEEP)
         self.ids[""] = b""
         get = self.ids.get
-        return [b"".join([get(w) if w in self.ids else learnt[w] for w in s]) for s in split]
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(get, s)) for s in split]
+        missing = {w for s, f in zip(split, found) if None in f for w, x in zip(s, f) if x is None}
+        self.learn(missing)
+        ids = self.ids
+        out = [b"".join([ids[w] if x is None else x for w, x in zip(s, f)] if None in f else f) for s, f in zip(split, found)]
+        for w in missing:
+            if len(w) > _KEEP:
+                del self.ids[w]
+        return out
 
 
 class Levels:

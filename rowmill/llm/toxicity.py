@@ -26,7 +26,7 @@ MAX_ROWS = 4000
 DISCOUNT = 0.75  # of the shared counts; class counts have a discount of 1
 POWER = 2.0
 THRESHOLD = 0.7
-# Every fourth sample row fits the curve.
+# Every fourth sample row of a class fits the curve.
 _HOLD = 4
 _BLOCK = 1 << 20
 _START = np.uint64(0x51A7)  # context of a text's first word
@@ -66,7 +66,7 @@ class Model:
             part = w[at : at + _BLOCK]
             i = np.searchsorted(self.words, part)
             i[i == len(self.words)] = 0
-            total += float(np.exp(power * np.where(self.words[i] == part, self.ratio[i], 0.0)).sum())
+            total += float(np.exp(power * np.where(self.words[i] == part, self.ratio[i].astype(np.float64), 0.0)).sum())
         return float(np.log(total / len(w)) / power)
 
     def score(self, text: str | None) -> float:
@@ -116,14 +116,15 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[tuple[str | None, bool]]) -> Model | None:
-    """Models and curve from sample rows, in a fixed order. None if a class has no rows for either."""
-    kept = [r for i, r in enumerate(rows) if i % _HOLD]
-    held = rows[::_HOLD]
-    if len({y for _, y in kept}) < 2:
-        return None
+    """Models and curve from sample rows; in each class every fourth row is kept for the curve. None if a class has no rows."""
+    kept, held = [], []
+    for label in (True, False):
+        own = [r for r in rows if r[1] == label]
+        if not own:
+            return None
+        held += own[::_HOLD]
+        kept += [r for i, r in enumerate(own) if i % _HOLD] or own
     model = train(*map(list, zip(*kept)))
-    if len({y for _, y in held}) < 2:
-        held = rows
     x, y = np.array([model.evidence(t) for t, _ in held]), np.array([y for _, y in held])
     model.slope, model.middle = _fit_curve(x, y)
     return model

@@ -68,28 +68,40 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each value among them), with 32-bit places."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(values), np.int32)
+    at[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ranked[fresh], at
+
+
 class Chunk:
     """Words and pairs of a chunk of documents in one fixed order: by shard, then hash; pairs by context, then word."""
 
     def __init__(self, texts: list[str | None], shards: int):
         each = [tokens(t) for t in texts]
         self.size = np.array([len(x) for x in each], np.int64)
-        word = np.concatenate(each) if each else np.zeros(0, np.uint64)
         first = np.cumsum(self.size) - self.size
-        known, self.word = np.unique(np.concatenate([word, [_START]]), return_inverse=True)
+        each.append(np.array([_START]))
+        known, at = _numbered(np.concatenate(each))
+        del each
         place = shard_of(known, shards)
         order = np.lexsort((known, place))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.known, self.place = known[order], place[order]
-        self.word = rank[self.word]
-        start, self.word = self.word[-1], self.word[:-1]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.known, place = known[order], place[order]
+        start, self.word = rank[at[-1]], rank[at[:-1]]
+        del at
         context = np.concatenate([[start], self.word[:-1]])
         context[first] = start
-        pair, self.pair = np.unique(context * len(known) + self.word, return_inverse=True)
-        self.context, self.follower = pair // len(known), pair % len(known)
+        pair, self.pair = _numbered(context.astype(np.int64) * len(known) + self.word)
+        self.context, self.follower = (pair // len(known)).astype(np.int32), (pair % len(known)).astype(np.int32)
         # Where each shard's words begin, and where the pairs of each word as a context do.
-        self.cuts = np.searchsorted(self.place, np.arange(shards + 1))
+        self.cuts = np.searchsorted(place, np.arange(shards + 1))
         self.pair_cuts = np.searchsorted(self.context, np.arange(len(known) + 1))
 
     def parts(self, number: int, train: np.ndarray) -> Iterator[tuple]:
@@ -171,15 +183,17 @@ class Shard:
         self.chunks = [r["chunk"] for r in rows]
         self.sizes = [len(r["words"]) // 8 for r in rows]
         self.pair_sizes = [len(r["pair_counts"]) // 4 for r in rows]
-        known, at = np.unique(_arrays([r["words"] for r in rows], "<u8"), return_inverse=True)
+        known, at = _numbered(_arrays([r["words"] for r in rows], "<u8"))
         self.words, self.at = known, at
         self.counts = np.bincount(at, _arrays([r["counts"] for r in rows], "<u4"), len(known))
         followers = _arrays([r["followers"] for r in rows], "<u4")
         names = _whole(_arrays([r["pairs"] for r in rows], np.uint8))
-        self.names, follower = np.unique(names, return_inverse=True)
+        self.names, follower = _numbered(names)
+        del names
         width = max(len(self.names), 1)
-        pair, self.pair_at = np.unique(np.repeat(at, followers) * width + follower, return_inverse=True)
-        self.context, self.follower = pair // width, pair % width
+        pair, self.pair_at = _numbered(np.repeat(at, followers).astype(np.int64) * width + follower)
+        del follower
+        self.context, self.follower = (pair // width).astype(np.int32), (pair % width).astype(np.int32)
         self.pair_counts = np.bincount(self.pair_at, _arrays([r["pair_counts"] for r in rows], "<u4"), len(pair))
 
     def sample(self) -> None:
@@ -246,9 +260,8 @@ class Shard:
                 yield chunk, self.number, 1, b"", b"", *totals
 
 
-def _score_chunk(texts: list[str | None], shards: int, answers: list[dict]) -> tuple:
-    """(n_tokens, n_known, train tokens, base score, score) of each text of a chunk."""
-    chunk = Chunk(texts, shards)
+def probabilities(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(P(word | context) of each pair, count of each word, all tokens, all words) from what the shards answered."""
     counts, kept = np.zeros(len(chunk.known), np.int64), np.zeros(len(chunk.known))
     seated, pair = np.zeros((len(chunk.known), 2)), np.zeros(len(chunk.context))
     total = kinds = 0
@@ -268,10 +281,17 @@ def _score_chunk(texts: list[str | None], shards: int, answers: list[dict]) -> t
     parent = (kept + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (kinds + 1)) / (PARENT_STRENGTH + customers)
     at = chunk.context
     p = (pair + (STRENGTH + DISCOUNT * seated[at, 1]) * parent[chunk.follower]) / (STRENGTH + seated[at, 0])
+    return p, counts, total, kinds
+
+
+def _score_chunk(texts: list[str | None], shards: int, answers: list[dict]) -> tuple:
+    """(n_tokens, n_known, train tokens, base score, score) of each text of a chunk."""
+    chunk = Chunk(texts, shards)
+    p, counts, total, kinds = probabilities(chunk, answers)
     first = np.cumsum(chunk.size) - chunk.size
     base = np.log10((counts + 1) / (total + kinds + 1))[chunk.word]
-    add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-    return chunk.size, add((counts > 0)[chunk.word].astype(np.int64)), np.full(len(first), total), add(base), add(np.log10(p)[chunk.pair])
+    known = np.add.reduceat((counts > 0)[chunk.word].astype(np.int64), first)
+    return chunk.size, known, np.full(len(first), total), np.add.reduceat(base, first), np.add.reduceat(np.log10(p)[chunk.pair], first)
 
 
 def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:

@@ -8,22 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import POS, SLICE, ordered_slices, recomputed, row_hash, running_total, split_hot
+from rowmill.operators.ordered import POS, SLICE, ordered_slices, recomputed, running_total, sort_key, split_hot
 
 Operation = tuple[str, str, str]  # (input column, function, output column)
 
 
-def _ordering(order_by: Sequence[str] | None, function: str) -> Column:
+def _ordering(column: str, order_by: Sequence[str] | None, function: str) -> Column:
     if not order_by:
         raise ValueError(f"{function} needs order_by")
-    return F.struct(*[F.col(c) for c in order_by])
+    return sort_key(order_by, F.col(column).isNull(), F.col(column))
 
 
 def _listed(column: str, order_by: Sequence[str] | None, separator: str) -> Column:
-    items = F.struct(*[F.col(c) for c in (order_by or [column])], F.col(column).cast("string").alias("_item"))
+    text = F.col(column).cast("string")
+    items = F.struct(sort_key(order_by or [column], text).alias("_key"), text.alias("_item"))
     # collect_list skips NULL structs, as a text list skips NULL values.
     kept = F.collect_list(F.when(F.col(column).isNotNull(), items))
-    return F.array_join(F.transform(F.array_sort(kept), lambda s: s["_item"]), separator)
+    joined = F.array_join(F.transform(F.sort_array(kept), lambda s: s["_item"]), separator)
+    return F.when(F.count(column) > 0, joined)
 
 
 _PLAIN = {
@@ -50,29 +52,34 @@ _MORE = {
 
 
 def aggregate_column(column: str, function: str, order_by: Sequence[str] | None = None, separator: str = ",") -> Column:
-    """The aggregate of one operation. ``list`` builds one text per group, so its cell grows with the group."""
+    """The aggregate of one operation.
+
+    ``list`` builds one text per group, so its cell grows with the group; no value at all gives NULL. ``first``,
+    ``last`` and ``list`` take ``order_by`` with NULLs last; among rows equal in it the values themselves decide,
+    the smallest first.
+    """
     name = function.lower()
     if name in _PLAIN:
         return _PLAIN[name](column)
     if name in _MORE:
         return _MORE[name](column)
     if name == "first":
-        return F.min_by(column, _ordering(order_by, name))
+        return F.min_by(column, _ordering(column, order_by, name))
     if name == "last":
-        return F.max_by(column, _ordering(order_by, name))
+        return F.max_by(column, _ordering(column, order_by, name))
     if name == "list":
         return _listed(column, order_by, separator)
     raise ValueError(f"unknown aggregate {function!r}")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median", hot_rows: int | None = None) -> DataFrame:
     """Median of a numeric column per group, exact for groups of any size.
 
     Ordinary groups use the built-in function. Rows of large ones are counted per (group, value), the
     counts are sorted over slices, and the middle values are where the running count reaches the middle ranks.
     """
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_value"))
-    cool, hot = split_hot(rows, keys)
+    cool, hot = split_hot(rows, keys, hot_rows)
     plain = cool.groupBy(*keys).agg(F.median("_value").alias(name)) if keys else None
     if hot is None:
         return plain
@@ -97,24 +104,30 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
 
 
 def whole_list(
-    df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ",", order_by: Sequence[str] | None = None
+    df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ",", order_by: Sequence[str] | None = None,
+    hot_rows: int | None = None, all_keys: bool = False,
 ) -> DataFrame:
     """One text per group. Rows of large groups are gathered per (slice, group), and only the parts meet."""
-    cool, hot = split_hot(df, keys)
+    cool, hot = split_hot(df, keys, hot_rows, F.octet_length(F.col(column).cast("string")))
     plain = cool.groupBy(*keys).agg(_listed(column, order_by, separator).alias(name)) if keys else None
     if hot is None:
         return plain
     parts = _list_parts(hot, keys, column, separator, order_by)
     whole = F.transform(F.array_sort(F.collect_list(F.struct(SLICE, "_part"))), lambda p: p["_part"])
     joined = parts.groupBy(*keys).agg(F.array_join(whole, separator).alias(name))
+    if keys and all_keys:
+        # Keys without any value have no part; a row per task and key is enough to name them.
+        blank = hot.groupBy(*keys).agg(F.count(column).alias("_n")).where("_n = 0").select(*keys, F.lit(None).cast("string").alias(name))
+        joined = joined.unionByName(blank)
     return plain.unionByName(joined) if keys else joined
 
 
 def _list_parts(df: DataFrame, keys: Sequence[str], column: str, separator: str, order_by: Sequence[str] | None) -> DataFrame:
     order = list(order_by or [column])
-    # The hash of the whole row keeps copies of a value apart, so that they spread over slices.
-    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, column]) if c not in keys], row_hash(df).alias("_tie"))
-    sliced = ordered_slices(rows.where(F.col(column).isNotNull()), [*keys, *order])
+    # A random number keeps copies of a value apart, so that they spread over slices; which copy is which is not seen.
+    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, column]) if c not in keys], F.col(column).cast("string").alias("_text"))
+    rows = rows.where(F.col(column).isNotNull()).withColumn("_copy", F.rand(17))
+    sliced = ordered_slices(rows, [*keys, *order, "_text"], ["_copy"])
     return sliced.groupBy(SLICE, *keys).agg(_listed(column, [POS], separator).alias("_part"))
 
 
@@ -125,12 +138,13 @@ def aggregate(
     order_by: Sequence[str] | None = None,
     separator: str = ",",
     gather: str = "sliced",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Group by ``keys`` (none: one row) and apply ``(input, function, output)`` operations.
 
     Medians and lists need all values of a group. ``gather="sliced"`` finds groups too large for one task
-    and computes those over a sorted copy; ``gather="memory"`` skips that check where groups are known
-    to be small.
+    (above ``hot_rows`` rows) and computes those over a sorted copy; ``gather="memory"`` skips that check where
+    groups are known to be small. The results are the same.
     """
     if gather not in ("sliced", "memory"):
         raise ValueError("gather is sliced or memory")
@@ -139,17 +153,20 @@ def aggregate(
     columns = [
         (F.median(c) if f == "median" else aggregate_column(c, f, order_by, separator)).alias(o) for c, f, o in direct
     ]
+    gathered = [(c, f.lower(), o) for c, f, o in operations if f.lower() in whole]
+    if keys and not columns and len(gathered) == 1 and gathered[0][1] == "list":
+        # The list alone has a row for each key already.
+        column, _, name = gathered[0]
+        return whole_list(df, keys, column, name, separator, order_by, hot_rows, all_keys=True).select(*keys, name)
     if columns:
         out = df.groupBy(*keys).agg(*columns)
     else:
         out = df.select(*keys).distinct() if keys else df.groupBy().agg(F.count("*").alias("_n")).drop("_n")
-    for column, function, name in operations:
-        if function.lower() not in whole:
-            continue
-        if function.lower() == "median":
-            side = exact_median(df, keys, column, name)
+    for column, function, name in gathered:
+        if function == "median":
+            side = exact_median(df, keys, column, name, hot_rows)
         else:
-            side = whole_list(df, keys, column, name, separator, order_by)
+            side = whole_list(df, keys, column, name, separator, order_by, hot_rows)
         if keys:
             side = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
             match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
@@ -166,13 +183,13 @@ def aggregate_sorted(df: DataFrame, keys: Sequence[str], operations: Sequence[Op
 
 def denormalize(
     df: DataFrame, keys: Sequence[str], column: str, separator: str = ",", dedup: bool = False,
-    order_by: Sequence[str] | None = None, gather: str = "sliced",
+    order_by: Sequence[str] | None = None, gather: str = "sliced", hot_rows: int | None = None,
 ) -> DataFrame:
     """One delimited text per key. With ``dedup`` equal values are removed before rows are gathered."""
     if dedup:
         df = df.select(*keys, column).distinct()
         order_by = None
-    return aggregate(df, keys, [(column, "list", column)], order_by, separator, gather)
+    return aggregate(df, keys, [(column, "list", column)], order_by, separator, gather, hot_rows)
 
 
 def denormalize_parts(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import order_columns, ordered_slices, row_hash, running_total, split_hot, with_position
+from rowmill.operators.ordered import order_columns, ordered_slices, running_total, split_hot, tie_break, with_position
 
 # Up to this rank every task keeps its own first rows of a key before the shuffle. The rows of one key
 # that meet in one task are then at most this many per task of the scan.
@@ -15,42 +15,51 @@ _RANK_FILTER_LIMIT = 100
 
 
 def first_rows(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence, ignore_case: Sequence[str] = ()
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence, ignore_case: Sequence[str] = (),
+    tie: Sequence[str] | None = None, hot_rows: int | None = None,
 ) -> DataFrame:
-    """First ``n`` rows of each key in ``order``.
+    """First ``n`` rows of each key in ``order``; ``tie`` decides among equal rows as in ``tie_break``.
 
     For small ``n`` each task keeps at most ``n`` rows per key before the shuffle. For large ``n`` the
-    ranks of large keys come from a sorted copy, so a hot key does not land in one task.
+    ranks of keys with more than ``hot_rows`` rows come from a sorted copy, so a hot key does not land
+    in one task. The rows kept are the same either way.
     """
     parts = [F.lower(k) if k in ignore_case else F.col(k) for k in keys]
     groups = [f"_g{i}" for i in range(len(parts))]
-    grouped = df.select("*", *[p.alias(g) for p, g in zip(parts, groups)])
-    cool, hot = (grouped, None) if n <= _RANK_FILTER_LIMIT else split_hot(grouped, groups)
-    window = Window.partitionBy(*groups).orderBy(*order_columns(order), row_hash(df))
+    grouped = df.select("*", *[p.alias(g) for p, g in zip(parts, groups)], tie_break(df, tie).alias("_tie"))
+    cool, hot = (grouped, None) if n <= _RANK_FILTER_LIMIT and hot_rows is None else split_hot(grouped, groups, hot_rows)
+    window = Window.partitionBy(*groups).orderBy(*order_columns(order), "_tie")
     kept = cool.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).select(*df.columns)
     if hot is None:
         return kept
-    ranked = running_total(ordered_slices(hot, [*groups, *order]), groups, F.lit(1), "_rank")
+    ranked = running_total(ordered_slices(hot, [*groups, *order, "_tie"], tie), groups, F.lit(1), "_rank")
     return kept.unionAll(ranked.where(F.col("_rank") <= n).select(*df.columns))
 
 
-def dedup(df: DataFrame, keys: Sequence[str], order: Sequence, case_sensitive: bool = True) -> DataFrame:
+def dedup(
+    df: DataFrame, keys: Sequence[str], order: Sequence, case_sensitive: bool = True, tie: Sequence[str] | None = None
+) -> DataFrame:
     """One row per key: the first in ``order``. Without case, text keys compare in lower case."""
     text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    return first_rows(df, 1, keys, order, () if case_sensitive else [k for k in keys if k in text])
+    return first_rows(df, 1, keys, order, () if case_sensitive else [k for k in keys if k in text], tie)
 
 
-def sequence(df: DataFrame, name: str, order: Sequence, start: int = 1, step: int = 1) -> DataFrame:
+def sequence(
+    df: DataFrame, name: str, order: Sequence, start: int = 1, step: int = 1, tie: Sequence[str] | None = None
+) -> DataFrame:
     """Number rows ``start, start+step, ...`` in ``order``."""
-    return with_position(df, order, name, start, step)
+    return with_position(df, order, name, start, step, tie)
 
 
-def sequence_within(df: DataFrame, name: str, keys: Sequence[str], order: Sequence) -> DataFrame:
+def sequence_within(
+    df: DataFrame, name: str, keys: Sequence[str], order: Sequence, tie: Sequence[str] | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Number the rows of each key 1, 2, ... also where one key holds a large share of the rows."""
-    cool, hot = split_hot(df, keys)
-    window = Window.partitionBy(*keys).orderBy(*order_columns(order), row_hash(df))
-    numbered = cool.withColumn(name, F.row_number().over(window).cast("bigint"))
+    marked = df.withColumn("_tie", tie_break(df, tie))
+    cool, hot = split_hot(marked, keys, hot_rows)
+    window = Window.partitionBy(*keys).orderBy(*order_columns(order), "_tie")
+    numbered = cool.withColumn(name, F.row_number().over(window).cast("bigint")).select(*df.columns, name)
     if hot is None:
         return numbered
-    ranked = running_total(ordered_slices(hot, [*keys, *order]), keys, F.lit(1).cast("bigint"), name)
+    ranked = running_total(ordered_slices(hot, [*keys, *order, "_tie"], tie), keys, F.lit(1).cast("bigint"), name)
     return numbered.unionAll(ranked.select(*df.columns, name))

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators import Split
-from rowmill.operators.ordered import order_columns, row_hash, with_position
+from rowmill.operators.ordered import order_columns, tie_break, with_position
 
 Condition = tuple[str, str, Any]
 
@@ -59,18 +59,23 @@ def split_rows(df: DataFrame, conditions: Sequence[Condition] | Column, logic: s
     return Split(df.where(test), df.where(~F.coalesce(test, F.lit(False))))
 
 
-def sort_rows(df: DataFrame, order: Sequence) -> DataFrame:
-    """Global sort, NULLs last. Rows with equal keys are ordered by a row hash, so one sort value
+def sort_rows(df: DataFrame, order: Sequence, tie: Sequence[str] | None = None) -> DataFrame:
+    """Global sort, NULLs last. Rows with equal keys are ordered by ``tie_break``, so one sort value
     that holds a large share of the rows still spreads over several range partitions."""
-    return df.orderBy(*order_columns(order), row_hash(df))
+    return df.orderBy(*order_columns(order), tie_break(df, tie))
 
 
-def limit_rows(df: DataFrame, n: int, order: Sequence | None = None) -> DataFrame:
-    """First ``n`` rows, in ``order`` when given (a top-k: each task keeps at most ``n`` rows)."""
-    return df.orderBy(*order_columns(order)).limit(n) if order else df.limit(n)
+# A top-k of up to this many rows meets in one task; a larger one is cut from the sorted table. Both give the same rows.
+TOP_ROWS = 10_000
 
 
-_TOP_LIMIT = 100_000
+def limit_rows(df: DataFrame, n: int, order: Sequence | None = None, tie: Sequence[str] | None = None) -> DataFrame:
+    """First ``n`` rows, in ``order`` when given, equal ones decided by ``tie_break``; without an order any ``n`` rows."""
+    if not order:
+        return df.limit(n)
+    if n <= TOP_ROWS:
+        return df.orderBy(*order_columns(order), tie_break(df, tie)).limit(n)
+    return with_position(df, order, "_position", tie=tie).where(F.col("_position") <= n).drop("_position")
 
 
 def sample_rows(
@@ -78,21 +83,14 @@ def sample_rows(
     order: Sequence,
     ranges: Sequence[tuple[int, int]] | None = None,
     every_nth: int | None = None,
+    tie: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows at listed 1-based position ranges, or every Nth row, of the table in ``order``."""
+    if not ranges and not every_nth:
+        raise ValueError("give ranges or every_nth")
+    numbered = with_position(df, order, "_position", tie=tie)
     if ranges:
-        last = max(high for _, high in ranges)
-        if last <= _TOP_LIMIT:
-            # Bounded by ``last`` rows, so numbering them in one task is cheap.
-            top = df.orderBy(*order_columns(order), row_hash(df)).limit(last)
-            whole = Window.orderBy(*order_columns(order), row_hash(df))
-            numbered = top.withColumn("_position", F.row_number().over(whole))
-        else:
-            numbered = with_position(df, order, "_position")
         keep = reduce(lambda a, b: a | b, [F.col("_position").between(lo, hi) for lo, hi in ranges])
-    elif every_nth:
-        numbered = with_position(df, order, "_position")
-        keep = F.col("_position") % every_nth == 0
     else:
-        raise ValueError("give ranges or every_nth")
+        keep = F.col("_position") % every_nth == 0
     return numbered.where(keep).drop("_position")

@@ -62,32 +62,54 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in names]) if names else F.lit(0).cast("bigint")
 
 
-def ordered_slices(df: DataFrame, order: Sequence) -> DataFrame:
+def tie_break(df: DataFrame, tie: Sequence[str] | None = None) -> Column:
+    """What decides among rows that are equal in an order: a hash of the columns ``tie``, of all columns when None.
+
+    Give the columns that make the order unique (none, when it already is) to keep scans from reading all columns.
+    """
+    if tie is None:
+        return row_hash(df)
+    return F.xxhash64(*[F.col(f"`{c}`") for c in tie]) if tie else F.lit(0).cast("bigint")
+
+
+def sort_key(order: Sequence[str], *last: Column) -> Column:
+    """A struct that compares like ``order`` with NULLs last, then like the columns ``last``."""
+    parts = [p for c in order for p in (F.col(c).isNull(), F.col(c))]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate([*parts, *last])])
+
+
+def ordered_slices(df: DataFrame, order: Sequence, tie: Sequence[str] | None = None) -> DataFrame:
     """Globally sorted copy of ``df`` with ``_slice`` (range partition) and ``_pos`` (total order).
 
     Slice numbers depend on sampled range bounds, so they are written out once; every later
-    use, also after a lost executor, reads the same numbers.
+    use, also after a lost executor, reads the same numbers. The copy is written when this is called.
     """
-    ranked = df.orderBy(*order_columns(order), row_hash(df))
+    ranked = df.orderBy(*order_columns(order), tie_break(df, tie))
     staged = materialize(ranked.withColumn(POS, F.monotonically_increasing_id()), "slices")
     return staged.withColumn(SLICE, F.shiftright(POS, _BITS))
 
 
-# Groups up to this many rows fit one task; larger ones go over slices.
+# Groups up to this many rows and bytes of gathered values fit one task; larger ones go over slices. Both ways give the same rows.
 HOT_ROWS = 250_000
+HOT_BYTES = 64 << 20
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, size: Column | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (None when there are none).
 
-    Counts the rows per key first: a pass over the key columns that is combined before its shuffle.
-    Without keys the whole table is one group and counts as hot.
+    ``size``: bytes that a row adds to its group; groups above ``HOT_BYTES`` count as large, too. Counts per key
+    first, when this is called: a pass over the key columns that is combined before its shuffle. Without keys the
+    whole table is one group and counts as hot.
     """
     if not keys:
         return df.limit(0), df
-    counts = df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).count()
-    large = counts.where(F.col("count") > (HOT_ROWS if limit is None else limit)).drop("count")
-    large = materialize(large, "hot")
+    counts = df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("_rows"), F.sum(F.lit(0) if size is None else size).alias("_bytes")
+    )
+    large = counts.where((F.col("_rows") > (HOT_ROWS if limit is None else limit)) | (F.col("_bytes") > HOT_BYTES))
+    large = materialize(large.drop("_rows", "_bytes"), "hot")
     if large.isEmpty():
         return df, None
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
@@ -114,9 +136,11 @@ def _slice_offsets(sliced: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, f"{SLICE} bigint, _before bigint")
 
 
-def with_position(df: DataFrame, order: Sequence, name: str = "position", start: int = 1, step: int = 1) -> DataFrame:
-    """Number all rows in ``order``: ``start, start+step, ...`` with no gaps."""
-    sliced = ordered_slices(df, order)
+def with_position(
+    df: DataFrame, order: Sequence, name: str = "position", start: int = 1, step: int = 1, tie: Sequence[str] | None = None
+) -> DataFrame:
+    """Number all rows in ``order``: ``start, start+step, ...`` with no gaps. Sorts and counts when it is called."""
+    sliced = ordered_slices(df, order, tie)
     offsets = F.broadcast(_slice_offsets(sliced))
     index = F.col("_before") + F.col(POS).bitwiseAND(F.lit((1 << _BITS) - 1))
     return (

@@ -46,6 +46,66 @@ _one("a11_count_distinct", "count_distinct", "o_orderpriority", "count(DISTINCT
 _one("a13_median", "median", "o_totalprice", "round(median(o_totalprice), 3)", 3)
 
 
+# Rows with NULL order keys, ties and groups of only NULLs; the same rows through the sorted copy that large groups take.
+_GAPS = """(SELECT user_id % 97 AS g, CASE WHEN user_id % 97 < 9 THEN NULL ELSE event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 5 END AS k, event_id, value FROM events)"""
+
+
+def _gaps(t):
+    return t.events.selectExpr(
+        "user_id % 97 AS g", "CASE WHEN user_id % 97 < 9 THEN NULL ELSE event_type END AS kind", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 5 END AS k", "event_id", "value"
+    )
+
+
+def _twins(name, sql):
+    """Register a query as it is and with every group taken for a large one."""
+
+    def register(fn):
+        query(name, sql)(lambda t: fn(t, None))
+        query(f"{name}_sliced", sql)(lambda t: fn(t, 0))
+        return fn
+
+    return register
+
+
+@_twins("a10_list_gaps", f"SELECT g, string_agg(kind, ',' ORDER BY k NULLS LAST, kind) AS kinds FROM {_GAPS} GROUP BY g")
+def a10_gaps(t, hot):
+    return agg.aggregate(_gaps(t), ["g"], [("kind", "list", "kinds")], ["k"], hot_rows=hot)
+
+
+@_twins("a16_denormalize_gaps", f"SELECT k, string_agg(DISTINCT kind, ';' ORDER BY kind) AS kind FROM {_GAPS} GROUP BY k")
+def a16_gaps(t, hot):
+    return agg.denormalize(_gaps(t), ["k"], "kind", ";", dedup=True, hot_rows=hot)
+
+
+@_twins("a13_median_gaps", f"SELECT k, median(value) AS middle, count(kind) AS n FROM {_GAPS} GROUP BY k")
+def a13_gaps(t, hot):
+    return agg.aggregate(_gaps(t), ["k"], [("value", "median", "middle"), ("kind", "count", "n")], hot_rows=hot)
+
+
+@query(
+    "a08_a09_first_last_gaps",
+    f"""SELECT g, (list(kind ORDER BY k NULLS LAST, kind NULLS LAST))[1] AS earliest, (list(kind ORDER BY k NULLS LAST, kind NULLS LAST))[-1] AS latest FROM {_GAPS} GROUP BY g""",
+)
+def a08_a09_gaps(t):
+    return agg.aggregate(_gaps(t), ["g"], [("kind", "first", "earliest"), ("kind", "last", "latest")], ["k"])
+
+
+@_twins(
+    "w03_first_rows_gaps",
+    f"SELECT event_id, g FROM (SELECT *, row_number() OVER (PARTITION BY g % 3 ORDER BY k DESC NULLS LAST, event_id) AS rn FROM {_GAPS}) WHERE rn <= 200",
+)
+def w03_gaps(t, hot):
+    rows = _gaps(t).selectExpr("event_id", "g", "g % 3 AS third", "k")
+    return dedup.first_rows(rows, 200, ["third"], [("k", "desc"), "event_id"], tie=[], hot_rows=hot).select("event_id", "g")
+
+
+@_twins(
+    "w04_within_gaps", f"SELECT event_id, row_number() OVER (PARTITION BY k ORDER BY kind NULLS LAST, event_id) AS seq FROM {_GAPS}",
+)
+def w04_gaps(t, hot):
+    return dedup.sequence_within(_gaps(t), "seq", ["k"], ["kind", "event_id"], tie=[], hot_rows=hot).select("event_id", "seq")
+
+
 @query(
     "a04_count",
     "SELECT o_custkey, count(nullif(o_orderstatus, 'P')) AS n FROM orders GROUP BY o_custkey",
@@ -113,7 +173,7 @@ def a17(t):
     """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
 )
 def w01(t):
-    return dedup.dedup(t.documents, ["text"], ["doc_id"]).select("doc_id", "lang", "source")
+    return dedup.dedup(t.documents, ["text"], ["doc_id"], tie=[]).select("doc_id", "lang", "source")
 
 
 @query(
@@ -123,7 +183,7 @@ def w01(t):
 )
 def w02(t):
     docs = t.documents.select("doc_id", F.split("text", " ")[0].alias("first_word"))
-    return dedup.dedup(docs, ["first_word"], ["doc_id"], case_sensitive=False)
+    return dedup.dedup(docs, ["first_word"], ["doc_id"], case_sensitive=False, tie=[])
 
 
 @query(
@@ -131,7 +191,7 @@ def w02(t):
     """SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 3""",
 )
 def w03(t):
-    return dedup.first_rows(t.events, 3, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "ts")
+    return dedup.first_rows(t.events, 3, ["user_id"], ["ts", "event_id"], tie=[]).select("event_id", "user_id", "ts")
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.operators.mapping import Expression, as_column
-from rowmill.operators.ordered import order_columns, recomputed, reversed_columns, row_hash
+from rowmill.operators.ordered import order_columns, recomputed, reversed_columns, tie_break
 
 _HOW = {
     "inner": "inner",
@@ -31,13 +31,15 @@ def _condition(name: str, on: Mapping[str, Expression]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{name}.{k}") == as_column(e) for k, e in on.items()])
 
 
-def one_per_key(ref: DataFrame, keys: Sequence[str], order: Sequence, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key.
+def one_per_key(
+    ref: DataFrame, keys: Sequence[str], order: Sequence, last: bool = False, tie: Sequence[str] | None = None
+) -> DataFrame:
+    """The first (or last) row of each key; ``tie`` decides among equal rows as in ``tie_break``.
 
     The rank filter lets every task drop all but one row per key before the shuffle.
     """
     columns = reversed_columns(order) if last else order_columns(order)
-    window = Window.partitionBy(*keys).orderBy(*columns, row_hash(ref))
+    window = Window.partitionBy(*keys).orderBy(*columns, tie_break(ref, tie))
     return ref.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -49,12 +51,13 @@ def lookup(
     match: str = "all",
     order: Sequence | None = None,
     name: str = "lookup",
+    tie: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``main`` with ``ref`` where ``ref.column = expression over main`` for every entry of ``on``.
 
     ``name`` qualifies the lookup columns (``name.column``), as ``main.alias("row1")`` does for main.
-    ``match`` is ``all``, ``first`` or ``unique`` (the last match); the latter two need ``order``.
-    Without keys every main row meets every lookup row.
+    ``match`` is ``all``, ``first`` or ``unique`` (the last match); the latter two need ``order``, and
+    ``tie`` names the columns that make it unique. Without keys see ``keyless_lookup``.
     """
     kind = _HOW[how.lower()]
     if not on or kind == "cross":
@@ -62,19 +65,19 @@ def lookup(
     if match != "all":
         if match not in ("first", "unique") or not order:
             raise ValueError("match is all, first or unique; first and unique need an order")
-        ref = recomputed(one_per_key(ref, list(on), order, last=match == "unique"), list(on))
-    if kind == "full":
-        return _full_lookup(main, ref, on, name)
+        ref = recomputed(one_per_key(ref, list(on), order, match == "unique", tie), list(on))
+    if kind in ("right", "full"):
+        return _outer_lookup(main, ref, on, name, "inner" if kind == "right" else "left")
     return main.join(ref.alias(name), _condition(name, on), kind)
 
 
-def _full_lookup(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression], name: str) -> DataFrame:
-    """Full outer join as left join plus unmatched lookup rows.
+def _outer_lookup(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression], name: str, kind: str) -> DataFrame:
+    """Right or full outer join as inner or left join plus unmatched lookup rows.
 
-    Adaptive execution cannot split a hot key in a full outer join; it can in these two. The keys of
-    main are reduced to distinct values before they are compared with the lookup.
+    Adaptive execution cannot split a hot key of main in a right or full outer join; it can in these. The
+    keys of main are reduced to distinct values before they are compared with the lookup.
     """
-    left = main.join(ref.alias(name), _condition(name, on), "left")
+    left = main.join(ref.alias(name), _condition(name, on), kind)
     keys = main.select(*[as_column(e).alias(f"_m_{k}") for k, e in on.items()]).distinct()
     keys = recomputed(keys, keys.columns)
     match = reduce(lambda a, b: a & b, [F.col(f"{name}.{k}") == F.col(f"_m_{k}") for k in on])
@@ -83,36 +86,40 @@ def _full_lookup(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression],
     return left.unionAll(rest.select(*blanks, f"{name}.*"))
 
 
-# A keyless lookup up to this many rows and bytes, both measured, is sent to every task.
-SMALL_ROWS, SMALL_BYTES = 10_000, 1 << 20
+# A lookup without keys must be measured to have at most so many rows and bytes.
+SMALL_ROWS, SMALL_BYTES = 1_000, 1 << 20
+
 
+def _constants(ref: DataFrame) -> Column:
+    """All rows of a table that is measured to be small, as one constant; a larger table is an error.
 
-def _is_small(df: DataFrame) -> bool:
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    rows, size = df.select(size.alias("b")).limit(SMALL_ROWS + 1).agg(F.count("*"), F.sum("b")).first()
-    return rows <= SMALL_ROWS and (size or 0) <= SMALL_BYTES
+    Runs a job when it is called.
+    """
+    size = F.octet_length(F.to_json(F.struct(*ref.columns)))
+    rows, size = ref.select(size.alias("b")).limit(SMALL_ROWS + 1).agg(F.count("*"), F.sum("b")).first()
+    if rows > SMALL_ROWS or (size or 0) > SMALL_BYTES:
+        raise ValueError(f"a lookup without keys takes at most {SMALL_ROWS} rows and {SMALL_BYTES} bytes: give it a key")
+    return ref.agg(F.collect_list(F.struct(*ref.columns)).alias("c")).scalar()
 
 
 def keyless_lookup(main: DataFrame, ref: DataFrame, name: str = "lookup") -> DataFrame:
-    """Every main row with every lookup row, as an equality join on a spread key.
+    """Every main row with every row of a lookup that is measured to be small.
 
-    A lookup measured to be small is copied to every task and main stays where it is. A larger one
-    is copied to as many keys as there are shuffle partitions, over which main rows are spread evenly.
+    The lookup's rows are constants of each task, so main stays where it is and no join is made. Its columns come
+    under their plain names. A lookup above ``SMALL_ROWS`` or ``SMALL_BYTES`` raises: such a product needs a key.
     """
-    small = _is_small(ref)
-    spread = 4 if small else int(main.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = main.withColumn("_spread", F.pmod(row_hash(main), F.lit(spread)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    right = ref.withColumn("_copy", copies).alias(name)
-    # The size estimate of Spark does not count the copies, so the large case rules a broadcast out.
-    right = F.broadcast(right) if small else right.hint("merge")
-    return left.join(right, F.col("_spread") == F.col(f"{name}._copy")).drop("_spread", "_copy")
+    return main.select("*", F.inline(_constants(ref)))
 
 
 def iterate_params(df: DataFrame, params: DataFrame, where: Expression = None, name: str = "param") -> DataFrame:
-    """Run the rows of ``df`` once per parameter row, with ``param.column`` usable in expressions."""
-    out = keyless_lookup(df, params, name)
-    return out if where is None else out.where(as_column(where, "boolean"))
+    """Run the rows of ``df`` once per parameter row, with ``param.column`` usable in ``where``.
+
+    Parameters are bounded as the rows of a ``keyless_lookup`` are; their columns follow those of ``df``.
+    """
+    out = df.select("*", F.explode(_constants(params)).alias(name))
+    if where is not None:
+        out = out.where(as_column(where, "boolean"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], f"{name}.*")
 
 
 def lookup_reject(main: DataFrame, ref: DataFrame, on: Mapping[str, Expression], name: str = "lookup") -> DataFrame:
@@ -155,27 +162,49 @@ def _deletions(text: Column, distance: int) -> Column:
     return variants
 
 
+def _parts(length: Column | int, i: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of part ``i`` of a text of this length cut into equal parts."""
+    start = F.floor(length * i / parts).cast("int")
+    return start, F.floor(length * (i + 1) / parts).cast("int") - start
+
+
 def fuzzy_lookup(
     main: DataFrame, ref: DataFrame, column: str, ref_column: str, max_distance: int = 1, distance: str = "distance",
     name: str = "lookup",
 ) -> DataFrame:
-    """Main rows with every lookup row whose text is within ``max_distance`` edits.
+    """Main rows with every lookup row whose text is within ``max_distance`` edits, for texts of any length.
 
-    Two texts within k edits share a text left after at most k deletions from each, so an equality
-    join on those remainders finds all pairs and compares only near ones. Each distinct text is
-    matched once; the rows come back by equality on the text.
+    k edits leave one of k+1 parts of the lookup text whole, moved by at most k places. So texts meet on (length,
+    part number, part): k+1 rows per lookup text and at most (k+1)(2k+1)^2 per main text, then near pairs are
+    compared. Lookup texts of at most k characters have empty parts; they meet main texts of at most 2k characters
+    on what remains after up to k deletions. Each distinct text is matched once; rows come back by equality.
     """
+    k = max_distance
     left = main.select(F.col(column).alias("_a")).where(F.col("_a").isNotNull()).distinct()
     right = ref.select(F.col(ref_column).alias("_b")).where(F.col("_b").isNotNull()).distinct()
-    left = left.withColumn("_v", F.explode_outer(_deletions(F.col("_a"), max_distance)))
-    right = right.withColumn("_v", F.explode_outer(_deletions(F.col("_b"), max_distance)))
-    near = (
-        # Exploded sides are larger than their size estimates: no broadcast.
-        left.join(right.hint("merge"), "_v")
-        .select("_a", "_b", F.levenshtein("_a", "_b", max_distance).alias(distance))
-        .where(F.col(distance) >= 0)
-        .distinct()
-    )
+    size = F.char_length("_b")
+    filed = []
+    for i in range(k + 1):
+        start, width = _parts(size, i, k + 1)
+        filed.append(F.struct(size.alias("n"), F.lit(i).alias("i"), F.substr("_b", start + 1, width).alias("p")))
+    probes = []
+    for change in range(-k, k + 1):
+        length = F.char_length("_a") + change
+        for i in range(k + 1):
+            start, width = _parts(length, i, k + 1)
+            for shift in range(-k, k + 1):
+                at = start + shift
+                fits = (length > k) & (at >= 0) & (at + width <= F.char_length("_a"))
+                part = F.substr("_a", F.greatest(at, F.lit(0)) + 1, F.greatest(width, F.lit(0)))
+                probes.append(F.when(fits, F.struct(length.alias("n"), F.lit(i).alias("i"), part.alias("p"))))
+    long = right.where(size > k).select("_b", F.explode(F.array(*filed)).alias("_v"))
+    asked = left.select("_a", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("_v"))
+    # Exploded sides are larger than their size estimates: no broadcast.
+    met = asked.join(long.hint("merge"), "_v").select("_a", "_b")
+    short_a = left.where(F.char_length("_a") <= 2 * k).withColumn("_v", F.explode(_deletions(F.col("_a"), k)))
+    short_b = right.where(size <= k).withColumn("_v", F.explode(_deletions(F.col("_b"), k)))
+    met = met.unionAll(short_a.join(short_b.hint("merge"), "_v").select("_a", "_b"))
+    near = met.distinct().select("_a", "_b", F.levenshtein("_a", "_b", k).alias(distance)).where(F.col(distance) >= 0)
     pairs = main.join(near, F.col(column) == F.col("_a")).drop("_a")
     return pairs.join(ref.alias(name), F.col("_b") == F.col(f"{name}.{ref_column}")).drop("_b")
 
@@ -189,23 +218,27 @@ def ip_number(text: Column) -> Column:
     return F.when(F.size(octets) == 4, number)
 
 
+_ADDRESS_BITS = 32
+
+
 def locate_ip(
     df: DataFrame, address: str, ranges: DataFrame, start: str, end: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Left lookup of a dotted address column in ``[start, end]`` number ranges, as an equality join on /24 blocks.
+    """Left lookup of a dotted address column in ``[start, end]`` number ranges, as an equality join on address prefixes.
 
-    Each distinct address is parsed and located once, so a block holds at most 256 of them however
-    hot one address is, and a range costs one row per /24 block it covers.
+    A range of any width is covered by at most two prefixes of each length. Each distinct address is parsed
+    and located once, under its prefix of every length.
     """
-    first, last = F.shiftright(F.col(start).cast("bigint"), 8), F.shiftright(F.col(end).cast("bigint"), 8)
-    blocks = ranges.select(
-        F.col(start).alias("_start"), F.col(end).alias("_end"), *columns, F.explode(F.sequence(first, last)).alias("_block")
-    )
+    first, after = F.col(start).cast("bigint"), F.col(end).cast("bigint") + 1
+    pieces = []
+    for bits in range(_ADDRESS_BITS + 1):
+        low, high = F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(after, bits)
+        piece = lambda number, bits=bits: F.struct(F.lit(bits).alias("bits"), number.alias("prefix"))
+        pieces.append(F.when((low < high) & (low % 2 == 1), piece(low)))
+        pieces.append(F.when((low < high) & (high % 2 == 1), piece(high - 1)))
+    covers = ranges.where(F.col(start) <= F.col(end)).select(*columns, F.explode(F.array_compact(F.array(*pieces))).alias("_prefix"))
     distinct = df.select(F.col(address).alias("_address")).distinct().withColumn("_ip", ip_number(F.col("_address")))
-    found = (
-        distinct.withColumn("_block", F.shiftright("_ip", 8))
-        .join(blocks.hint("merge"), "_block")
-        .where(F.col("_ip").between(F.col("_start"), F.col("_end")))
-        .select("_address", *columns)
-    )
+    every = F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("_ip", b).alias("prefix")) for b in range(_ADDRESS_BITS + 1)])
+    asked = distinct.where(F.col("_ip").isNotNull()).select("_address", F.explode(every).alias("_prefix"))
+    found = asked.join(covers.hint("merge"), "_prefix").select("_address", *columns)
     return df.join(found, F.col(address) == F.col("_address"), "left").drop("_address")

@@ -40,15 +40,19 @@ def extract_tables(df: DataFrame, column: str, name: str = "table_name") -> Data
 
 
 def job_reads_writes(components: DataFrame) -> DataFrame:
-    """Distinct ``(job, access, table_name)``; sources and SQL statements read, sinks write."""
-    own = F.when(F.coalesce(F.col("table_name"), F.lit("")) != "", F.array(table_name(F.col("table_name"))))
-    named = F.coalesce(own, F.array().cast("array<string>"))
-    queried = F.coalesce(tables_in_sql(F.col("query")), F.array().cast("array<string>"))
+    """Distinct ``(job, access, table_name)``; sources and SQL statements read, sinks write.
+
+    Each distinct query text is parsed once; its tables come back to the jobs by equality on the text.
+    """
     reads = F.col("kind").isin("DATA_SOURCE", "SQL_EXEC")
-    tables = F.when(reads, F.array_union(queried, named)).when(F.col("kind") == "DATA_SINK", named)
-    access = F.when(reads, "read").otherwise("write")
-    named_rows = components.select("job", access.alias("access"), F.explode_outer(tables).alias("table_name"))
-    return named_rows.where(F.col("table_name") != "").distinct()
+    access = F.when(reads, "read").otherwise("write").alias("access")
+    used = components.where(reads | (F.col("kind") == "DATA_SINK"))
+    named = used.where(F.coalesce(F.col("table_name"), F.lit("")) != "").select("job", access, table_name(F.col("table_name")).alias("table_name"))
+    queried = components.where(reads & F.col("query").isNotNull()).select("job", "query")
+    texts = recomputed(queried.select("query").distinct(), ["query"])
+    parsed = texts.select(F.col("query").alias("_text"), F.explode(tables_in_sql(F.col("query"))).alias("table_name"))
+    found = queried.join(parsed, F.col("query") == F.col("_text")).select("job", F.lit("read").alias("access"), "table_name")
+    return named.unionAll(found).where(F.col("table_name") != "").distinct()
 
 
 def data_edges(access: DataFrame) -> DataFrame:
@@ -63,12 +67,16 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     """Jobs that ``roots`` depend on through tables, transitively, and the roots themselves.
 
     Each round goes from new jobs to the tables they read to the jobs that write them, so the work is
-    one row per access and no writer-reader pair is built. Rounds are written out, and the loop
-    stops when a round finds nothing new.
+    one row per access and no writer-reader pair is built. Reads and writes are written out once, apart and
+    without the jobs that could never matter: a round reads only the side it needs. Rounds are written out,
+    and the loop stops when a round finds nothing new. All of this runs when it is called.
     """
     access = materialize(access.select("access", "job", "table_name").distinct(), "access")
-    reads = access.where(F.col("access") == "read").select("job", "table_name")
+    written = recomputed(access.where(F.col("access") == "write").select("table_name").distinct(), ["table_name"])
+    reads = materialize(access.where(F.col("access") == "read").select("job", "table_name").join(written, "table_name", "left_semi"), "reads")
     writes = access.where(F.col("access") == "write").select("job", "table_name")
+    read = recomputed(reads.select("table_name").distinct(), ["table_name"])
+    writes = materialize(writes.join(read, "table_name", "left_semi"), "writes")
     frontier = materialize(roots.select(F.col(column).alias("job")).distinct(), "frontier")
     seen: list[DataFrame] = []
     while not frontier.isEmpty():
@@ -155,22 +163,26 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = materialize(links.join(ready, F.col("src") == F.col("node"), "left_anti"), "links")
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """``node``: those on a cycle, or on a path from one cycle to another.
+
+    What ``levels`` cannot reach from the roots is peeled from the leaves as well; nodes merely behind a cycle go.
+    """
+    stuck = levels(edges.select(F.col("src").alias("node")).limit(0), edges).where(F.col("level").isNull()).select("node")
+    stuck = materialize(stuck, "stuck")
+    inside = edges.select("src", "dst").distinct().join(stuck.select(F.col("node").alias("src")), "src", "left_semi")
+    inside = materialize(inside.join(stuck.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "inside")
+    back = levels(stuck, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return back.where(F.col("level").isNull()).select("node")
+
+
 def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row ``max_depth``: the largest shortest distance from any single root.
+    """One row ``max_depth``: the number of edges on the longest path from a root, NULL without any acyclic node.
 
-    Breadth first from every root; the work is one row per root and node it reaches.
+    The largest of ``levels``, one row per node. Where a node can be reached by a short and a long path the long one
+    counts; a breadth-first search from each root would take the short one, at one row per pair of root and node.
     """
-    links = materialize(edges.select("src", "dst").distinct(), "links")
-    roots = degrees(nodes, links).where(F.col("in_degree") == 0).select(F.col("node").alias("root"), "node")
-    frontier = materialize(roots, "depth")
-    seen, depth = [frontier], 0
-    while True:
-        step = frontier.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(_union(seen), ["root", "node"], "left_anti"), "depth")
-        if frontier.isEmpty():
-            return links.sparkSession.range(1).select(F.lit(depth).cast("bigint").alias("max_depth"))
-        seen = _with(seen, frontier)
-        depth += 1
+    return levels(nodes, edges).agg(F.max("level").cast("bigint").alias("max_depth"))
 
 
 def classify(
@@ -178,22 +190,19 @@ def classify(
 ) -> DataFrame:
     """Class of a name: exact entry, else the longest matching suffix, else ``fallback``.
 
-    ``exact(name, class)`` and ``suffixes(suffix, class)``. Names are classified once each; their
-    suffixes of every length in the suffix table join by equality.
+    ``exact(name, class)`` and ``suffixes(suffix, class)``; the smallest class counts where a name or suffix has
+    several. Names are classified once each; their endings up to the longest suffix join by equality.
     """
-    names = df.select(F.col(column).alias("_name")).distinct()
-    lengths = [r[0] for r in suffixes.select(F.length("suffix")).distinct().orderBy(F.col("length(suffix)").desc()).collect()]
-    tails = names.select("_name", F.explode(F.array(*[F.right("_name", F.lit(n)) for n in lengths])).alias("_tail")).where(
-        F.col("_name").isNotNull()
-    )
-    by_suffix = (
-        tails.distinct()
-        .join(suffixes.select(F.col("suffix").alias("_tail"), F.col("class").alias("_class")), "_tail")
-        .groupBy("_name")
-        .agg(F.max_by("_class", F.length("_tail")).alias("_by_suffix"))
-    )
+    # One class per name and per suffix: the smallest, where a table lists several.
+    exact = exact.groupBy(F.col("name").alias("_name")).agg(F.min("class").alias("_exact"))
+    endings = suffixes.groupBy(F.col("suffix").alias("_tail")).agg(F.min("class").alias("_class"))
+    names = df.select(F.col(column).alias("_name")).where(F.col(column).isNotNull()).distinct()
+    longest = suffixes.agg(F.coalesce(F.max(F.char_length("suffix")), F.lit(0)).alias("n")).scalar()
+    sized = names.withColumn("_sizes", F.sequence(F.lit(0), F.least(F.char_length("_name"), longest)))
+    tails = sized.select("_name", F.explode("_sizes").alias("_n")).select("_name", F.right(F.col("_name"), F.col("_n")).alias("_tail"))
+    by_suffix = tails.join(endings, "_tail").groupBy("_name").agg(F.max_by("_class", F.char_length("_tail")).alias("_by_suffix"))
     classes = (
-        names.join(exact.select(F.col("name").alias("_name"), F.col("class").alias("_exact")), "_name", "left")
+        names.join(exact, "_name", "left")
         .join(by_suffix, "_name", "left")
         .select("_name", F.coalesce("_exact", "_by_suffix", F.lit(fallback)).alias(name))
     )

@@ -58,22 +58,25 @@ def st05_sliding(t):
     return _finish(t, flows.stream_aggregate(_stream(t), "ts", "6 hours", ops, ["event_type"], slide="2 hours", delay="30 minutes"))
 
 
-@query(
-    "st06_merge_changes",
-    f"""WITH last AS (SELECT * FROM ({_FEED}) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY ts DESC, event_id DESC) = 1)
-        SELECT coalesce(c.c_custkey, l.c_custkey) AS c_custkey, c.c_name AS c_name, coalesce(l.c_mktsegment, c.c_mktsegment) AS c_mktsegment
-        FROM customer c FULL JOIN last l ON l.c_custkey = c.c_custkey WHERE coalesce(l.op, '') <> 'D'""",
-)
+_MERGED = """SELECT coalesce(c.c_custkey, l.c_custkey) AS c_custkey, c.c_name AS c_name, coalesce(l.c_mktsegment, c.c_mktsegment) AS c_mktsegment
+        FROM {0} c FULL JOIN (SELECT * FROM ({1}) WHERE event_id % 2 = {2} QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY ts DESC, event_id DESC) = 1) l
+        ON l.c_custkey = c.c_custkey WHERE coalesce(l.op, '') <> 'D'"""
+
+
+@query("st06_merge_changes", f"WITH first AS ({_MERGED.format('customer', _FEED, 0)}) {_MERGED.format('first', _FEED, 1)}")
 def st06(t):
+    """Two starts over halves of the input, and a third one that finds nothing new."""
     from rowmill.plans.history import _feed
 
-    class Streamed:
-        events = _stream(t)
-
-    changes = scd.read_change_feed(_feed(Streamed), "op")
-    target = scratch_path(t.spark, "dimension")
+    target, checkpoint, inbox = (scratch_path(t.spark, n) for n in ("dimension", "checkpoint", "inbox"))
     base = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     merge = flows.merge_changes(["c_custkey"], ["ts", "event_id"])
-    running = flows.stream_merge(changes, base, target, scratch_path(t.spark, "checkpoint"), merge)
-    running.awaitTermination()
-    return flows.latest_version(t.spark, target, running, base)
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1", "false"):
+        t.events.where(part).write.mode("append").parquet(inbox)
+
+        class Streamed:
+            events = flows.stream_files(t.spark, inbox, t.events.schema)
+
+        changes = scd.read_change_feed(_feed(Streamed), "op")
+        flows.stream_merge(changes, base, target, checkpoint, merge, keys=["c_custkey"], buckets=8).awaitTermination()
+    return flows.latest_version(t.spark, target, base)

@@ -1,4 +1,4 @@
-"""Data checks. Every check table has the columns model, check, status, detail, category."""
+"""Data checks. Every check table has the columns model, check, status, detail, category, recommendation."""
 
 from __future__ import annotations
 
@@ -16,16 +16,18 @@ AUDIT_PREFIXES = ("di_", "sor_", "dw_", "etl_", "batch_", "load_", "created_", "
 KEY_AUDIT_PREFIXES = ("sor_", "di_", "dw_", "etl_", "batch_")
 KEY_HINTS = ("key", "sk", "_id")
 CODE_MARKERS = (
-    "context.", "Date.formatDate(", "Date.parseDate(", "Date.getCurrentDate(", "routines.", "StringHandling.",
-    "Numeric.sequence", ".getProperty(", "Integer.parseInt", "globalMap.get",
+    r"context\.", r"Date\.[a-z]\w*\(", r"routines\.", r"StringHandling\.", r"Numeric\.sequence", r"\.getProperty\(", r"Integer\.parseInt",
+    r"globalMap\.get",
 )
 DUPLICATE_WARN_PERCENT = 80
 MANY_JOINS = 3
 
 
-def _check(name: str, status: Column, detail: Column, category: str) -> Column:
+def _check(name: str, status: Column, detail: Column, category: str | Column, advice: Column | None = None) -> Column:
     return F.struct(
-        F.lit(name).alias("check"), status.alias("status"), detail.alias("detail"), F.lit(category).alias("category")
+        F.lit(name).alias("check"), status.alias("status"), detail.alias("detail"),
+        (category if isinstance(category, Column) else F.lit(category)).alias("category"),
+        F.coalesce(F.lit("") if advice is None else advice, F.lit("")).alias("recommendation"),
     )
 
 
@@ -49,18 +51,18 @@ def validate(
 
     All counts share one pass without a shuffle; a second pass reads the key column alone.
 
-    ``null_columns`` are NULL by design. ``joins``, ``inner_joins`` and ``cross_join`` describe how
+    ``markers`` are patterns of code that should not be left in data. ``null_columns`` are NULL by design. ``joins``, ``inner_joins`` and ``cross_join`` describe how
     the table was built and only steer the wording and the duplicate rule.
     """
     columns = df.columns
     if not columns:
         return df.sparkSession.createDataFrame(
-            [(model, "Schema", "fail", "No columns", "infrastructure")],
-            "model string, check string, status string, detail string, category string",
+            [(model, "Schema", "fail", "No columns", "infrastructure", "")],
+            "model string, check string, status string, detail string, category string, recommendation string",
         )
     key = pick_key(columns, null_columns)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    marked = lambda c: reduce(lambda a, b: a | b, [F.contains(F.col(c), F.lit(m)) for m in markers])
+    marked = lambda c: F.col(c).rlike("|".join(markers))
     summary = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -78,11 +80,12 @@ def validate(
     else:
         empty = "0 rows: check the source and the filters"
     counted = F.concat(rows.cast("string"), F.lit(" rows"))
-    row_check = F.struct(
-        F.lit("Row Count").alias("check"),
-        F.when(rows == 0, "fail").when(rows < 2, "warn").otherwise("pass").alias("status"),
-        F.when(rows == 0, empty).otherwise(counted).alias("detail"),
-        F.when(rows == 0, "logic").otherwise("data_quality").alias("category"),
+    row_check = _check(
+        "Row Count",
+        F.when(rows == 0, "fail").when(rows < 2, "warn").otherwise("pass"),
+        F.when(rows == 0, empty).otherwise(counted),
+        F.when(rows == 0, "logic").otherwise("data_quality"),
+        F.when(rows == 0, "Trace the filters and joins back to the first one that drops all rows."),
     )
     schema_row = _check("Schema", F.lit("pass"), F.lit(f"{len(columns)} columns"), "data_quality")
 
@@ -92,24 +95,28 @@ def validate(
     surprise = F.array_compact(
         F.array(*[F.when((F.col(f"n{i}") == 0) & F.lit(not e), F.lit(c)) for i, (c, e) in enumerate(zip(columns, expected))])
     )
-    shown = F.array_join(F.slice(surprise, 1, 5), ", ")
+    shown = F.array_join(surprise, ", ")
+    mostly = F.size(surprise) > len(columns) * 0.5
     null_row = _check(
         "NULL Analysis",
-        F.when(F.size(surprise) > len(columns) * 0.5, "fail").when(F.size(surprise) > 0, "warn").otherwise("pass"),
+        F.when(mostly, "fail").when(F.size(surprise) > 0, "warn").otherwise("pass"),
         F.when(F.size(surprise) > 0, F.concat(F.size(surprise).cast("string"), F.lit(" unexpected all-NULL: "), shown))
         .when(F.size(all_null) > 0, F.concat(F.size(all_null).cast("string"), F.lit(" all-NULL columns, all expected")))
         .otherwise("No all-NULL columns"),
-        "data_quality",
+        F.when(mostly, "translation").otherwise("data_quality"),
+        F.when(mostly, "Most columns are empty: check how they are mapped.").when(F.size(surprise) > 0, "Some columns are empty: check their sources."),
     )
 
     distinct = F.col("distinct_keys")
     share = F.concat(F.lit(f"{key}: "), distinct.cast("string"), F.lit("/"), rows.cast("string"), F.lit(" unique"))
     many = (1 - F.try_divide(distinct, rows)) * 100 > DUPLICATE_WARN_PERCENT
+    repeated = (distinct != rows) & (distinct != 0) & many & F.lit(not cross_join and joins <= 1)
     key_row = _check(
         "Key Uniqueness",
-        F.when((distinct != rows) & (distinct != 0) & many & F.lit(not cross_join and joins <= 1), "warn").otherwise("pass"),
+        F.when(repeated, "warn").otherwise("pass"),
         F.when(distinct == 0, f"{key}: all NULL").otherwise(share),
         "data_quality",
+        F.when(repeated, "Many duplicates from one source: a grouping may be missing."),
     )
     hits = F.array_compact(F.array(*[F.when(F.col(f"m{i}") > 0, F.lit(c)) for i, c in enumerate(text)] or [F.lit(None).cast("string")]))
     marker_row = _check(
@@ -117,6 +124,7 @@ def validate(
         F.when(F.size(hits) > 0, "fail").otherwise("pass"),
         F.when(F.size(hits) > 0, F.concat(F.lit("code left in: "), F.array_join(hits, ", "))).otherwise("No code left in the data"),
         "translation",
+        F.when(F.size(hits) > 0, "These expressions were not translated: complete them."),
     )
     always = F.array(row_check, schema_row)
     # An empty table has nothing further to check.
@@ -175,7 +183,7 @@ def overall(checks: DataFrame) -> DataFrame:
 
 
 def summary(models: DataFrame) -> DataFrame:
-    """Totals over ``overall`` rows with pass and health rate in whole percent."""
+    """Totals over ``overall`` rows with pass and health rate in whole percent; the rows themselves are the list by model."""
     count = lambda s: F.count_if(F.col("status") == s)
     total = F.greatest(F.col("total_models"), F.lit(1))
     out = models.agg(
@@ -199,24 +207,29 @@ def failing_rows(df: DataFrame, condition: Expression) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keyed difference: ``only_left``, ``only_right`` or ``changed`` with the changed column names.
+    """Keyed difference: ``only_left``, ``only_right``, ``repeated`` or ``changed`` with the changed column names.
 
-    One grouped union instead of a full join: every (key, side) is combined before the shuffle.
+    A key with several rows on a side has no row to compare and is ``repeated``, whatever the rows hold;
+    ``compare_bag`` compares those. One grouped union instead of a full join: every key is combined before the shuffle.
     """
     values = [c for c in left.columns if c not in keys]
     tag = lambda df, side: df.select(*keys, F.struct(*values).alias("_row"), F.lit(side).alias("_side"))
     both = tag(left, 1).unionAll(tag(right, 2))
+    on = lambda side: F.when(F.col("_side") == side, F.col("_row"))
     sides = both.groupBy(*keys).agg(
-        F.max_by(F.when(F.col("_side") == 1, F.col("_row")), F.when(F.col("_side") == 1, 1)).alias("_l"),
-        F.max_by(F.when(F.col("_side") == 2, F.col("_row")), F.when(F.col("_side") == 2, 1)).alias("_r"),
+        # Used only where a side has one row, so any of several will do.
+        F.any_value(on(1), True).alias("_l"), F.any_value(on(2), True).alias("_r"),
+        F.count(on(1)).alias("_nl"), F.count(on(2)).alias("_nr"),
     )
     changed = F.array_compact(
         F.array(*[F.when(~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")), F.lit(c)) for c in values])
     )
+    once = (F.col("_nl") <= 1) & (F.col("_nr") <= 1)
     difference = (
-        F.when(F.col("_r").isNull(), "only_left").when(F.col("_l").isNull(), "only_right").when(F.size(changed) > 0, "changed")
+        F.when(~once, "repeated").when(F.col("_nr") == 0, "only_left").when(F.col("_nl") == 0, "only_right")
+        .when(F.size(changed) > 0, "changed")
     )
-    names = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.array_join(changed, ",")).otherwise("")
+    names = F.when(difference == "changed", F.array_join(changed, ",")).otherwise("")
     return sides.select(*keys, difference.alias("difference"), names.alias("columns")).where(F.col("difference").isNotNull())
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import neighbour, order_columns, ordered_slices, row_hash, split_hot, with_position
+from rowmill.operators.ordered import neighbour, order_columns, ordered_slices, row_hash, sort_key, split_hot, with_position
 from rowmill.session import materialize
 
 
@@ -29,9 +29,25 @@ def _paired(dim: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFram
     return d.join(u, cond, "full").select("d", "u")
 
 
-def scd1(dim: DataFrame, updates: DataFrame, keys: Sequence[str], tracked: Sequence[str]) -> DataFrame:
-    """Overwrite tracked columns of known keys and insert new keys. Keys are unique on both sides."""
-    paired = _paired(dim, updates, keys)
+def _one_update(updates: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    """One update per key: the last in ``order``; without an order a key with several updates fails the job."""
+    if order is not None:
+        return latest_changes(updates, keys, order)
+    names = [f"_k{i}" for i in range(len(keys))]
+    row = F.any_value(F.struct(*updates.columns)).alias("_row")
+    single = updates.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias("_n"), row)
+    text = F.concat(F.lit("several updates of key "), F.to_json(F.struct(*names)), F.lit(": give an order"))
+    return single.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).select("_row.*")
+
+
+def scd1(
+    dim: DataFrame, updates: DataFrame, keys: Sequence[str], tracked: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
+    """Overwrite tracked columns of known keys and insert new keys.
+
+    Keys are unique in the dimension. Of several updates of a key the last in ``order`` counts; without it they fail.
+    """
+    paired = _paired(dim, _one_update(updates, keys, order), keys)
     given = set(updates.columns)
     known, updated = F.col("d").isNotNull(), F.col("u").isNotNull()
     out = []
@@ -60,13 +76,15 @@ def scd2(
     end: str = "valid_to",
     current: str = "is_current",
     surrogate: str | None = None,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Close changed versions, add new versions, keep history.
 
     Only current versions meet the updates; closed history passes through without a shuffle.
-    Updates are unique per key. ``as_of`` ends closed versions and starts new ones.
+    Of several updates of a key the last in ``order`` counts; without it they fail. ``as_of`` ends closed
+    versions and starts new ones.
     """
-    now = _paired(dim.where(F.col(current)), updates, keys)
+    now = _paired(dim.where(F.col(current)), _one_update(updates, keys, order), keys)
     known, updated = F.col("d").isNotNull(), F.col("u").isNotNull()
     changed = known & updated & ~_same("d", "u", tracked)
     types = {f.name: f.dataType for f in dim.schema.fields}
@@ -126,10 +144,13 @@ def read_change_feed(
 
 
 def latest_changes(changes: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
-    """The last change of each key. The partial maximum leaves one row per key and task to shuffle."""
+    """The last change of each key, in an order with NULLs last; a row hash decides among equal ones.
+
+    The partial maximum leaves one row per key and task to shuffle.
+    """
     row = F.struct(*changes.columns)
     best = changes.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.max_by(row, F.struct(*sequence)).alias("_row")
+        F.max_by(row, sort_key(sequence, row_hash(changes))).alias("_row")
     )
     return best.select("_row.*")
 
@@ -151,7 +172,7 @@ def apply_changes(
 
 def history_from_log(
     log: DataFrame, keys: Sequence[str], ts: str, tracked: Sequence[str], order: Sequence[str] = (),
-    start: str = "valid_from", end: str = "valid_to", current: str = "is_current",
+    start: str = "valid_from", end: str = "valid_to", current: str = "is_current", hot_rows: int | None = None,
 ) -> DataFrame:
     """Validity intervals from an event log: one row per run of equal tracked values of a key.
 
@@ -165,7 +186,7 @@ def history_from_log(
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_before.{c}")) for c in tracked])
     changed = F.col("_before").isNull() | ~same
 
-    cool, hot = split_hot(rows, keys)
+    cool, hot = split_hot(rows, keys, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order_columns([ts, *order, "_tie"]))
     starts = cool.withColumn("_before", F.lag(seen).over(window)).where(changed)
     bounded = starts.withColumn("_after", F.lead(moment).over(window))

@@ -42,7 +42,13 @@ _CHECKS = f"""WITH {_ODD}, {_NONE}, o AS (SELECT count(*) AS n, count(DISTINCT o
   UNION ALL SELECT 'none', 'Schema', 'pass', '2 columns', 'data_quality')"""
 
 
-@query("q01_q06_validate", f'{_CHECKS} SELECT model, "check", status, detail, category FROM checks')
+@query(
+    "q01_q06_validate",
+    f"""{_CHECKS} SELECT model, "check", status, detail, category, CASE WHEN model = 'none' AND status = 'fail' THEN 'Trace the filters and joins back to the first one that drops all rows.'
+        WHEN "check" = 'NULL Analysis' AND status = 'warn' THEN 'Some columns are empty: check their sources.'
+        WHEN "check" = 'Key Uniqueness' AND status = 'warn' THEN 'Many duplicates from one source: a grouping may be missing.'
+        WHEN "check" = 'Code Markers' AND status = 'fail' THEN 'These expressions were not translated: complete them.' ELSE '' END AS recommendation FROM checks""",
+)
 def validation(t):
     return _validation(t)
 
@@ -73,8 +79,8 @@ def summary(t):
          (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = o_custkey),
        l AS (SELECT count(*) FILTER (p.c_name IS NOT NULL) AS m, count(*) FILTER (p.c_name IS NULL) AS u FROM orders LEFT JOIN customer p ON p.c_name = o_orderpriority)
        SELECT 'orders' AS model, 'lookup rich customer' AS "check", CASE WHEN m = 0 THEN 'fail' WHEN u > 0 THEN 'warn' ELSE 'pass' END AS status,
-         m || ' matched, ' || u || ' unmatched' AS detail, 'logic' AS category FROM o UNION ALL
-       SELECT 'orders', 'lookup name', CASE WHEN m = 0 THEN 'fail' WHEN u > 0 THEN 'warn' ELSE 'pass' END, m || ' matched, ' || u || ' unmatched', 'logic' FROM l""",
+         m || ' matched, ' || u || ' unmatched' AS detail, 'logic' AS category, '' AS recommendation FROM o UNION ALL
+       SELECT 'orders', 'lookup name', CASE WHEN m = 0 THEN 'fail' WHEN u > 0 THEN 'warn' ELSE 'pass' END, m || ' matched, ' || u || ' unmatched', 'logic', '' FROM l""",
 )
 def lookup_match(t):
     return quality.lookup_match(
@@ -88,10 +94,13 @@ def lookup_match(t):
 
 @query(
     "q03_column_schema",
-    "SELECT CAST(11 AS INTEGER) AS columns, count(*) AS n FROM lineitem",
+    """SELECT 'lineitem' AS model, "check", 'pass' AS status, detail, 'data_quality' AS category FROM (
+       SELECT 'Row Count' AS "check", count(*) || ' rows' AS detail FROM lineitem
+       UNION ALL SELECT 'Schema', count(*) || ' columns' FROM (DESCRIBE lineitem))""",
 )
 def column_schema(t):
-    return t.lineitem.agg(F.lit(len(t.lineitem.columns)).alias("columns"), F.count("*").alias("n"))
+    checks = quality.validate(t.lineitem, "lineitem").where(F.col("check").isin("Row Count", "Schema"))
+    return checks.drop("recommendation")
 
 
 @query(
@@ -101,7 +110,7 @@ def column_schema(t):
        i AS (SELECT count(*) AS n FROM (SELECT event_id FROM e GROUP BY event_id HAVING count(*) > 1)),
        c(name, n) AS (SELECT 'not_null kind', count(*) FROM e WHERE kind IS NULL UNION ALL SELECT 'not_null event_id', count(*) FROM e WHERE event_id IS NULL
          UNION ALL SELECT 'not_null user_id', count(*) FROM e WHERE user_id IS NULL UNION ALL SELECT 'unique event_id', n FROM i UNION ALL SELECT 'unique user_id', n FROM k)
-       SELECT 'events' AS model, name AS "check", CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n || ' failing' AS detail, 'data_quality' AS category FROM c""",
+       SELECT 'events' AS model, name AS "check", CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n || ' failing' AS detail, 'data_quality' AS category, '' AS recommendation FROM c""",
 )
 def column_tests(t):
     rows = t.events.withColumn("kind", F.expr("nullif(event_type, 'view')"))
@@ -144,6 +153,21 @@ def compare(t):
     return quality.compare(*_sides(t), ["c_custkey"])
 
 
+@query(
+    "q11_compare_repeated",
+    """WITH l AS (SELECT o_custkey, o_orderstatus, o_orderdate FROM orders WHERE o_totalprice > 400000), r AS (SELECT o_custkey, o_orderstatus, o_orderdate FROM orders WHERE o_totalprice > 350000),
+       s AS (SELECT o_custkey, (SELECT count(*) FROM l WHERE l.o_custkey = k.o_custkey) AS nl, (SELECT count(*) FROM r WHERE r.o_custkey = k.o_custkey) AS nr,
+         (SELECT any_value(l) FROM l WHERE l.o_custkey = k.o_custkey) AS a, (SELECT any_value(r) FROM r WHERE r.o_custkey = k.o_custkey) AS b
+         FROM (SELECT o_custkey FROM l UNION SELECT o_custkey FROM r) k),
+       d AS (SELECT o_custkey, CASE WHEN nl > 1 OR nr > 1 THEN 'repeated' WHEN nr = 0 THEN 'only_left' WHEN nl = 0 THEN 'only_right' WHEN a <> b THEN 'changed' END AS difference, a, b FROM s)
+       SELECT o_custkey, difference, CASE WHEN difference = 'changed' THEN concat_ws(',', CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'o_orderstatus' END,
+         CASE WHEN a.o_orderdate <> b.o_orderdate THEN 'o_orderdate' END) ELSE '' END AS columns FROM d WHERE difference IS NOT NULL""",
+)
+def compare_repeated(t):
+    side = lambda floor: t.orders.where(F.col("o_totalprice") > floor).select("o_custkey", "o_orderstatus", "o_orderdate")
+    return quality.compare(side(400000), side(350000), ["o_custkey"])
+
+
 @query(
     "q11_compare_bag",
     """SELECT l_partkey, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT l_partkey, 1 AS n FROM lineitem WHERE l_returnflag = 'R' UNION ALL

@@ -29,6 +29,25 @@ def d01(t):
     return scd.scd1(dim, _updates(t), ["c_custkey"], ["c_mktsegment"])
 
 
+# Several updates of one key: the one with the largest price and key counts.
+_REPEATED = """updates AS (SELECT c_custkey, c_name, c_mktsegment FROM (SELECT o_custkey AS c_custkey, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS c_name, o_orderpriority AS c_mktsegment,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)"""
+
+
+def _repeated(t):
+    return t.orders.selectExpr("o_custkey AS c_custkey", "concat('Customer#', lpad(cast(o_custkey AS string), 9, '0')) AS c_name", "o_orderpriority AS c_mktsegment", "o_totalprice", "o_orderkey")
+
+
+@query(
+    "d01_scd1_repeated",
+    f"""WITH {_REPEATED} SELECT coalesce(c.c_custkey, u.c_custkey) AS c_custkey, coalesce(c.c_name, u.c_name) AS c_name, c.c_acctbal AS c_acctbal,
+        coalesce(u.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN updates u ON u.c_custkey = c.c_custkey""",
+)
+def d01_repeated(t):
+    dim = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return scd.scd1(dim, _repeated(t), ["c_custkey"], ["c_mktsegment"], order=["o_totalprice", "o_orderkey"])
+
+
 # A dimension with history: every customer has a current version, rich ones an older closed one.
 _DIM = """dim AS (SELECT c_custkey * 2 AS sk, c_custkey, c_name, c_mktsegment, DATE '2024-01-01' AS valid_from, CAST(NULL AS DATE) AS valid_to, true AS is_current FROM customer
     UNION ALL SELECT c_custkey * 2 + 1, c_custkey, c_name, 'OLD', DATE '2023-01-01', DATE '2024-01-01', false FROM customer WHERE c_acctbal > 5000)"""
@@ -59,6 +78,16 @@ def d02(t):
     return scd.scd2(_dim(t).drop("sk"), _updates(t), ["c_custkey"], ["c_mktsegment"], F.lit("2024-06-01").cast("date"))
 
 
+@query(
+    "d02_scd2_repeated",
+    f"""WITH {_REPEATED}, {_DIM}, {_SCD2} SELECT c_custkey, c_name, c_mktsegment, valid_from, valid_to, is_current FROM closed
+        UNION ALL SELECT c_custkey, c_name, c_mktsegment, DATE '2024-06-01', NULL, true FROM fresh""",
+)
+def d02_repeated(t):
+    as_of = F.lit("2024-06-01").cast("date")
+    return scd.scd2(_dim(t).drop("sk"), _repeated(t), ["c_custkey"], ["c_mktsegment"], as_of, order=["o_totalprice", "o_orderkey"])
+
+
 @query(
     "d03_surrogate_keys",
     f"""WITH {_UPDATES}, {_DIM}, {_SCD2} SELECT sk, c_custkey, c_name, c_mktsegment, valid_from, valid_to, is_current FROM closed
@@ -97,12 +126,17 @@ def d04(t):
     return scd.apply_changes(base, changes, ["c_custkey"], ["ts", "event_id"])
 
 
-@query(
-    "d05_history_from_log",
-    """WITH s AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_HISTORY = """WITH s AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
        c AS (SELECT * FROM s WHERE before IS DISTINCT FROM event_type)
        SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS is_current FROM c
-       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
-)
+       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@query("d05_history_from_log", _HISTORY)
 def d05(t):
     return scd.history_from_log(t.events, ["user_id"], "ts", ["event_type"], ["event_id"])
+
+
+@query("d05_history_sliced", _HISTORY)
+def d05_sliced(t):
+    return scd.history_from_log(t.events, ["user_id"], "ts", ["event_type"], ["event_id"], hot_rows=0)

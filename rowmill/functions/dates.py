@@ -14,6 +14,7 @@ from rowmill.functions import ColumnLike, arg, col
 UNITS = {
     "yyyy": "YEAR", "year": "YEAR",
     "MM": "MONTH", "month": "MONTH",
+    "quarter": "QUARTER", "week": "WEEK",
     "dd": "DAY", "day": "DAY",
     "HH": "HOUR", "hour": "HOUR",
     "mm": "MINUTE", "minute": "MINUTE",
@@ -119,9 +120,17 @@ def add_to_date(value: ColumnLike, unit: str, amount: int | Column) -> Column:
 
 
 def diff_date(left: ColumnLike, right: ColumnLike, unit: str = "dd") -> Column:
-    """Unit borders crossed from ``right`` to ``left``: 31 January to 1 February is one month."""
+    """Unit borders crossed from ``right`` to ``left``: 31 January to 1 February is one month. Weeks begin on Monday."""
     a, b = col(left), col(right)
     kind = unit_name(unit)
+    if kind == "MILLISECOND":
+        # Borders, so both ends are cut to whole milliseconds before they are compared.
+        whole = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 1000)
+        return (whole(a) - whole(b)).cast("bigint")
+    if kind == "QUARTER":
+        return (F.year(a).cast("bigint") - F.year(b)) * 4 + F.quarter(a) - F.quarter(b)
+    if kind == "WEEK":
+        return (F.datediff(F.trunc(a, "week"), F.trunc(b, "week")) / 7).cast("bigint")
     years = F.year(a).cast("bigint") - F.year(b)
     if kind == "YEAR":
         return years

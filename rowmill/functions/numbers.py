@@ -89,8 +89,9 @@ def to_hex(x: ColumnLike) -> Column:
 
 
 def from_hex(text: ColumnLike) -> Column:
-    """Number of a hexadecimal text; NULL when it is not one or has more than 15 digits."""
-    return F.when(col(text).rlike(r"^[0-9a-fA-F]{1,15}\z"), F.conv(col(text), 16, 10).cast("bigint"))
+    """Number of a hexadecimal text; NULL when it is not one or is larger than a BIGINT."""
+    digits = F.regexp_replace(col(text), r"^0+(?=.)", "")
+    return F.when(digits.rlike(r"^[0-9a-fA-F]{1,16}\z"), F.conv(digits, 16, 10).try_cast("bigint"))
 
 
 # Text to values. The strict forms fail on text that is not a value, the try forms give NULL.

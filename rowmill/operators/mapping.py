@@ -35,23 +35,19 @@ def with_variables(df: DataFrame, variables: Mapping[str, Expression]) -> DataFr
 def with_context(df: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     """Make parameters usable as ``context.name`` in any expression over ``df``.
 
-    The values are literals, so they fold into filters and reach the scan.
+    The values are literals (or scalar subqueries, see ``load_context``), so they fold into filters and reach the scan.
     """
-    return df.withColumn("context", F.struct(*[F.lit(v).alias(k) for k, v in params.items()])) if params else df
+    values = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in params.items()]
+    return df.withColumn("context", F.struct(*values)) if values else df
 
 
-MAX_CONTEXT = 10_000
+def load_context(rows: DataFrame, names: Sequence[str], name: str = "key", value: str = "value") -> dict[str, Column]:
+    """Named parameters from ``(key, value)`` rows of a file or table, for ``with_context``.
 
-
-def load_context(rows: DataFrame, name: str = "key", value: str = "value") -> dict[str, Any]:
-    """Parameters from ``(key, value)`` rows of a file or table, for ``with_context`` and ``read_query``.
-
-    Parameters are few by nature; more than ``MAX_CONTEXT`` rows is an error, not a cut.
+    Each is a scalar subquery over the rows of its key, so nothing is collected and tables of any size will do. A key
+    without a row gives NULL, one with several rows its largest value.
     """
-    found = rows.select(name, value).limit(MAX_CONTEXT + 1).collect()
-    if len(found) > MAX_CONTEXT:
-        raise ValueError(f"more than {MAX_CONTEXT} parameters")
-    return {r[0]: r[1] for r in found}
+    return {n: rows.where(F.col(name) == n).agg(F.max(value).alias(n)).scalar() for n in names}
 
 
 def map_columns(

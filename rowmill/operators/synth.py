@@ -69,13 +69,12 @@ def _decimal(number: Column, low_cents: int, high_cents: int) -> Column:
     return F.format_string("%.2f", (number % (high_cents - low_cents + 1) + low_cents) / 100.0)
 
 
-# First rule with a part inside the column name wins.
+# First rule with a part inside the column name wins; a title is not one in a name that is about a job.
 TEXT_RULES = (
     (("firstname", "first_name"), lambda h, i: pick(FIRST_NAMES, h)),
     (("lastname", "last_name"), lambda h, i: pick(LAST_NAMES, h)),
     (("middlename", "middle_name"), lambda h, i: F.left(pick(FIRST_NAMES, h), F.lit(1))),
     (("name",), lambda h, i: F.concat_ws(" ", pick(FIRST_NAMES, h), pick(LAST_NAMES, F.floor(h / 8).cast("bigint")))),
-    (("jobtitle", "job_title", "position"), lambda h, i: pick(JOBS, h)),
     (("title",), lambda h, i: pick(TITLES, h)),
     (("suffix",), lambda h, i: pick(SUFFIXES, h)),
     (("gender", "sex"), lambda h, i: pick(GENDERS, h)),
@@ -83,17 +82,18 @@ TEXT_RULES = (
     (("phone", "mobile", "fax"), lambda h, i: F.concat(F.lit("555-"), _digits(h, 1000, 9999))),
     (("address",), lambda h, i: F.concat_ws(" ", _digits(h, 1, 999), pick(STREETS, h))),
     (("city",), lambda h, i: pick(CITIES, h)),
-    (("status",), lambda h, i: pick(STATUSES, h)),
     (("state", "province", "region"), lambda h, i: pick(STATES, h)),
     (("zip", "postal"), lambda h, i: _digits(h, 10000, 99999)),
     (("country",), lambda h, i: pick(COUNTRIES, h)),
     (("company", "vendor", "supplier"), lambda h, i: pick(COMPANIES, h)),
     (("department", "dept"), lambda h, i: pick(DEPARTMENTS, h)),
+    (("jobtitle", "job_title", "position"), lambda h, i: pick(JOBS, h)),
     (("cost", "price", "amount", "total"), lambda h, i: _decimal(h, 100, 5_000_000)),
     (("rate",), lambda h, i: _decimal(h, 1, 10_000)),
     (("qty", "quantity", "count"), lambda h, i: _digits(h, 1, 500)),
     (("weight", "mass"), lambda h, i: _decimal(h, 10, 100_000)),
     (("hrs", "hours"), lambda h, i: _decimal(h, 50, 4_000)),
+    (("status",), lambda h, i: pick(STATUSES, h)),
     (("type", "category"), lambda h, i: pick(TYPES, h)),
     (("flag", "is_", "has_"), lambda h, i: pick(FLAGS, h)),
     (("priority",), lambda h, i: pick(PRIORITIES, h)),
@@ -118,7 +118,7 @@ def _day(number: Column) -> Column:
 def _text(name: str, number: Column, row: Column) -> Column:
     lowered = name.lower()
     for parts, rule in TEXT_RULES:
-        if any(p in lowered for p in parts):
+        if any(p in lowered for p in parts) and not (parts == ("title",) and "job" in lowered):
             return rule(number, row)
     return F.concat_ws("_", pick(WORDS, number), (row + 1).cast("string"))
 
@@ -130,7 +130,28 @@ def _key(kind: T.DataType, number: Column, row: Column) -> Column:
         return F.date_add(F.lit(FIRST_DAY).cast("date"), row.cast("int")).cast(kind)
     if isinstance(kind, T.BooleanType):
         return number % 2 == 0
-    return (row + 1).cast(kind)
+    return (row % _LARGEST.get(type(kind), 1 << 62) + 1).cast(kind) if not isinstance(kind, T.DecimalType) else _whole(kind, row)
+
+
+# Largest key of the small number types; later rows begin again at 1.
+_LARGEST = {T.ByteType: 127, T.ShortType: 32_767, T.IntegerType: 2_147_483_647}
+
+
+def _whole(kind: T.DecimalType, row: Column) -> Column:
+    """Row numbers from 1 inside a decimal's whole digits, or of its last place where it has no whole digits."""
+    digits = kind.precision - kind.scale
+    if digits < 1:
+        return ((row % (10 ** min(kind.precision, 18) - 1) + 1).cast("decimal(38,0)") / F.lit(10**kind.scale).cast("decimal(38,0)")).cast(kind)
+    return (row % (10 ** min(digits, 18) - 1) + 1).cast(kind)
+
+
+def _fraction(kind: T.DataType, number: Column) -> Column:
+    """A number with two places, inside the precision and scale of a decimal."""
+    if not isinstance(kind, T.DecimalType):
+        return ((number % MAX_CENTS + 1) / 100.0).cast(kind)
+    places = min(kind.scale, 2)
+    largest = min(10 ** min(kind.precision - kind.scale + places, 18) - 1, MAX_CENTS // 10 ** (2 - places))
+    return ((number % max(largest, 1) + 1).cast("decimal(20,0)") / F.lit(10**places).cast("decimal(20,0)")).cast(kind)
 
 
 def column_value(field: T.StructField, row: Column, seed: int = 42) -> Column:
@@ -144,7 +165,7 @@ def column_value(field: T.StructField, row: Column, seed: int = 42) -> Column:
     elif isinstance(kind, T.IntegralType):
         value = (number % (100 if isinstance(kind, T.ByteType) else MAX_INT) + 1).cast(kind)
     elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        value = ((number % MAX_CENTS + 1) / 100.0).cast(kind)
+        value = _fraction(kind, number)
     elif isinstance(kind, T.BooleanType):
         value = number % 2 == 0
     elif isinstance(kind, T.DateType):
@@ -189,16 +210,13 @@ def reconcile(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-POOL = 20
-
-
 def patch_foreign_key(
-    parent: DataFrame, parent_column: str, child: DataFrame, child_column: str, order: Sequence, pool: int | None = POOL
+    parent: DataFrame, parent_column: str, child: DataFrame, child_column: str, order: Sequence, pool: int | None = None
 ) -> DataFrame:
     """Give a child column values of its parent column when the two have none in common.
 
-    Child rows in ``order`` take the parent values in turn: the first ``pool`` distinct ones, or all
-    of them when ``pool`` is None.
+    Child rows in ``order`` take all distinct parent values in turn, or the first ``pool`` of them. Compares, counts and
+    sorts when it is called.
     """
     kind = child.schema[child_column].dataType
     values = parent.select(F.col(parent_column).alias("v")).where(F.col(parent_column).isNotNull()).distinct()

@@ -28,8 +28,8 @@ def s02(t):
 @query("s04_k03_delimited", "SELECT doc_id, text, lang, n_chars FROM documents")
 def s04(t):
     path = scratch_path(t.spark, "csv")
-    out.write_delimited(t.documents.select("doc_id", "text", "lang", "n_chars"), path, sep="\t")
-    return src.read_delimited(t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", sep="\t", multiline=True)
+    out.write_delimited(t.documents.select("doc_id", "text", "lang", "n_chars"), path, sep="\t", code_lines=True)
+    return src.read_delimited(t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", sep="\t", code_lines=True)
 
 
 @query("s04_delimited_rejects", "SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id END AS user_id, event_type = 'error' AS bad FROM events")

@@ -350,7 +350,7 @@ def p27(t):
 )
 def p27_load(t):
     rows = t.customer.agg(F.max("c_acctbal").alias("m")).select(F.lit("floor").alias("key"), (F.col("m") * 10).alias("value"))
-    rows = mapping.with_context(t.orders, mapping.load_context(rows))
+    rows = mapping.with_context(t.orders, mapping.load_context(rows, ["floor"]))
     return rows.where("o_totalprice >= context.floor AND o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
 
 

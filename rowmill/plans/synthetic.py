@@ -8,7 +8,7 @@ from rowmill.plans.registry import query
 from rowmill.session import scratch_path
 from rowmill.sinks.files import write_delimited
 from rowmill.sources.files import read_delimited
-from rowmill.sources.tables import generate_rows
+from rowmill.sources.tables import generate_rows_per
 
 
 def _draw(column, salt=""):
@@ -69,6 +69,48 @@ def join_keys(t):
 _NAMED = ["first_name", "job_title", "gender", "status", "dept", "priority", "uom", "qty", "email", "other"]
 
 
+def _number(column, low, high):
+    return f"CAST({_draw(column)} % {high - low + 1} + {low} AS VARCHAR)"
+
+
+def _cents(column, low, high):
+    return f"printf('%.2f', ({_draw(column)} % {high - low + 1} + {low}) / 100.0)"
+
+
+# One column for each name rule, and names that fit several: the first rule in order wins.
+_RULES = {
+    "first_name": _pick("first_name", synth.FIRST_NAMES), "last_name": _pick("last_name", synth.LAST_NAMES), "middlename": "CAST(o_orderkey + 1 AS VARCHAR)",  # holds the key part "id", and key names come before all rules
+    "fullname": f"{_pick('fullname', synth.FIRST_NAMES)} || ' ' || [{', '.join(repr(v) for v in synth.LAST_NAMES)}][({_draw('fullname')} // 8) % {len(synth.LAST_NAMES)} + 1]",
+    "title": _pick("title", synth.TITLES), "suffix": _pick("suffix", synth.SUFFIXES), "sex": _pick("sex", synth.GENDERS), "email": "'user' || (o_orderkey + 1) || '@example.com'",
+    "mobile": f"'555-' || {_number('mobile', 1000, 9999)}", "address": f"{_number('address', 1, 999)} || ' ' || {_pick('address', synth.STREETS)}", "city": _pick("city", synth.CITIES),
+    "province": _pick("province", synth.STATES), "zip": _number("zip", 10000, 99999), "country": _pick("country", synth.COUNTRIES), "vendor": _pick("vendor", synth.COMPANIES),
+    "dept": _pick("dept", synth.DEPARTMENTS), "position": _pick("position", synth.JOBS), "price": _cents("price", 100, 5_000_000), "rate": _cents("rate", 1, 10_000),
+    "qty": _number("qty", 1, 500), "weight": _cents("weight", 10, 100_000), "hours": _cents("hours", 50, 4_000), "status": _pick("status", synth.STATUSES),
+    "category": _pick("category", synth.TYPES), "flag": _pick("flag", synth.FLAGS), "priority": _pick("priority", synth.PRIORITIES),
+    "remark": "'Description for item ' || (o_orderkey + 1)", "reason": _pick("reason", synth.REASONS), "website": "'https://example.com/' || (o_orderkey + 1)",
+    "shipdate": f"strftime(DATE '2020-01-01' + CAST({_draw('shipdate')} % 1501 AS INTEGER), '%Y-%m-%d')",
+    "time": f"printf('%02d:%02d:%02d', {_draw('time')} % 24, {_draw('time')} // 24 % 60, {_draw('time')} // 1440 % 60)", "uom": _pick("uom", synth.UNITS_OF_MEASURE),
+    "colour": _pick("colour", synth.COLORS), "size": _pick("size", synth.SIZES), "tool": _pick("tool", synth.TOOLS),
+    "version": f"{_number('version', 1, 10)} || '.' || ({_draw('version')} // 10 % 10)", "login": f"'user' || {_number('login', 1, 999)}",
+    "jobtitle": _pick("jobtitle", synth.JOBS), "state_status": _pick("state_status", synth.STATES), "city_state": _pick("city_state", synth.CITIES), "dept_position": _pick("dept_position", synth.DEPARTMENTS),
+}
+
+
+@query("g03_name_rules", f"SELECT o_orderkey, {', '.join(f'{sql} AS {name}' for name, sql in _RULES.items())} FROM orders")
+def name_rules(t):
+    schema = T.StructType([T.StructField(n, T.StringType(), False) for n in _RULES])
+    return synth.synth(t.orders, schema, F.col("o_orderkey"), keep=["o_orderkey"])
+
+
+@query(
+    "g02_small_keys",
+    """SELECT o_orderkey, CAST(o_orderkey % 127 + 1 AS TINYINT) AS byte_id, CAST(o_orderkey % 32767 + 1 AS SMALLINT) AS short_id, CAST(o_orderkey % 999 + 1 AS DECIMAL(5, 2)) AS decimal_id FROM orders""",
+)
+def small_keys(t):
+    schema = T.StructType([T.StructField("byte_id", T.ByteType(), False), T.StructField("short_id", T.ShortType(), False), T.StructField("decimal_id", T.DecimalType(5, 2), False)])
+    return synth.synth(t.orders, schema, F.col("o_orderkey"), keep=["o_orderkey"])
+
+
 @query(
     "g03_named_columns",
     f"""SELECT o_orderkey, {_pick("first_name", synth.FIRST_NAMES)} AS first_name, {_pick("job_title", synth.JOBS)} AS job_title, {_pick("gender", synth.GENDERS)} AS gender,
@@ -89,16 +131,21 @@ def _children(t):
     return t.supplier.select("s_suppkey", (-F.col("s_suppkey") - 1).alias("s_ref"))
 
 
-@query("g05_patch_foreign_key", _PATCH.format("ORDER BY v LIMIT 20"))
+@query("g05_patch_foreign_key", _PATCH.format(""))
 def patch(t):
     parent = t.orders.where("o_orderstatus = 'P'")
     return synth.patch_foreign_key(parent, "o_orderkey", _children(t), "s_ref", ["s_suppkey"])
 
 
-@query("g05_patch_all_values", _PATCH.format(""))
+# Every line takes one of all customers in turn.
+@query(
+    "g05_patch_all_values",
+    """SELECT o_orderkey, CAST(v AS BIGINT) AS o_ref FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) o
+       JOIN (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS size FROM customer) p ON n % size = i""",
+)
 def patch_all(t):
-    parent = t.orders.where("o_orderstatus = 'P'")
-    return synth.patch_foreign_key(parent, "o_orderkey", _children(t), "s_ref", ["s_suppkey"], pool=None)
+    child = t.orders.select("o_orderkey", (-F.col("o_custkey") - 1).alias("o_ref"))
+    return synth.patch_foreign_key(t.customer, "c_custkey", child, "o_ref", ["o_orderkey"])
 
 
 @query("g05_patch_not_needed", "SELECT o_orderkey, o_custkey FROM orders")
@@ -128,7 +175,10 @@ def csv_export(t):
 
 @query(
     "s13_generate_rows",
-    """SELECT id + 1 AS number, id % 7 AS bucket, 'row-' || id AS label FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS id)""",
+    """SELECT o_orderkey, id + 1 AS number, 'line-' || id AS label, o_totalprice / n AS share FROM (
+       SELECT o_orderkey, o_totalprice, n, unnest(range(n)) AS id FROM (SELECT *, o_orderkey % 4 + 1 AS n FROM orders))""",
 )
 def s13(t):
-    return generate_rows(t.spark, t.orders.count(), {"number": "id + 1", "bucket": "id % 7", "label": "concat('row-', id)"})
+    return generate_rows_per(
+        t.orders.withColumn("n", F.col("o_orderkey") % 4 + 1), "n", {"number": "id + 1", "label": "concat('line-', id)", "share": "o_totalprice / n"}
+    ).select("o_orderkey", "number", "label", "share")

@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# What stands for a backslash and for line ends in text, so that each record is one line.
+LINE_CODES = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def one_line(df: DataFrame) -> DataFrame:
+    """Text columns with line ends and backslashes written as codes."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    coded = {c: reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), LINE_CODES, F.col(f"`{c}`")) for c in text}
+    return df.withColumns(coded) if coded else df
+
+
 def write_delimited(
     df: DataFrame, path: str, sep: str = ",", header: bool = True, quote: str = '"', escape: str = '"',
-    encoding: str = "UTF-8", mode: str = "error", compression: str | None = None,
+    encoding: str = "UTF-8", mode: str = "error", compression: str | None = None, code_lines: bool = False,
 ) -> None:
+    """Delimited text. With ``code_lines`` every record is one line, so that large files are read in parts."""
     writer = (
-        df.write.mode(mode).option("sep", sep).option("header", header).option("quote", quote).option("escape", escape)
+        (one_line(df) if code_lines else df).write.mode(mode).option("sep", sep).option("header", header).option("quote", quote).option("escape", escape)
         .option("encoding", encoding)
     )
     (writer.option("compression", compression) if compression else writer).csv(path)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowmill.sinks.files import LINE_CODES
+
 CORRUPT = "_corrupt_record"
 
 
@@ -19,9 +22,13 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True,
     quote: str = '"', escape: str = '"', encoding: str = "UTF-8", keep_corrupt: bool = False, multiline: bool = False,
+    code_lines: bool = False,
 ) -> DataFrame:
     """Delimited text. Without a schema the types are inferred, which costs one more pass.
 
+    Line ends inside values need ``multiline``, which makes each file one task, or ``code_lines``, which restores
+    what ``write_delimited`` wrote with it and lets large files be split.
+
     ``keep_corrupt`` adds ``_corrupt_record`` with the text of lines that do not fit the schema;
     without it such a line fails the read.
     """
@@ -29,14 +36,23 @@ def read_delimited(
         spark.read.option("sep", sep).option("header", header).option("quote", quote).option("escape", escape)
         .option("encoding", encoding).option("multiLine", multiline)
     )
-    if schema is None:
-        return reader.option("inferSchema", True).csv(path)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if keep_corrupt:
+    if schema is None:
+        df = reader.option("inferSchema", True).csv(path)
+    elif keep_corrupt:
         wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
-    return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+        df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
+    else:
+        df = reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    return whole_lines(df) if code_lines else df
+
+
+def whole_lines(df: DataFrame) -> DataFrame:
+    """Undo ``one_line`` of the sinks: the backslash comes back last."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name != CORRUPT]
+    plain = {c: reduce(lambda v, p: F.replace(v, F.lit(p[1]), F.lit(p[0])), reversed(LINE_CODES), F.col(f"`{c}`")) for c in text}
+    return df.withColumns(plain) if plain else df
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
@@ -78,19 +94,24 @@ def read_regex(spark: SparkSession, path: str, pattern: str, names: Sequence[str
     return (lines if keep_unmatched else lines.where(hit)).select(*groups)
 
 
-def read_ldif(spark: SparkSession, path: str) -> DataFrame:
+def read_ldif(spark: SparkSession, path: str, newline: str = "\n") -> DataFrame:
     """LDIF entries, separated by blank lines, as ``(dn, attributes)`` with all values of each attribute.
 
-    An entry is one record, so only its own lines are gathered. Folded lines are joined first.
+    An entry is one record, so only its own lines are gathered. Lines may end in LF or CRLF, in one file or
+    several. Folded lines are joined first; values after ``::`` are decoded from base64 as UTF-8.
     """
-    records = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
+    # Every entry ends in a blank line, which ends in LF either way: cut after "\n\n", then at blank CRLF lines.
+    records = spark.read.option("lineSep", newline * 2).text(path).select(F.explode(F.split("value", r"\r?\n\r\n")).alias("value"))
+    records = records.where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     unfolded = F.regexp_replace("value", "\r?\n ", "")
     lines = F.filter(F.split(unfolded, "\r?\n"), lambda s: s.contains(":") & ~s.startswith("#"))
     pairs = F.transform(
         lines,
         lambda s: F.struct(
             F.trim(F.substring_index(s, ":", 1)).alias("name"),
-            F.trim(F.regexp_replace(s, r"^[^:]*::?", "")).alias("value"),
+            F.when(s.rlike("^[^:]*::"), F.decode(F.unbase64(F.trim(F.regexp_replace(s, r"^[^:]*::", ""))), "UTF-8"))
+            .otherwise(F.trim(F.regexp_replace(s, r"^[^:]*:", "")))
+            .alias("value"),
         ),
     )
     entries = records.select(pairs.alias("_pairs"))

@@ -10,16 +10,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Database families and the SQL dialect each one speaks.
-DIALECTS = {
-    "mysql": "mysql", "mssql": "tsql", "oracle": "oracle", "postgresql": "postgres", "db2": "db2",
-    "teradata": "teradata", "netezza": "netezza", "sybase": "sybase", "informix": "informix",
-    "greenplum": "postgres", "vertica": "vertica", "sqlite": "sqlite", "derby": "derby", "as400": "db2",
-    "access": "access", "firebird": "firebird", "hsql": "hsql", "ingres": "ingres", "interbase": "interbase",
-    "postgresplus": "postgres", "jdbc": "generic", "amazonaurora": "mysql", "amazonmysql": "mysql",
-    "amazonoracle": "oracle", "amazonredshift": "redshift", "azuresynapse": "tsql", "snowflake": "snowflake",
-}
-
 
 def read_options(
     url: str, table: str | None = None, query: str | None = None, partition_column: str | None = None,

@@ -40,6 +40,23 @@ def generate_rows(spark: SparkSession, n: int, columns: Mapping[str, Expression]
     return ids.select(*[as_column(e).alias(c) for c, e in columns.items()])
 
 
+_BLOCK = 10_000
+
+
+def generate_rows_per(df: DataFrame, count: str, columns: Mapping[str, Expression]) -> DataFrame:
+    """For each row as many copies as its column ``count`` says (none for NULL or below 1), with further columns.
+
+    Expressions may use ``id`` from 0 and the row's own columns. Large counts are made block by block, so that
+    no array grows with them.
+    """
+    last = F.col(count).cast("bigint") - 1
+    blocks = df.where(F.col(count) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / _BLOCK))))
+    first = F.col("_block") * _BLOCK
+    ids = F.explode(F.sequence(first, F.least(last, first + (_BLOCK - 1))))
+    rows = blocks.withColumn("id", ids).drop("_block")
+    return rows.select("*", *[as_column(e).alias(c) for c, e in columns.items()]).drop("id")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Keep a flow for later jobs of this session under a name; spills to disk."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)

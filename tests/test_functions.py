@@ -135,6 +135,10 @@ def test_numbers(spark):
     assert one(spark, 255, "bigint", n.to_hex("x")) == "ff"
     assert one(spark, "ff", "string", n.from_hex("x")) == 255
     assert one(spark, "xyz", "string", n.from_hex("x")) is None
+    assert one(spark, "7FFFFFFFFFFFFFFF", "string", n.from_hex("x")) == 2**63 - 1
+    assert one(spark, "0000000000000000000001", "string", n.from_hex("x")) == 1
+    assert one(spark, "8000000000000000", "string", n.from_hex("x")) is None
+    assert one(spark, "0", "string", n.from_hex("x")) == 0
     assert one(spark, 8364, "int", n.char("x")) == "€"
     assert one(spark, None, "double", n.greatest("x", 3.0)) == 3.0
     assert one(spark, "x1", "string", n.parse_int("x", strict=False)) is None
@@ -158,3 +162,10 @@ def test_run_and_context(spark):
     assert row["a"] == row["b"] == run.run_id and row["c"] == "j"
     df = with_context(spark.createDataFrame([(1,), (5,)], "x int"), {"floor": 3})
     assert [r["x"] for r in df.where("x > context.floor").select("x").collect()] == [5]
+
+
+def test_diff_date_in_all_units(spark):
+    a, b = T(2024, 3, 4, 0, 0, 0), T(2023, 12, 31, 23, 59, 59, 999600)
+    assert pair(spark, a, b, d.diff_date("a", "b", "SSS")) == 64 * 86_400_000 - 86_400_000 + 1
+    assert pair(spark, a, b, d.diff_date("a", "b", "quarter")) == 1
+    assert pair(spark, a, b, d.diff_date("a", "b", "week")) == 10

@@ -83,9 +83,10 @@ def test_context_parameters_reach_the_scan(spark, sf):
 
 
 def test_load_context(spark):
-    params = mapping.load_context(spark.createDataFrame([("floor", "3"), ("who", None)], "key string, value string"))
-    assert params == {"floor": "3", "who": None}
-    assert mapping.with_context(spark.range(1), {}).columns == ["id"]
+    rows = spark.createDataFrame([("floor", "3"), ("who", None), ("twice", "a"), ("twice", "b")], "key string, value string")
+    params = mapping.load_context(rows, ["floor", "who", "twice", "absent"])
+    out = mapping.with_context(spark.range(6), params).where("id > context.floor").select("id", "context.*")
+    assert rows_of(out) == Counter([(4, "3", None, "b", None), (5, "3", None, "b", None)])
 
 
 def test_map_columns_do_not_stop_the_sort(spark):
@@ -301,15 +302,41 @@ def test_match_modes(spark):
         joins.lookup(main, ref, {"rk": "row1.k"}, match="first")
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_keyless_lookup_small_and_large(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "SMALL_ROWS", limit)
+def test_keyless_lookup_takes_small_tables_only(spark, monkeypatch):
     left, right = spark.range(50), spark.range(7).withColumnRenamed("id", "other")
     out = joins.keyless_lookup(left, right)
     assert rows_of(out) == Counter((a, b) for a in range(50) for b in range(7))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert ("BroadcastHashJoin" in plan) == (limit > 1)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(joins.iterate_params(left, right, "id = param.other * 2")) == Counter((2 * b, b) for b in range(7))
+    assert joins.keyless_lookup(left, right.limit(0)).count() == 0
+    monkeypatch.setattr(joins, "SMALL_ROWS", 6)
+    for call in (joins.keyless_lookup, joins.iterate_params):
+        with pytest.raises(ValueError):
+            call(left, right)
+
+
+def test_right_lookup_with_a_hot_key_splits(spark):
+    """The main side of a right lookup is joined by an inner join, which adaptive execution can split."""
+    main = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k int, i int").alias("row1")
+    ref = spark.createDataFrame([(k, f"v{k}") for k in (1, 3, 1000, None)], "rk int, v string")
+    out = joins.lookup(main, ref, {"rk": "row1.k"}, "right")
+    assert "RightOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = Counter((1, i, 1, "v1") for i in range(300) if i % 3) + Counter([(3, 3, 3, "v3"), (None, None, 1000, "v1000"), (None, None, None, "vNone")])
+    assert rows_of(out) == want
+
+
+def test_locate_ip_in_ranges_of_any_width(spark):
+    import random as r
+
+    rng = r.Random(3)
+    ranges = [(0, 2**32 - 1, "all"), (0, 0, "first"), (2**32 - 1, 2**32 - 1, "last"), (5, 4, "none"), (255, 256, "two")]
+    ranges += [(a, min(2**32 - 1, a + rng.choice([0, 1, 2, 255, 256, 70_000, 2**31])), f"r{i}") for i, a in enumerate(rng.randrange(2**32) for _ in range(60))]
+    ips = [0, 255, 256, 257, 2**32 - 1, *(rng.randrange(2**32) for _ in range(40)), *(x for lo, hi, _ in ranges[5:15] for x in (lo, hi))]
+    dotted = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    df = spark.createDataFrame([(dotted(x),) for x in ips] + [("300.1.1.1",), (None,)], "a string")
+    got = rows_of(joins.locate_ip(df, "a", spark.createDataFrame(ranges, "lo bigint, hi bigint, name string"), "lo", "hi", ["name"]))
+    want = Counter((dotted(x), n) for x in ips for lo, hi, n in ranges if lo <= x <= hi) + Counter([("300.1.1.1", None), (None, None)])
+    assert got == want
 
 
 words = st.text(alphabet="abc", min_size=0, max_size=5)
@@ -499,6 +526,12 @@ def test_compare(spark):
     assert quality.compare(a, a, ["k"]).count() == 0 and quality.compare_bag(a, a).count() == 0
 
 
+def test_compare_reports_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, None)], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (2, "z"), (3, None)], "k int, v string")
+    assert rows_of(quality.compare(a, b, ["k"])) == Counter([(1, "repeated", ""), (2, "repeated", "")])
+
+
 # --- synthetic rows
 
 
@@ -586,3 +619,71 @@ def test_classify_longest_suffix(spark):
     suffix = spark.createDataFrame([("put", "S"), ("Input", "L")], "suffix string, class string")
     df = spark.createDataFrame([("AXInput",), ("BInput",), ("Output",), ("zzz",), (None,), ("BInput",)], "n string")
     assert Counter(r["behavior"] for r in lineage.classify(df, "n", exact, suffix, "?").collect()) == Counter(["E", "L", "L", "S", "?", "?"])
+
+
+def test_classify_repeated_names(spark):
+    df = spark.createDataFrame([("a",), ("xb",)], "n string")
+    exact = spark.createDataFrame([("a", "Z"), ("a", "E")], "name string, class string")
+    suffix = spark.createDataFrame([("b", "Y"), ("b", "S")], "suffix string, class string")
+    assert rows_of(lineage.classify(df, "n", exact, suffix, "?")) == Counter([("a", "E"), ("xb", "S")])
+    none = suffix.limit(0)
+    assert rows_of(lineage.classify(df, "n", exact, none, "?")) == Counter([("a", "E"), ("xb", "?")])
+
+
+def test_cycles_leave_out_what_is_behind(spark):
+    edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("b", "t"), ("t", "u"), ("x", "x")], "src string, dst string")
+    assert rows_of(lineage.cycles(edges)) == Counter([("a",), ("b",), ("x",)])
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_lists_and_first_rows_do_not_depend_on_group_size(spark, limit):
+    rows = [("g", None, "y"), ("g", 1, "b"), ("g", None, "a"), ("g", 1, "a"), ("g", 2, None), ("n", 1, None), ("n", None, None), (None, 5, "k")]
+    df = spark.createDataFrame(rows, "g string, k int, v string")
+    out = agg.aggregate(df, ["g"], [("v", "list", "vs")], ["k"], hot_rows=limit)
+    assert rows_of(out) == Counter([("g", "a,b,a,y"), ("n", None), (None, "k")])
+    both = agg.aggregate(df, ["g"], [("v", "list", "vs"), ("k", "median", "m"), ("v", "first", "f"), ("v", "last", "l")], ["k"], hot_rows=limit)
+    assert rows_of(both) == Counter([("g", "a,b,a,y", 1.0, "a", "y"), ("n", None, 1.0, None, None), (None, "k", 5.0, "k", "k")])
+    ties = spark.createDataFrame([("t", i % 2, i) for i in range(400)], "g string, o int, i int").repartition(7)
+    kept = {n: rows_of(dedup.first_rows(ties, 150, ["g"], ["o"], hot_rows=n)) for n in (None, 0, 10**6)}
+    assert kept[None] == kept[0] == kept[10**6] and sum(kept[0].values()) == 150
+
+
+def test_limit_rows_decides_ties(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, i) for i in range(300)], "o int, i int")
+    small = rows_of(filtering.limit_rows(df.repartition(9), 150, ["o"]))
+    assert small == rows_of(filtering.limit_rows(df.repartition(4), 150, ["o"]))
+    monkeypatch.setattr(filtering, "TOP_ROWS", 10)
+    assert small == rows_of(filtering.limit_rows(df, 150, ["o"]))
+
+
+def test_scd_updates_with_repeated_keys(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    updates = spark.createDataFrame([(1, "x", 5), (1, "y", None), (3, "n", 1), (3, "m", 2)], "k int, v string, t int")
+    assert rows_of(scd.scd1(dim, updates, ["k"], ["v"], order=["t"])) == Counter([(1, "y"), (2, "b"), (3, "m")])
+    with pytest.raises(PySparkException):
+        scd.scd1(dim, updates, ["k"], ["v"]).collect()
+    once = updates.where("t = 5 OR t = 1")
+    assert rows_of(scd.scd1(dim, once, ["k"], ["v"])) == Counter([(1, "x"), (2, "b"), (3, "n")])
+
+
+def test_synthetic_numbers_stay_inside_their_types(spark):
+    kinds = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DecimalType(5, 2), T.DecimalType(2, 2), T.DecimalType(3, 0), T.DecimalType(38, 10), T.DecimalType(1, 0)]
+    for prefix in ("row_id", "amount"):
+        schema = T.StructType([T.StructField(f"{prefix}{i}", k, False) for i, k in enumerate(kinds)])
+        out = synth.synth_table(spark, schema, 70_000)
+        for f in out.schema.fields:
+            low, high = out.agg(F.min(f.name), F.max(f.name)).first()
+            assert low is not None and low >= 0 and high > 0, f.name
+
+
+def test_markers_of_date_routines(spark):
+    for text, status in (("Date.addDate(x", "fail"), ("Date.diffDate(a, b)", "fail"), ("a context.name", "fail"), ("Date. Then", "pass"), ("plain", "pass")):
+        df = spark.createDataFrame([(1, text), (2, "x")], "id int, v string")
+        checks = {r["check"]: r for r in quality.validate(df, "m").collect()}
+        assert checks["Code Markers"]["status"] == status and (checks["Code Markers"]["recommendation"] == "") == (status == "pass")
+
+
+def test_null_analysis_names_all_columns(spark):
+    df = spark.createDataFrame([(i,) for i in range(3)], "id int").select("id", *[F.lit(None).cast("string").alias(f"c{i}") for i in range(9)])
+    row = {r["check"]: r for r in quality.validate(df, "m").collect()}["NULL Analysis"]
+    assert row["status"] == "fail" and row["category"] == "translation" and row["detail"].endswith(", ".join(f"c{i}" for i in range(9)))

@@ -7,7 +7,9 @@ longest piece and not on the text. The segmentation is the one with the largest
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,18 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 _UNKNOWN = 10.0  # below the lowest score, per character that is spelt as bytes
-_LOOK = 64  # positions between two looks for a common boundary
-_CACHE = 400_000  # segments whose ids a Python worker keeps; beyond that it starts afresh
+_LOOK = 64  # characters between two looks for a common boundary
+_CACHE = 1_000_000  # segments whose ids a Python worker keeps; beyond that it starts afresh
 _KEEP = 32  # characters; longer segments are not worth keeping
+# ASCII punctuation.
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _WORKER: dict = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Pieces:
     """Pieces and scores of a model file; encoding adds the leading space mark that the model expects."""
 
@@ -45,37 +53,43 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         usable = [s for s in self.score.values() if s > -1e8]
         self.floor = min(usable) - _UNKNOWN
-        self.endings = {n[k:] for n in self.ids for k in range(len(n))}
+        # Score of each piece, None for what is only the ending of some piece.
+        self.grade: dict[str, float | None] = {n[k:]: None for n in self.ids for k in range(len(n))}
+        self.grade.update(self.score)
         # A mark inside a piece would join words; without such pieces the place before a word's marks is a sure boundary.
         self.joins_words = any(SPACE in n.lstrip(SPACE) for n in self.ids)
-        self.cache: dict[str, list[int]] = {}
-
-    def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of a stream of characters, in committed runs."""
-        # By position in what is not yet committed: best sum of scores and length of the last piece.
-        best, back = [0.0], [0]
-        text, end, looked = "", 0, 0
-        score, endings, longest, floor = self.score.get, self.endings, self.longest, self.floor
-        for c in characters:
-            text += c
-            end += 1
-            top, length = best[-1] + score(c, floor), 1
+        # So is the place behind a letter before another sign, where no piece goes on from one to the other.
+        self.joins_signs = any(x.isalpha() and not y.isalpha() for n in self.ids for x, y in zip(n, n[1:]))
+        self.cache: dict[str, bytes] = {}
+
+    def _extend(self, text: str, best: list[float], back: list[int]) -> None:
+        """Search on to the end of ``text``: by position the best sum of scores and the length of the last piece.
+
+        Of equal sums the one with the shorter last piece counts.
+        """
+        score, grade, longest, floor = self.score.get, self.grade.get, self.longest, self.floor
+        for end in range(len(best), len(text) + 1):
+            top, length = best[-1] + score(text[end - 1], floor), 1
             for n in range(2, min(longest, end) + 1):
-                piece = text[end - n :]
-                if piece not in endings:
+                s = grade(text[end - n : end], False)
+                if s is False:
                     break
-                s = score(piece)
                 if s is not None and best[end - n] + s > top:
                     top, length = best[end - n] + s, n
             best.append(top)
             back.append(length)
-            if end - looked >= _LOOK:
-                shared = self._common(back, end)
-                if shared:
-                    yield self._path(text, back, shared)
-                    text, best, back = text[shared:], [b - best[shared] for b in best[shared:]], back[shared:]
-                    end = len(text)
-                looked = end
+
+    def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a stream of characters, in committed runs."""
+        best, back, text = [0.0], [0], ""
+        characters = iter(characters)
+        while block := "".join(islice(characters, _LOOK)):
+            text += block
+            self._extend(text, best, back)
+            shared = self._common(back, len(text)) if len(block) == _LOOK else 0
+            if shared:
+                yield self._path(text, back, shared)
+                text, best, back = text[shared:], [b - best[shared] for b in best[shared:]], [0, *back[shared + 1 :]]
         if text:
             yield self._path(text, back, len(text))
 
@@ -104,35 +118,46 @@ class Pieces:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; NULL and empty texts have none. A space mark that the text itself holds is spelt as bytes."""
-        out: list[int] = []
+        out: list[bytes] = []
         if text:
             for i, part in enumerate(text.split(SPACE)):
-                out += self.spell(SPACE) if i else ()
+                if i:
+                    out.append(_packed(self.spell(SPACE)))
                 out += self._encode_part(part, SPACE if i == 0 else "")
-        return np.array(out, np.int32)
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def _encode_part(self, text: str, marks: str) -> list[int]:
+    def _encode_part(self, text: str, marks: str) -> list[bytes]:
         if self.joins_words:
-            return [i for run in self.stream(marks + text.replace(" ", SPACE)) for i in run]
+            return [_packed(run) for run in self.stream(marks + text.replace(" ", SPACE))]
         if len(self.cache) > _CACHE:
             self.cache.clear()
-        out: list[int] = []
+        out: list[bytes] = []
         # Every word with the marks before it lies between two boundaries that all paths share.
+        get = self.cache.get
         for word in text.split(" "):
             if word:
                 part = marks + word
-                ids = self.cache.get(part)
-                if ids is None:
-                    ids = [i for run in self.stream(part) for i in run]
-                    if len(part) <= _KEEP:
-                        self.cache[part] = ids
-                out += ids
-                marks = ""
-            marks += SPACE
-        for run in self.stream(marks[1:]):
-            out += run
+                ids = get(part)
+                out.append(self._learn(part) if ids is None else ids)
+                marks = SPACE
+            else:
+                marks += SPACE
+        if len(marks) > 1:
+            out.append(self._learn(marks[1:]))
         return out
 
+    def _learn(self, part: str) -> bytes:
+        """Ids of a word with its marks, kept if it is short; signs behind the last letter are looked up apart."""
+        body = part if self.joins_signs else part.rstrip(_SIGNS)
+        if len(body) == len(part) or not body[-1:].isalpha():
+            ids = _packed([i for run in self.stream(part) for i in run])
+        else:
+            tail = part[len(body) :]
+            ids = (self.cache.get(body) or self._learn(body)) + (self.cache.get(tail) or self._learn(tail))
+        if len(part) <= _KEEP:
+            self.cache[part] = ids
+        return ids
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks become spaces, byte pieces the characters they spell, one leading space goes."""
         out, raw = [], bytearray()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rowmill.llm import words as W
 
-# The largest share of a text's word characters that may lie in repeated n-grams, by n.
+# The largest share of a text's word characters that may lie in n-grams seen earlier in it, by n.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 # The same for characters of lines that repeat an earlier line.
 LINE_LIMIT = 0.20
@@ -34,7 +34,8 @@ COLUMNS = T.StructType([
 def measure(text: str | None, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> tuple:
     """The values of ``COLUMNS`` for one text; NULL and empty texts have no words.
 
-    ``ngram_coverage`` is the largest excess over its limit of any n-gram length: above 0 the text fails.
+    ``ngram_coverage`` is the largest excess over its limit of any n-gram length: above 0 the text fails. The first
+    occurrence of a repeated passage is no repetition here; ``n_repeat_words`` counts it.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
@@ -64,12 +65,13 @@ def measure(text: str | None, limits: dict[int, float] = NGRAM_LIMITS, line_limi
     words = W.hashes(data, start, end)
     repeat_words, excess = 0, -1.0
     for size in sorted({5, *limits}):
-        inside = W.covered(W.repeated(W.ngrams(words, size)), size, n)
+        grams = W.ngrams(words, size)
+        again = W.seen_before(grams)
         if size == 5:
-            repeat_words = int(inside.sum())
+            repeat_words = int(W.covered(W.repeated(grams), size, n).sum())
         if size in limits and total:
-            excess = max(excess, float(chars[inside].sum()) / total - limits[size])
-        if not inside.any():  # no longer n-gram can repeat either
+            excess = max(excess, float(chars[W.covered(again, size, n)].sum()) / total - limits[size])
+        if not again.any():  # no longer n-gram can repeat either
             if total:
                 excess = max([excess, *(-v for k, v in limits.items() if k > size)])
             break

@@ -84,6 +84,15 @@ def repeated(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def seen_before(grams: np.ndarray) -> np.ndarray:
+    """Whether each hash occurs at an earlier place."""
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
+    out = np.zeros(len(grams), bool)
+    out[order[1:]] = ranked[1:] == ranked[:-1]
+    return out
+
+
 def covered(hits: np.ndarray, n: int, size: int) -> np.ndarray:
     """Positions among ``size`` that lie in a window of ``n`` starting at a hit."""
     edge = np.zeros(size + 1, np.int32)

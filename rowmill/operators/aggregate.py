@@ -20,8 +20,9 @@ def _ordering(column: str, order_by: Sequence[str] | None, function: str) -> Col
 
 
 def _listed(column: str, order_by: Sequence[str] | None, separator: str) -> Column:
-    text = F.col(column).cast("string")
-    items = F.struct(sort_key(order_by or [column], text).alias("_key"), text.alias("_item"))
+    # As ``sort_key``, the item's own text last; without an order the value itself comes first and is never NULL here.
+    order = [p for c in order_by for p in (F.col(c).isNull(), F.col(c))] if order_by else [F.col(column)]
+    items = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(order)], F.col(column).cast("string").alias("_item"))
     # collect_list skips NULL structs, as a text list skips NULL values.
     kept = F.collect_list(F.when(F.col(column).isNotNull(), items))
     joined = F.array_join(F.transform(F.sort_array(kept), lambda s: s["_item"]), separator)

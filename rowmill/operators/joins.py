@@ -162,7 +162,7 @@ def _deletions(text: Column, distance: int) -> Column:
     return variants
 
 
-def _parts(length: Column | int, i: int, parts: int) -> tuple[Column, Column]:
+def _place(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and size of part ``i`` of a text of this length cut into equal parts."""
     start = F.floor(length * i / parts).cast("int")
     return start, F.floor(length * (i + 1) / parts).cast("int") - start
@@ -182,23 +182,27 @@ def fuzzy_lookup(
     k = max_distance
     left = main.select(F.col(column).alias("_a")).where(F.col("_a").isNotNull()).distinct()
     right = ref.select(F.col(ref_column).alias("_b")).where(F.col("_b").isNotNull()).distinct()
-    size = F.char_length("_b")
-    filed = []
-    for i in range(k + 1):
-        start, width = _parts(size, i, k + 1)
-        filed.append(F.struct(size.alias("n"), F.lit(i).alias("i"), F.substr("_b", start + 1, width).alias("p")))
-    probes = []
-    for change in range(-k, k + 1):
-        length = F.char_length("_a") + change
-        for i in range(k + 1):
-            start, width = _parts(length, i, k + 1)
-            for shift in range(-k, k + 1):
-                at = start + shift
-                fits = (length > k) & (at >= 0) & (at + width <= F.char_length("_a"))
-                part = F.substr("_a", F.greatest(at, F.lit(0)) + 1, F.greatest(width, F.lit(0)))
-                probes.append(F.when(fits, F.struct(length.alias("n"), F.lit(i).alias("i"), part.alias("p"))))
-    long = right.where(size > k).select("_b", F.explode(F.array(*filed)).alias("_v"))
-    asked = left.select("_a", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("_v"))
+    a_size, size = F.char_length("_a"), F.char_length("_b")
+    # One text per (length, part number, part). The loops run inside the expression, which stays small for the planner.
+    label = lambda n, i, part: F.concat(n.cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), part)
+    shifts, parts = 2 * k + 1, k + 1
+
+    def file(i: Column) -> Column:
+        start, width = _place(size, i, parts)
+        return label(size, i, F.substr("_b", start + 1, width))
+
+    def probe(j: Column) -> Column:
+        i = F.floor(j / shifts).cast("int") % parts
+        length = a_size + j % shifts - k
+        start, width = _place(length, i, parts)
+        at = start + F.floor(j / (shifts * parts)).cast("int") - k
+        fits = (length > k) & (at >= 0) & (at + width <= a_size)
+        return F.when(fits, label(length, i, F.substr("_a", F.greatest(at, F.lit(0)) + 1, F.greatest(width, F.lit(0)))))
+
+    filed = F.transform(F.sequence(F.lit(0), F.lit(k)), file)
+    probes = F.transform(F.sequence(F.lit(0), F.lit(shifts * parts * shifts - 1)), probe)
+    long = right.where(size > k).select("_b", F.explode(filed).alias("_v"))
+    asked = left.select("_a", F.explode(F.array_distinct(F.array_compact(probes))).alias("_v"))
     # Exploded sides are larger than their size estimates: no broadcast.
     met = asked.join(long.hint("merge"), "_v").select("_a", "_b")
     short_a = left.where(F.char_length("_a") <= 2 * k).withColumn("_v", F.explode(_deletions(F.col("_a"), k)))
@@ -229,16 +233,17 @@ def locate_ip(
     A range of any width is covered by at most two prefixes of each length. Each distinct address is parsed
     and located once, under its prefix of every length.
     """
-    first, after = F.col(start).cast("bigint"), F.col(end).cast("bigint") + 1
-    pieces = []
-    for bits in range(_ADDRESS_BITS + 1):
-        low, high = F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(after, bits)
-        piece = lambda number, bits=bits: F.struct(F.lit(bits).alias("bits"), number.alias("prefix"))
-        pieces.append(F.when((low < high) & (low % 2 == 1), piece(low)))
-        pieces.append(F.when((low < high) & (high % 2 == 1), piece(high - 1)))
-    covers = ranges.where(F.col(start) <= F.col(end)).select(*columns, F.explode(F.array_compact(F.array(*pieces))).alias("_prefix"))
+    # lo and hi: the first whole block of 2**b addresses inside the range, and the first one no longer inside.
+    lo, hi = "shiftright(_first + shiftleft(1L, b) - 1, b)", "shiftright(_after, b)"
+    pieces = F.expr(f"""filter(flatten(transform(sequence(0, {_ADDRESS_BITS}), b -> array(
+        CASE WHEN {lo} < {hi} AND {lo} % 2 = 1 THEN struct(b AS bits, {lo} AS prefix) END,
+        CASE WHEN {lo} < {hi} AND {hi} % 2 = 1 THEN struct(b AS bits, {hi} - 1 AS prefix) END))), p -> p IS NOT NULL)""")
+    bounds = ranges.where(F.col(start) <= F.col(end)).select(
+        *columns, F.col(start).cast("bigint").alias("_first"), (F.col(end).cast("bigint") + 1).alias("_after")
+    )
+    covers = bounds.select(*columns, F.explode(pieces).alias("_prefix"))
     distinct = df.select(F.col(address).alias("_address")).distinct().withColumn("_ip", ip_number(F.col("_address")))
-    every = F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("_ip", b).alias("prefix")) for b in range(_ADDRESS_BITS + 1)])
+    every = F.expr(f"transform(sequence(0, {_ADDRESS_BITS}), b -> struct(b AS bits, shiftright(_ip, b) AS prefix))")
     asked = distinct.where(F.col("_ip").isNotNull()).select("_address", F.explode(every).alias("_prefix"))
     found = asked.join(covers.hint("merge"), "_prefix").select("_address", *columns)
     return df.join(found, F.col(address) == F.col("_address"), "left").drop("_address")

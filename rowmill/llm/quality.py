@@ -81,7 +81,10 @@ def measure(text: str | None, limits: dict[int, float] = NGRAM_LIMITS, line_limi
 
 
 def quality_rules(df: DataFrame, text: str = "text", limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
-    """All columns of ``df`` and, after them, those of ``COLUMNS`` (columns of the same names are replaced)."""
+    """All columns of ``df`` and, after them, those of ``COLUMNS`` (columns of the same names are replaced).
+
+    Every row is judged by its own text, as often as it comes; NULL and empty texts fail the base. No rows, no result.
+    """
     names = [c for c in df.columns if c not in COLUMNS.fieldNames()]
     source = df.select(*[f"`{c}`" for c in names])
     schema = T.StructType([*source.schema.fields, *COLUMNS.fields])

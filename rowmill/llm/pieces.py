@@ -8,7 +8,7 @@ longest piece and not on the text. The segmentation is the one with the largest
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -49,7 +49,9 @@ class Pieces:
                 self.byte_of[i] = value
         self.ids = {n: i for i, n in enumerate(self.names) if not special[i] and i not in self.byte_of}
         self.score = {n: model.get_score(i) for n, i in self.ids.items()}
-        self.special = {i for i in range(size) if special[i]}
+        # What each id stands for in a decoded text: a string, nothing for special ids, or the number of a byte.
+        self.plain: list[str | int] = [self.byte_of.get(i, "" if special[i] else n.replace(SPACE, " ")) for i, n in enumerate(self.names)]
+        self.is_byte = np.array([i in self.byte_of for i in range(size)])
         self.longest = max(map(len, self.ids))
         usable = [s for s in self.score.values() if s > -1e8]
         self.floor = min(usable) - _UNKNOWN
@@ -93,6 +95,12 @@ class Pieces:
         if text:
             yield self._path(text, back, len(text))
 
+    def _short(self, text: str) -> list[int]:
+        """As ``stream`` for a text that ends before the first look."""
+        best, back = [0.0], [0]
+        self._extend(text, best, back)
+        return self._path(text, back, len(text))
+
     def _common(self, back: list[int], end: int) -> int:
         """The last boundary on every path that can still win: those of the last ``longest`` positions."""
         alive = set(range(max(0, end - self.longest + 1), end + 1))
@@ -104,11 +112,15 @@ class Pieces:
 
     def _path(self, text: str, back: list[int], end: int) -> list[int]:
         out: list[int] = []
+        ids = self.ids.get
         while end > 0:
-            piece = text[end - back[end] : end]
-            found = self.ids.get(piece)
-            out += [found] if found is not None else reversed(self.spell(piece))
-            end -= back[end]
+            start = end - back[end]
+            found = ids(text[start:end])
+            if found is None:
+                out += reversed(self.spell(text[start:end]))
+            else:
+                out.append(found)
+            end = start
         out.reverse()
         return out
 
@@ -150,7 +162,7 @@ class Pieces:
         """Ids of a word with its marks, kept if it is short; signs behind the last letter are looked up apart."""
         body = part if self.joins_signs else part.rstrip(_SIGNS)
         if len(body) == len(part) or not body[-1:].isalpha():
-            ids = _packed([i for run in self.stream(part) for i in run])
+            ids = _packed(self._short(part) if len(part) < _LOOK else [i for run in self.stream(part) for i in run])
         else:
             tail = part[len(body) :]
             ids = (self.cache.get(body) or self._learn(body)) + (self.cache.get(tail) or self._learn(tail))
@@ -158,22 +170,20 @@ class Pieces:
             self.cache[part] = ids
         return ids
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: marks become spaces, byte pieces the characters they spell, one leading space goes."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i not in self.special:
-                out.append(self.names[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(" ")
-
+        parts = [self.plain[i] for i in ids]
+        spelt = np.flatnonzero(self.is_byte[np.asarray(ids, np.int64)])
+        if not len(spelt):
+            return "".join(parts).removeprefix(" ")
+        breaks = np.flatnonzero(np.diff(spelt) != 1)
+        begins, ends = spelt[[0, *(breaks + 1)]].tolist(), spelt[[*breaks, -1]].tolist()
+        out, done = [], 0
+        for a, b in zip(begins, ends):
+            out += parts[done:a]
+            out.append(bytes(parts[a : b + 1]).decode("utf-8", "replace"))
+            done = b + 1
+        return "".join(out + parts[done:]).removeprefix(" ")
 
 def _worker(path: str) -> Pieces:
     return _WORKER.get(path) or _WORKER.setdefault(path, Pieces(path))
@@ -205,7 +215,7 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded
         for big in batches:
             for at in range(0, len(big), 1000):
                 batch = big.slice(at, 1000)
-                found = pa.array([pieces.decode(i for i in v.as_py() or () if i is not None) for v in batch.column(names.index(ids))], pa.string())
+                found = pa.array([pieces.decode([i for i in v.as_py() or () if i is not None]) for v in batch.column(names.index(ids))], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, text])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(text, T.StringType())]))

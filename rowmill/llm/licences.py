@@ -40,8 +40,35 @@ SPELLINGS = (
     ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"),
     ("judgement", "judgment"), ("programme", "program"), ("copyright owner", "copyright holder"), ("https", "http"),
 )
-# Lines that name a holder, and what stands for the sign.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z\n]|\(c\)|\x{a9}|all rights reserved)[^\n]*$"
+# How the name of a holder begins, and the words by which the license goes on behind it on the same line.
+HOLDER = r"(?:copyright[^a-z0-9\n]*(?:\(c\)|\x{a9}|(?:19|20)[0-9][0-9])|\(c\)[^a-z0-9\n]*(?:copyright|(?:19|20)[0-9][0-9])|\x{a9})"
+OPENING = (
+    r"(?:permission (?:is hereby granted|to use)|redistribution and use|this (?:software|work|program) is|(?:licen[sc]ed|released) under"
+    r"|the mit licen[sc]e|(?:mit|isc|zlib|bsd zero clause) licen[sc]e)"
+)
+# Lines that name a holder, up to their end or to the license; the same behind a title on one line; a block that is one
+# line 'copyright' and a name. Other lines that begin with 'copyright' or '(c)' belong to the license.
+HOLDER_LINES = (
+    (rf"(?m)^[^a-z0-9\n]*{HOLDER}[^\n]*?(?={OPENING}|$)", " "),
+    (rf"(?m)^([^\n]{{0,80}}?){HOLDER}[^\n]*?(?={OPENING})", "$1 "),
+    (rf"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(?={OPENING}|$)", " "),
+    (r"(\A|\n[^\S\n]*\n)[^a-z0-9\n]*copyright [^\n]*(?=\n[^\S\n]*(?:\n|\z)|\z)", "$1 "),
+)
+
+
+def _without_holders(text: Column) -> Column:
+    """Lower case, one sign for line ends, and no copyright lines. NULL counts as empty."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(out, r"[\r\x0B\x0C\x85  ]", "\n")
+    for pattern, kept in HOLDER_LINES:
+        out = F.regexp_replace(out, pattern, kept)
+    return out
+
+
+def _spelt(text: Column) -> Column:
+    for other, name in SPELLINGS:
+        text = F.replace(text, F.lit(f" {other} "), F.lit(f" {name} "))
+    return F.trim(text)
 
 
 def canonical(text: Column) -> Column:
@@ -49,13 +76,7 @@ def canonical(text: Column) -> Column:
 
     NULL counts as empty.
     """
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"[\r\x0B\x0C\x85  ]", "\n")
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " ")), F.lit(" "))
-    for other, name in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {name} "))
-    return F.trim(out)
+    return _spelt(F.concat(F.lit(" "), F.trim(F.regexp_replace(_without_holders(text), r"[^a-z0-9]+", " ")), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

@@ -1,4 +1,8 @@
+import re
+import textwrap
+
 import pytest
+from pyspark.sql import functions as F
 
 from rowmill.llm import licences
 
@@ -34,3 +38,32 @@ def test_repeats_clashing_columns_and_empty_table(spark):
 def test_known_digests_are_unambiguous(spark):
     known = licences.known_digests(spark)
     assert known.select("digest").distinct().count() == known.count()
+
+
+HOLDERS = ("Copyright (c) 2020 A. B. Smith", "Copyright © 1999-2001 A, B & C, Inc. All rights reserved.", "(C) 2007 Somebody", "Copyright 2015-present the authors.")
+
+
+def test_rewrapped_and_one_line_versions_of_each_known_text(spark):
+    texts, want = [], []
+    for name, known in licences.KNOWN.items():
+        for text in known:
+            parts = [" ".join(p.split()) for p in text.split("\n")]
+            for width in range(20, 100, 3):
+                texts.append("\n".join(textwrap.fill(p, width, break_long_words=False) for p in parts))
+            for holder in HOLDERS:
+                body = " ".join(text.split())
+                texts += [f"{holder} {body}", f"{holder}\n{body}", f"# {holder}\n\n{text}"]
+            texts.append(" ".join(text.split()))
+            want += [name] * (len(texts) - len(want))
+    for title in ("MIT License", "The MIT License (MIT)"):
+        texts += [f"{title} {h} {' '.join(MIT.split())}" for h in HOLDERS]
+        texts += [f"{title}\n\nCopyright Joe Bloggs\n\n{MIT}"]
+    want += ["MIT"] * (len(texts) - len(want))
+    got = scan(spark, texts)
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != want[i]] == []
+
+
+def test_body_lines_are_no_holder_lines(spark):
+    texts = ["copyright notice and this\npermission notice", "(c) you must retain all notices\nof the source", "a\nall rights reserved by law"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(licences.canonical(F.col("text")).alias("c"))
+    assert [r.c for r in df.collect()] == [re.sub("[^a-z]+", " ", t).strip() for t in texts]

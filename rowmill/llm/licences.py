@@ -1,4 +1,7 @@
-"""License scan by canonical digest: whole texts, brought to one spelling, are hash-joined to known license digests."""
+"""License scan by canonical digest: texts, brought to one spelling, are hash-joined to known license digests.
+
+``scan_licenses`` compares a text as a whole, ``find_licenses`` also its lines and its runs of blocks.
+"""
 
 from __future__ import annotations
 
@@ -86,7 +89,9 @@ def digest(text: Column) -> Column:
 def known_digests(spark, known: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
     """``digest, license`` of the known texts; texts that agree in their canonical form must name the same license."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").distinct()
+    # Constants, so that the planner knows how few they are and need not shuffle the texts for them.
+    row = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in rows]))
+    return spark.range(1).select(row.alias("row")).select(digest(F.col("row.text")).alias("digest"), "row.license").distinct()
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
@@ -97,3 +102,48 @@ def scan_licenses(df: DataFrame, known: DataFrame, text: str = "text") -> DataFr
     names = [c for c in df.columns if c not in ("digest", "license")]
     marked = df.select(*[f"`{c}`" for c in names], digest(F.col(f"`{text}`")).alias("digest"))
     return marked.join(known.select("digest", "license"), "digest", "left").select(*[f"`{c}`" for c in names], "digest", "license")
+
+
+def _units(text: Column, run: int) -> Column:
+    """Distinct canonical forms of a text, its lines, and its runs of 1 to ``run`` blocks between blank lines."""
+    # Line ends stand apart as words, so that one pass spells all lines.
+    out = F.replace(F.regexp_replace(_without_holders(text), r"[^a-z0-9\n]+", " "), F.lit("\n"), F.lit(" \n "))
+    out = _spelt(F.concat(F.lit(" "), out, F.lit(" ")))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    pairs = [x for x in SPELLINGS if " " in x[0]]
+
+    def joined(words: Column) -> Column:
+        """Words of several lines, where a spelling of two words may span two of them."""
+        words = F.concat(F.lit(" "), words, F.lit(" "))
+        for other, name in pairs:
+            words = F.replace(words, F.lit(f" {other} "), F.lit(f" {name} "))
+        return F.trim(words)
+
+    def of_blocks(blocks: Column) -> Column:
+        of = lambda n: lambda _, i: joined(F.array_join(F.slice(blocks, i + 1, n), " "))
+        runs = [F.transform(blocks, of(n)) for n in range(1, run + 1)]
+        return F.concat(F.array(joined(F.array_join(blocks, " "))), *runs)
+
+    def of_lines(lines: Column) -> Column:
+        blocks = F.transform(F.split(F.array_join(lines, "\n"), r"\n\n+"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))))
+        return F.concat(lines, let(F.filter(blocks, lambda b: b != ""), of_blocks))
+
+    units = let(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), of_lines)
+    return F.array_distinct(F.filter(units, lambda x: x != ""))
+
+
+def find_licenses(df: DataFrame, known: DataFrame, text: str = "text", run: int = 5) -> DataFrame:
+    """All columns of ``df`` and ``licenses`` (replaced if there): the licenses found in the text, sorted, each once.
+
+    A license is found where the text as a whole, one of its lines, or up to ``run`` of its blocks in a row are a known
+    text; the known ones here have at most five blocks, also with a blank line before each item. Every row is kept, as
+    often as it comes, with an empty array if nothing is found. Only digests are joined, and only what is found is
+    gathered, once per distinct text.
+    """
+    names = [c for c in df.columns if c != "licenses"]
+    key = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("_text_key")
+    units = df.select(key, F.explode(_units(F.col(f"`{text}`"), run)).alias("_unit"))
+    hits = units.select("_text_key", F.sha2("_unit", 256).alias("digest")).join(known.select("digest", "license"), "digest")
+    found = hits.groupBy("_text_key").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
+    none = F.array().cast("array<string>")
+    return df.select(*[f"`{c}`" for c in names], key).join(found, "_text_key", "left").select(*[f"`{c}`" for c in names], F.coalesce("licenses", none).alias("licenses"))

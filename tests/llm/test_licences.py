@@ -67,3 +67,51 @@ def test_body_lines_are_no_holder_lines(spark):
     texts = ["copyright notice and this\npermission notice", "(c) you must retain all notices\nof the source", "a\nall rights reserved by law"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(licences.canonical(F.col("text")).alias("c"))
     assert [r.c for r in df.collect()] == [re.sub("[^a-z]+", " ", t).strip() for t in texts]
+
+
+def found(spark, texts, schema="doc_id int, text string"):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schema)
+    rows = licences.find_licenses(df, licences.known_digests(spark)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    return {r.doc_id: r.licenses for r in rows}
+
+
+def test_licenses_inside_documents(spark, odd_texts):
+    wrapped = "\n\n".join(textwrap.fill(p, 70) for p in MIT.replace("NONINFRINGEMENT", "NON INFRINGEMENT").split("\n\n"))
+    cases = [
+        ("Some prose.\nReleased under the MIT Licence.\nMore prose.", ["MIT"]),
+        (f"About\n\n{wrapped}\n\nThe end", ["MIT"]),
+        (f"About\r\nMIT License\r\nCopyright (c) 2020 A\r\n{MIT}".replace("\n\n", "\r\n\r\n"), ["MIT"]),
+        (f"About\n\nMIT License\nCopyright (c) 2020 A\n\n{MIT}\n\nLicensed under CC BY-NC 4.0.\n", ["CC-BY-NC-4.0", "MIT"]),
+        ("Zlib\n\n" + licences.ZLIB.replace("\n2.", "\n\n2.").replace("\n3.", "\n\n3.") + "\n\nend", ["Zlib"]),
+        ("This work is licensed under the GNU General\nPublic License, version 3.\n\nprose", ["GPL-3.0"]),
+        ("He said it was released under the MIT License. Or not.", []),
+        (MIT.replace("without restriction", "with restriction") + "\n\nprose", []),
+        (MIT, ["MIT"]), (licences.ISC, ["ISC"]),
+    ]
+    got = found(spark, [t for t, _ in cases] + odd_texts)
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    assert all(got[i] == [] for i in range(len(cases), len(got)))
+
+
+def test_units_are_canonical_texts(spark, odd_texts):
+    texts = [t for name in licences.KNOWN for t in licences.KNOWN[name]] + odd_texts
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    unit = licences._units(F.col("text"), 2)
+    assert all(r.c == "" or r.c in r.u for r in df.select(licences.canonical(F.col("text")).alias("c"), unit.alias("u")).collect())
+
+
+def test_notices_of_the_test_table_are_found(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plain = lambda s: " ".join(re.findall("[a-z0-9]+", s.lower()))
+    notices = {plain(t): name for name, known in licences.KNOWN.items() for t in known if len(t) < 100}
+    want = {r.doc_id: sorted({notices[plain(x)] for x in (r.text or "").split("\n") if plain(x) in notices}) for r in docs.collect()}
+    got = {r.doc_id: r.licenses for r in licences.find_licenses(docs, licences.known_digests(spark)).collect()}
+    assert any(want.values()) and got == want
+
+
+def test_found_licenses_of_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, MIT, "x"), (1, MIT, "x"), (None, None, "y")], "doc_id int, text string, licenses string")
+    out = licences.find_licenses(df, licences.known_digests(spark))
+    assert out.columns == ["doc_id", "text", "licenses"] and sorted(r.licenses for r in out.collect()) == [[], ["MIT"], ["MIT"]]
+    assert licences.find_licenses(df.limit(0), licences.known_digests(spark)).count() == 0

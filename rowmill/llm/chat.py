@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprint, in DataFrame functions only.
 
 A record's nested field paths are hashed; the hash selects a declarative mapping into canonical turns
-``array<struct<role, text>>``. Paths that no mapping knows are left out of the hash, so extra fields do no harm.
+``array<struct<role, text>>``. The mapping with the most paths is taken of those whose paths are all there (ties: the
+first of ``LAYOUTS``), so extra fields do no harm, whether another mapping knows them or not.
 """
 
 from __future__ import annotations
@@ -41,14 +42,23 @@ LAYOUTS = (
     Layout("conversations", items=("conversations", "from", "value")),
     Layout("turns", items=("turns", "role", "text")),
     Layout("system_messages", fields=(("system", "system"),), items=("messages", "role", "content")),
+    Layout("system_messages_text", fields=(("system", "system"),), items=("messages", "role", "text")),
     Layout("system_conversations", fields=(("system", "system"),), items=("conversations", "from", "value")),
+    Layout("system_turns", fields=(("system", "system"),), items=("turns", "role", "text")),
     Layout("instruction", fields=(("user", "instruction"), ("assistant", "output"))),
     Layout("instruction_input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("instruction_response", fields=(("user", "instruction"), ("assistant", "response"))),
+    Layout("instruction_input_response", fields=(("user", "instruction"), ("user", "input"), ("assistant", "response"))),
+    Layout("system_instruction", fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Layout("system_instruction_input", fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("system_instruction_response", fields=(("system", "system"), ("user", "instruction"), ("assistant", "response"))),
+    Layout("system_instruction_input_response", fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "response"))),
     Layout("completion", fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("system_completion", fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Layout("response", fields=(("user", "prompt"), ("assistant", "response"))),
     Layout("system_response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("question", fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("system_question", fields=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
     Layout("turn_rows", fields=(("", "role"), ("", "text"), ("", "turn"))),
 )
 _TOP = sorted({f for x in LAYOUTS for _, f in x.fields})
@@ -60,8 +70,14 @@ def path_hash(paths: Column) -> Column:
     return F.xxhash64(F.concat_ws("\n", paths))
 
 
-def _known(layouts: tuple[Layout, ...]) -> list[str]:
-    return sorted({p for x in layouts for p in x.paths})
+def _ranked(layouts: tuple[Layout, ...]) -> list[Layout]:
+    """The most specific first; layouts with as many paths stay in their order."""
+    return sorted(layouts, key=lambda x: -len(x.paths))
+
+
+def _by_turn(layout: Layout) -> bool:
+    """Rows by turn are one turn per record; they are grouped, not mapped."""
+    return any(role == "" for role, _ in layout.fields)
 
 
 def _below(name: str, fields: Column) -> Column:
@@ -69,15 +85,26 @@ def _below(name: str, fields: Column) -> Column:
 
 
 def record_fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Fingerprint of a VARIANT record: its known field paths, nested ones below arrays included."""
+    """Fingerprint of the most specific layout whose paths a VARIANT record has, nested ones below arrays included.
+
+    NULL if it has all paths of none.
+    """
     keys = lambda v: F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string, variant>")), F.array().cast("array<string>"))
     found = keys(record)
     for name in _ITEMS:
         elements = F.coalesce(F.try_variant_get(record, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
         inner = F.array_distinct(F.flatten(F.transform(elements, keys)))
         found = F.concat(found, _below(name, inner))
-    known = F.array(*[F.lit(p) for p in _known(layouts)])
-    return path_hash(F.array_sort(F.array_intersect(found, known)))
+
+    def first(paths: Column) -> Column:
+        marks = []
+        for x in _ranked(layouts):
+            own = path_hash(F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in x.paths]))))
+            marks.append(F.when(own == layout_fingerprint(x), own))
+        return F.coalesce(*marks)
+
+    # A lambda over one item, so that the paths are listed once.
+    return F.get(F.transform(F.array(found), first), F.lit(0))
 
 
 def layout_fingerprint(layout: Layout) -> Column:
@@ -106,11 +133,10 @@ def _mapped(record: Column, layout: Layout) -> Column:
 def turns_from_records(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
     """(layout name, turns) of a JSON text. Text that is no JSON or has no known layout gives NULL for both."""
     parsed = F.try_parse_json(record)
+    layouts = tuple(x for x in layouts if not _by_turn(x))
     mark = record_fingerprint(parsed, layouts)
     name = turns = None
     for x in layouts:
-        if any(role == "" for role, _ in x.fields):
-            continue  # rows by turn are one turn per record; they are grouped, not mapped
         hit = parsed.isNotNull() & (mark == layout_fingerprint(x))
         name = F.when(hit, x.name) if name is None else name.when(hit, x.name)
         turns = F.when(hit, _mapped(parsed, x)) if turns is None else turns.when(hit, _mapped(parsed, x))
@@ -118,14 +144,14 @@ def turns_from_records(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) ->
 
 
 def table_layout(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
-    """The layout whose paths are those of the table's columns, compared as the hash of the schema's known paths."""
+    """The most specific layout whose paths are all among those of the table's columns. The schema is known on the
+    driver, so the paths themselves are compared."""
     paths = []
     for f in df.schema.fields:
         paths.append(f.name)
         inner = getattr(f.dataType, "elementType", None)
         paths += [f"{f.name}[].{g.name}" for g in getattr(inner, "fields", [])]
-    known = sorted(set(paths) & set(_known(layouts)))
-    return next((x for x in layouts if list(x.paths) == known), None)
+    return next((x for x in _ranked(layouts) if set(x.paths) <= set(paths)), None)
 
 
 def turns_from_rows(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
@@ -134,8 +160,7 @@ def turns_from_rows(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
     Rows go by turn, then role and text; NULL turns come first, NULL role and text count as empty. A conversation is
     one value of the result, so its rows meet in one task; the table as a whole does not.
     """
-    layout = table_layout(df)
-    if layout is None or layout.name != "turn_rows":
+    if table_layout(df, tuple(x for x in LAYOUTS if _by_turn(x))) is None:
         raise ValueError(f"no layout of rows by turn: {df.columns}")
     empty = F.lit("")
     row = F.struct(F.col("turn"), F.coalesce(F.col("role"), empty).alias("role"), F.coalesce(F.col("text"), empty).alias("text"))

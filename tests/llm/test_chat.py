@@ -88,3 +88,38 @@ def test_query_has_no_python_and_agrees_with_sql(spark, sf):
     probe = df.where("conv_id = -7").first()
     text = "</s>[INST] ok [/INST]"
     assert probe.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and probe.loss_chars == len(text) and probe.n_turns == 2
+
+
+EXTRA_KNOWN = [
+    ({"instruction": "do", "input": "this", "output": "done", "text": "all"}, "instruction_input", [("user", "do"), ("user", "this"), ("assistant", "done")]),
+    ({"prompt": "q", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, "messages", [("user", "q"), ("assistant", "a")]),
+    ({"system": "s", "instruction": "do", "output": "done"}, "system_instruction", [("system", "s"), ("user", "do"), ("assistant", "done")]),
+    ({"instruction": "do", "input": "this", "response": "done"}, "instruction_input_response", [("user", "do"), ("user", "this"), ("assistant", "done")]),
+    ({"system": "s", "question": "q", "answer": "a", "role": "x", "turn": 1}, "system_question", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ({"system": "s", "turns": [{"role": "user", "text": "q"}], "text": "t"}, "system_turns", [("system", "s"), ("user", "q")]),
+    ({"role": "user", "text": "q", "turn": 1}, None, None),
+]
+
+
+def test_extra_names_that_other_layouts_know(spark):
+    df = spark.createDataFrame([(json.dumps(r),) for r, _, _ in EXTRA_KNOWN], "record string")
+    name, turns = chat.turns_from_records(F.col("record"))
+    rows = {r.record: r for r in df.select("record", name.alias("name"), turns.alias("turns")).collect()}
+    for record, layout, want in EXTRA_KNOWN:
+        got = rows[json.dumps(record)]
+        assert (got.name, got.turns and [(t.role, t.text) for t in got.turns]) == (layout, want)
+
+
+@pytest.mark.parametrize("extra", ["system", "prompt", "input", "output", "response"])
+def test_tables_with_names_that_other_layouts_know(spark, extra):
+    df = spark.createDataFrame([(1, 1, "gpt", "a", "x"), (1, 0, "human", "q", "x")], f"{SCHEMA}, {extra} string")
+    out = chat.turns_from_rows(df).collect()
+    assert [(t.role, t.text) for t in out[0].turns] == [("user", "q"), ("assistant", "a")]
+
+
+def test_table_layout_is_the_most_specific(spark):
+    items = "messages array<struct<role: string, content: string>>"
+    layout = lambda schema: chat.table_layout(spark.createDataFrame([], schema)).name
+    assert layout(f"prompt string, {items}") == "messages"
+    assert layout(f"system string, text string, {items}") == "system_messages"
+    assert layout(f"{SCHEMA}, system string, prompt string") == "turn_rows"

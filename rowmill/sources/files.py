@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,14 +95,36 @@ def read_regex(spark: SparkSession, path: str, pattern: str, names: Sequence[str
     return (lines if keep_unmatched else lines.where(hit)).select(*groups)
 
 
-def read_ldif(spark: SparkSession, path: str, newline: str = "\n") -> DataFrame:
+def _blank_crlf(spark: SparkSession, path: str) -> dict[str, bool]:
+    """For each file, whether most of its blank lines end in CRLF. Reads the files once, line by line."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    crlf = F.count_if(F.col("value") == "\r") > F.count_if(F.col("value") == "")
+    return {unquote(r.file): r.crlf for r in lines.groupBy("file").agg(crlf.alias("crlf")).collect()}
+
+
+def read_ldif(spark: SparkSession, path: str, newline: str | None = None) -> DataFrame:
     """LDIF entries, separated by blank lines, as ``(dn, attributes)`` with all values of each attribute.
 
     An entry is one record, so only its own lines are gathered. Lines may end in LF or CRLF, in one file or
     several. Folded lines are joined first; values after ``::`` are decoded from base64 as UTF-8.
+
+    Files are cut at the blank lines that are more frequent in each of them, so that large ones are read in parts,
+    whatever ends their lines; ``newline`` names the line end of all files instead and saves the pass that finds it.
     """
-    # Every entry ends in a blank line, which ends in LF either way: cut after "\n\n", then at blank CRLF lines.
-    records = spark.read.option("lineSep", newline * 2).text(path).select(F.explode(F.split("value", r"\r?\n\r\n")).alias("value"))
+    cut = lambda sep, paths: spark.read.option("lineSep", sep).text(paths)
+    if newline is not None:
+        parts = cut(newline * 2, path)
+    else:
+        found = _blank_crlf(spark, path)
+        crlf = [f for f, yes in found.items() if yes]
+        if not crlf:
+            parts = cut("\n\n", path)
+        elif len(crlf) == len(found):
+            parts = cut("\n\r\n", path)
+        else:
+            parts = cut("\n\r\n", crlf).unionByName(cut("\n\n", [f for f, yes in found.items() if not yes]))
+    # What is left are blank lines of the other kind.
+    records = parts.select(F.explode(F.split(F.regexp_replace("value", r"\r\z", ""), r"\r?\n\r?\n")).alias("value"))
     records = records.where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     unfolded = F.regexp_replace("value", "\r?\n ", "")
     lines = F.filter(F.split(unfolded, "\r?\n"), lambda s: s.contains(":") & ~s.startswith("#"))

@@ -1,6 +1,7 @@
 """Sources, sinks, session helpers."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill import scratch_path, session
@@ -142,6 +143,24 @@ def test_ldif_line_ends_and_base64(spark, tmp_path, end, newline):
     assert got == {"cn=a": {"cn": ["a"], "mail": ["x@y", "z@y"], "note": ["foldedtext"]}, "cn=é": {"cn": ["b:c"]}}
 
 
+def test_ldif_files_are_read_in_parts_whatever_their_line_ends(spark, tmp_path):
+    entry = lambda i, end: f"dn: cn={i}{end}cn: {i}{end}{end}"
+    (tmp_path / "crlf").mkdir()
+    (tmp_path / "crlf" / "a.ldif").write_bytes("".join(entry(i, "\r\n") for i in range(2000)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = src.read_ldif(spark, str(tmp_path / "crlf"))
+        assert df.select(F.spark_partition_id()).distinct().count() > 1
+        assert {(r.dn, r.attributes["cn"][0]) for r in df.collect()} == {(f"cn={i}", str(i)) for i in range(2000)} and df.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "crlf" / "b c.ldif").write_bytes("".join(entry(i, "\n") for i in range(2000, 2010)).encode())
+    (tmp_path / "crlf" / "one.ldif").write_bytes(b"dn: cn=2010\r\ncn: 2010\r\n")
+    (tmp_path / "crlf" / "mixed.ldif").write_bytes((entry(2011, "\n") + entry(2012, "\r\n") + entry(2013, "\r\n") + entry(2014, "\n")).encode())
+    got = src.read_ldif(spark, str(tmp_path / "crlf")).collect()
+    assert sorted((int(r.dn[3:]), r.attributes["cn"]) for r in got) == [(i, [str(i)]) for i in range(2015)]
+
+
 def test_generate_rows_per(spark, monkeypatch):
     monkeypatch.setattr(tables, "_BLOCK", 3)
     df = spark.createDataFrame([("a", 7), ("b", 0), ("c", None), ("d", 3), ("e", -2)], "k string, n int")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from rowmill.llm import chat, lattice, licences, packing, pieces, pitman_yor, quality, simhash, toxicity, urls
+from rowmill.llm import chat, lattice, licences, packing, pieces, pitman_yor, quality, simhash, toxicity, urls, variants
 from rowmill.llm.registry import query
 
 # Host rules of the URL filter.
@@ -147,3 +147,56 @@ def sentencepiece_round_trip(t):
 @query("op9_pitman_yor")
 def pitman_yor_scores(t):
     return pitman_yor.score_texts(t.documents.select("doc_id", "text"), held(2, 7))
+
+
+# CRC-32 in SQL: a table of 256 entries, then one step per byte of a text given in hex digits.
+CRC_TABLE = """crc(t) AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of a text, where the column ``t`` of the table ``crc`` is in reach."""
+    digits = f"hex(encode({text}))"
+    byte = f"list_transform(range(1, length({digits}) + 1, 2), lambda k: CAST('0x' || substr({digits}, k, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+OP13_SQL = r"""
+WITH RECURSIVE {crc},
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL
+), marked AS (SELECT run, k, {h} AS h FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cuts AS (
+  SELECT word, n, j, substr(word, 1, j - 1) || substr(word, j + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS j FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (cut, j) WHERE a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.cut
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.cut
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS m, min_by(other, (-other_n, other)) AS other FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), chain AS (
+  SELECT word, word AS root, form AS up FROM formed
+  UNION ALL SELECT c.word, c.up, f.form FROM chain c JOIN formed f ON f.word = c.up
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.up IS NULL
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL.replace("{crc}", CRC_TABLE).replace("{h}", crc32_sql("doc_id || ':' || run")))
+def spelling_variants(t):
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    runs = t.documents.select(named.alias("_id"), F.explode(variants.letter_runs(F.col("text"))).alias("_run"))
+    h = F.crc32(F.concat("_id", F.lit(":"), "_run").cast("binary"))
+    # One letter is taken out of every 97th run, so that there are misspellings to find.
+    word = F.when(h % 97 == 0, variants.without_letter(F.col("_run"), h % F.char_length("_run"))).otherwise(F.col("_run"))
+    return variants.spelling_forms(variants.count_words(runs.select(word.alias("word"))))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from rowmill.llm import chat, lattice, licences, packing, pieces, pitman_yor, quality, simhash, toxicity, urls, variants
+from rowmill.llm import chat, lattice, licences, packing, phrases, pieces, pitman_yor, quality, simhash, toxicity, urls, variants
 from rowmill.llm.registry import query
 
 # Host rules of the URL filter.
@@ -200,3 +200,40 @@ def spelling_variants(t):
     # One letter is taken out of every 97th run, so that there are misspellings to find.
     word = F.when(h % 97 == 0, variants.without_letter(F.col("_run"), h % F.char_length("_run"))).otherwise(F.col("_run"))
     return variants.spelling_forms(variants.count_words(runs.select(word.alias("word"))))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (SELECT item_id, w, CAST(least(len(w), 10) AS BIGINT) AS k FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM sized)),
+gram AS (SELECT d, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT d, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM doc, (SELECT DISTINCT k FROM sized))),
+occ AS (SELECT d, item_id, s, k FROM gram JOIN win USING (k, g)),
+hit AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(s, s + k)) AS p FROM occ) GROUP BY d),
+ids AS (SELECT d, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT d, item_id FROM occ) GROUP BY d),
+tok AS (SELECT d, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM doc),
+freq AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+lead AS (
+  SELECT i, item_id, term, row_number() OVER (PARTITION BY i ORDER BY n, term) AS r, count(*) OVER (PARTITION BY i) AS c
+  FROM (SELECT DISTINCT i, item_id, t AS term FROM (SELECT row_number() OVER () AS i, item_id, unnest(w) AS t FROM (SELECT item_id, w FROM sized)) JOIN freq ON t = term)
+  JOIN freq USING (term)
+), post AS (SELECT d, i, item_id, r, c, p FROM tok JOIN lead USING (term) WHERE r <= 3),
+near AS (
+  SELECT a.d, a.item_id FROM post a WHERE a.c = 1
+  UNION SELECT a.d, a.item_id FROM post a JOIN post b ON a.d = b.d AND a.i = b.i AND a.r = 1 AND b.r = 2 AND abs(a.p - b.p) < 30 WHERE a.c = 2
+  UNION SELECT a.d, a.item_id FROM post a JOIN post b ON a.d = b.d AND a.i = b.i AND a.r = 1 AND b.r = 2 AND abs(a.p - b.p) < 30
+    JOIN post c ON a.d = c.d AND a.i = c.i AND c.r = 3 AND greatest(a.p, b.p, c.p) - least(a.p, b.p, c.p) < 30
+), nears AS (SELECT d, count(*) AS n_near FROM near GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM doc LEFT JOIN hit USING (d) LEFT JOIN ids USING (d) LEFT JOIN nears USING (d)
+"""
+
+
+@query("op12_decontamination", OP12_SQL)
+def decontamination(t):
+    return phrases.contamination(t.documents, t.benchmark)

@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from rowmill.llm import chat, lattice, licences, packing, phrases, pieces, pitman_yor, quality, simhash, toxicity, urls, variants
+from rowmill.llm import chat, lattice, licences, packing, phrases, pieces, pitman_yor, quality, simhash, toxicity, trie, urls, variants
 from rowmill.llm.registry import query
+from rowmill.session import materialize
 
 # Host rules of the URL filter.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -237,3 +238,48 @@ FROM doc LEFT JOIN hit USING (d) LEFT JOIN ids USING (d) LEFT JOIN nears USING (
 @query("op12_decontamination", OP12_SQL)
 def decontamination(t):
     return phrases.contamination(t.documents, t.benchmark)
+
+
+OP11_SQL = r"""
+WITH {crc},
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {'r': role, 't': text} AS v
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), conv AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {h} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+whole AS (
+  SELECT conv_id, list(v ORDER BY part, p) AS v FROM (
+    SELECT c.conv_id, 0 AS part, o.p, o.v FROM conv c JOIN own o ON o.conv_id = c.base AND o.p <= c.h
+    UNION ALL SELECT c.conv_id, 1, o.p, o.v FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.p > c.h)
+  GROUP BY conv_id
+), full_ AS (SELECT conv_id, coalesce(v, []) AS v FROM conv LEFT JOIN whole USING (conv_id)),
+pre AS (SELECT conv_id, v, len(v) AS size, unnest(range(0, len(v) + 1)) AS depth FROM full_),
+keyed AS (SELECT conv_id, depth, size, md5(CAST(v[1:depth] AS VARCHAR)) AS k, md5(CAST(v[1:depth - 1] AS VARCHAR)) AS pk, coalesce(length(v[depth].t), 0) AS chars FROM pre),
+node AS (
+  SELECT k, depth, min(conv_id) AS conv_id, any_value(pk) AS pk, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size), '')) AS ends_sha256
+  FROM keyed GROUP BY k, depth
+), kids AS (SELECT pk AS k, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT a.k, a.depth, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM node n JOIN keyed a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids c ON c.k = n.k AND c.depth = n.depth GROUP BY a.k, a.depth
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN node p ON n.depth > 0 AND p.k = n.pk AND p.depth = n.depth - 1 LEFT JOIN kids c ON c.k = n.k AND c.depth = n.depth
+JOIN sums s ON s.k = n.k AND s.depth = n.depth
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL.replace("{crc}", CRC_TABLE).replace("{h}", crc32_sql("CAST(conv_id AS VARCHAR)")))
+def prefix_trie(t):
+    own = materialize(trie.numbered_turns(t.conversations), "turns")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    lengths = own.groupBy("conv_id").agg(F.max("p").alias("_n"))
+    shared = own.where((F.col("conv_id") % 100 == 0) & (F.col("p") <= 5)).withColumnRenamed("conv_id", "base")
+    first = shared.groupBy("base").agg(F.max("p").alias("_first"))
+    convs = lengths.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 100, "h": h}).join(first, "base", "left")
+    convs = materialize(convs.select("conv_id", "base", "h", F.least("h", F.coalesce("_first", F.lit(0))).alias("_head")), "conversations")
+    heads = convs.join(shared, "base").where(F.col("p") <= F.col("h"))
+    rest = own.join(convs, "conv_id").where(F.col("p") > F.col("h")).withColumn("p", F.col("p") - F.col("h") + F.col("_head"))
+    parts = [x.select("conv_id", F.col("p").cast("long").alias("depth"), "chars", "_y1", "_y2") for x in (heads, rest)]
+    return trie.prefix_trie(parts[0].union(parts[1]), convs.select("conv_id"))

@@ -79,4 +79,22 @@ def st06(t):
 
         changes = scd.read_change_feed(_feed(Streamed), "op")
         flows.stream_merge(changes, base, target, checkpoint, merge, keys=["c_custkey"], buckets=8).awaitTermination()
+    return flows.latest_version(t.spark, target, base, ["c_custkey"])
+
+
+@query("st06_merge_compacted", f"WITH first AS ({_MERGED.format('customer', _FEED, 0)}) {_MERGED.format('first', _FEED, 1)}")
+def st06_compacted(t):
+    """The same halves as batches of one sink, each sent twice as after a crash, with a compaction after every delta."""
+    from rowmill.plans.history import _feed
+
+    target = scratch_path(t.spark, "dimension")
+    base = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    sink = flows.merge_sink(target, flows.merge_changes(["c_custkey"], ["ts", "event_id"]), base, ["c_custkey"], buckets=8, deltas=1)
+    for number in (0, 0, 1, 1):
+
+        class Half:
+            events = t.events.where(F.col("event_id") % 2 == number)
+
+        sink(scd.read_change_feed(_feed(Half), "op"), number)
+        flows.drop_superseded(t.spark, target)
     return flows.latest_version(t.spark, target, base)

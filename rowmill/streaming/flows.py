@@ -11,6 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowmill.operators.aggregate import Operation, aggregate_column
 from rowmill.operators.scd import apply_changes, scd1, scd2
+from rowmill.streaming.merged import BUCKETS, DELTAS, compact, drop_superseded, latest_version, merge_sink
+
+__all__ = [
+    "compact", "drop_superseded", "event_time", "latest_version", "merge_changes", "merge_scd1", "merge_scd2", "merge_sink", "parse_messages",
+    "stream_aggregate", "stream_dedup", "stream_files", "stream_kafka", "stream_merge", "to_messages", "write_kafka", "write_stream",
+]
 
 
 def stream_files(
@@ -89,133 +95,15 @@ def stream_aggregate(
     return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *keys, *names)
 
 
-# Hash buckets of a merged table. A micro-batch rewrites those its keys fall into.
-BUCKETS = 64
-_BUCKET = "_bucket"
-
-
-def _folder(spark: SparkSession, path: str):
-    """(file system, path object) of a folder in any store Spark can write to."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, place = _folder(spark, path)
-    return system.exists(place)
-
-
-def version_path(target: str, number: int) -> str:
-    """Data of one micro-batch; the base table has number 0, batch n has n + 1."""
-    return f"{target.rstrip('/')}/version-{number:09d}"
-
-
-def _commit_path(target: str, number: int) -> str:
-    return f"{target.rstrip('/')}/commits/{number:09d}"
-
-
-def _manifest(spark: SparkSession, target: str, before: int | None = None) -> tuple[int, dict[int, int]]:
-    """(number, version of each bucket) of the newest commit, below ``before`` if given; -1 when there is none.
-
-    Commits are written after their data. Both lists are short: one file per batch, one entry per bucket.
-    """
-    folder = f"{target.rstrip('/')}/commits"
-    if not _exists(spark, folder):
-        return -1, {}
-    system, place = _folder(spark, folder)
-    numbers = [int(f.getPath().getName()) for f in system.listStatus(place)]
-    done = [n for n in numbers if (before is None or n < before) and _exists(spark, f"{_commit_path(target, n)}/_SUCCESS")]
-    if not done:
-        return -1, {}
-    rows = spark.read.schema("bucket int, version bigint").parquet(_commit_path(target, max(done))).collect()
-    return max(done), {r.bucket: r.version for r in rows}
-
-
-def _commit(spark: SparkSession, target: str, number: int, manifest: dict[int, int]) -> None:
-    rows = spark.createDataFrame(sorted(manifest.items()), "bucket int, version bigint").coalesce(1)
-    rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(_commit_path(target, number))
-
-
-def _read_buckets(spark: SparkSession, target: str, manifest: dict[int, int], schema: T.StructType, only: Sequence[int] | None = None) -> DataFrame:
-    """Rows of the given buckets, of all when None. A bucket that a merge has emptied has no folder."""
-    wanted = manifest if only is None else {b: manifest[b] for b in only if b in manifest}
-    paths = [f"{version_path(target, v)}/{_BUCKET}={b}" for b, v in sorted(wanted.items())]
-    paths = [p for p in paths if _exists(spark, p)]
-    reader = spark.read.schema(schema)
-    return reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def versioned_sink(
-    target: str, merge: Callable[[DataFrame, DataFrame], DataFrame], base: DataFrame, keys: Sequence[str] | None = None, buckets: int = BUCKETS
-) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that merges each micro-batch into a table of hash buckets over ``keys``.
-
-    A batch reads and rewrites only buckets its keys fall into, as files of its own version, and then commits the
-    list of buckets and their versions. A repeated batch overwrites its own version, so a restart gives the same
-    table. ``base`` is the table before the first batch; it is dealt into buckets once. Without keys the table is one
-    bucket: needed for merges that look at the whole table, such as new surrogate keys.
-    """
-    count = buckets if keys else 1
-
-    def marked(df: DataFrame) -> DataFrame:
-        place = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(count)).cast("int") if keys else F.lit(0)
-        return df.withColumn(_BUCKET, place)
-
-    def store(df: DataFrame, number: int) -> None:
-        rows = marked(df).hint("rebalance", F.col(_BUCKET))
-        rows.write.mode("overwrite").partitionBy(_BUCKET).parquet(version_path(target, number))
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        version = number + 1
-        found, manifest = _manifest(spark, target, before=version)
-        if found < 0:
-            store(base, 0)
-            manifest = {b: 0 for b in range(count)}
-            _commit(spark, target, 0, manifest)
-        touched = sorted(r[0] for r in marked(batch).select(_BUCKET).distinct().collect())  # at most one row per bucket
-        if touched:
-            store(merge(_read_buckets(spark, target, manifest, base.schema, touched), batch).select(*base.columns), version)
-            _commit(spark, target, version, {**manifest, **{b: version for b in touched}})
-
-    return run
-
-
-def latest_version(spark: SparkSession, target: str, base: DataFrame) -> DataFrame:
-    """The merged table as of the last commit, from any session; ``base`` before the first one."""
-    number, manifest = _manifest(spark, target)
-    return base if number < 0 else _read_buckets(spark, target, manifest, base.schema)
-
-
-def drop_superseded(spark: SparkSession, target: str) -> int:
-    """Delete files of buckets that the last commit no longer names; returns how many buckets went.
-
-    Run it while no reader still uses an earlier version.
-    """
-    number, manifest = _manifest(spark, target)
-    if number < 0:
-        return 0
-    system, place = _folder(spark, target)
-    gone = 0
-    for folder in system.listStatus(place):
-        name = folder.getPath().getName()
-        if not name.startswith("version-"):
-            continue
-        version = int(name.removeprefix("version-"))
-        for part in system.listStatus(folder.getPath()):
-            label = part.getPath().getName()
-            if version <= number and label.startswith(f"{_BUCKET}=") and manifest.get(int(label.removeprefix(f"{_BUCKET}="))) != version:
-                system.delete(part.getPath(), True)
-                gone += 1
-    return gone
-
-
 def stream_merge(
     changes: DataFrame, base: DataFrame, target: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
-    available_now: bool = True, keys: Sequence[str] | None = None, buckets: int = BUCKETS,
+    available_now: bool = True, keys: Sequence[str] | None = None, buckets: int = BUCKETS, deltas: int = DELTAS,
 ) -> StreamingQuery:
-    """Merge a stream of changes into a table; read it with ``latest_version``, also after a restart."""
-    sink = versioned_sink(target, merge, base, keys, buckets)
+    """Merge a stream of changes into a table; read it with ``latest_version``, also after a restart.
+
+    The checkpoint numbers the batches, so its folder names the writer; a stream that starts anew needs a new folder.
+    """
+    sink = merge_sink(target, merge, base, keys, buckets, deltas, writer=checkpoint.rstrip("/"))
     writer = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

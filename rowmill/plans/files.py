@@ -32,6 +32,14 @@ def s04(t):
     return src.read_delimited(t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", sep="\t", code_lines=True)
 
 
+@query("s04_quoted_lines", "SELECT doc_id, text, lang, n_chars FROM documents")
+def s04_quoted(t):
+    """Text with line ends inside quotes, as other writers leave it, read in parts."""
+    path = scratch_path(t.spark, "csv")
+    out.write_delimited(t.documents.select("doc_id", "text", "lang", "n_chars"), path)
+    return src.read_delimited(t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", quoted_lines=True)
+
+
 @query("s04_delimited_rejects", "SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id END AS user_id, event_type = 'error' AS bad FROM events")
 def s04_rejects(t):
     path = scratch_path(t.spark, "csv")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.sinks.files import LINE_CODES
+from rowmill.sources.records import read_records
 
 CORRUPT = "_corrupt_record"
 
@@ -23,12 +24,13 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True,
     quote: str = '"', escape: str = '"', encoding: str = "UTF-8", keep_corrupt: bool = False, multiline: bool = False,
-    code_lines: bool = False,
+    code_lines: bool = False, quoted_lines: bool = False,
 ) -> DataFrame:
     """Delimited text. Without a schema the types are inferred, which costs one more pass.
 
-    Line ends inside values need ``multiline``, which makes each file one task, or ``code_lines``, which restores
-    what ``write_delimited`` wrote with it and lets large files be split.
+    Line ends inside values need one of three: ``quoted_lines`` for files of any writer that quotes such values, read in
+    parts (see ``records``; needs a schema and UTF-8); ``code_lines``, which restores what ``write_delimited`` wrote with it;
+    ``multiline``, which makes each file one task and also takes quotes inside unquoted values.
 
     ``keep_corrupt`` adds ``_corrupt_record`` with the text of lines that do not fit the schema;
     without it such a line fails the read.
@@ -39,7 +41,11 @@ def read_delimited(
     )
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if schema is None:
+    if quoted_lines:
+        if schema is None or encoding.upper().replace("-", "") != "UTF8":
+            raise ValueError("quoted_lines needs a schema and UTF-8")
+        df = _parsed_records(read_records(spark, path, quote, escape), schema, sep, header, quote, escape, keep_corrupt)
+    elif schema is None:
         df = reader.option("inferSchema", True).csv(path)
     elif keep_corrupt:
         wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -49,6 +55,20 @@ def read_delimited(
     return whole_lines(df) if code_lines else df
 
 
+def _parsed_records(
+    records: DataFrame, schema: T.StructType, sep: str, header: bool, quote: str, escape: str, keep_corrupt: bool
+) -> DataFrame:
+    options = {"sep": sep, "quote": quote, "escape": escape, "multiLine": "true", "mode": "PERMISSIVE" if keep_corrupt else "FAILFAST"}
+    fields = list(schema.fields)
+    if keep_corrupt:
+        options["columnNameOfCorruptRecord"] = CORRUPT
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+    rows = records.where(~F.col("first")) if header else records.where("record != ''")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    # An array of one, so that a record is parsed once for all columns.
+    return rows.select(F.inline(F.array(F.from_csv("record", kinds, options))))
+
+
 def whole_lines(df: DataFrame) -> DataFrame:
     """Undo ``one_line`` of the sinks: the backslash comes back last."""
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name != CORRUPT]

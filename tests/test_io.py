@@ -1,5 +1,7 @@
 """Sources, sinks, session helpers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,86 @@ def test_delimited_round_trip_of_awkward_text(spark):
     assert sorted(tuple(r) for r in got.collect()) == rows
 
 
+def foreign_csv(folder, rows, newline="\n", header=True, end=True):
+    """A file as other programs write it: values quoted where needed, line ends as they are."""
+    cell = lambda v: "" if v is None else f'"{v.replace(chr(34), chr(34) * 2)}"' if any(c in v for c in '",\r\n') or v == "" else v
+    lines = (["id,t,u"] if header else []) + [f"{i},{cell(a)},{cell(b)}" for i, a, b in rows]
+    with open(f"{folder}/a.csv", "w", encoding="utf-8", newline="") as f:
+        f.write(newline.join(lines) + (newline if end else ""))
+    return str(folder)
+
+
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield lambda size: small_splits(spark, size)
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", ["7", "64", "1000", "10m"])
+def test_quoted_line_ends_in_parts(spark, tmp_path, splits, size, newline):
+    """One file in many splits: splits that start or end inside values, records over several splits, blank lines in values."""
+    rng = random.Random(4)
+    texts = ["plain", None, "two\nlines", 'say "hi",\n\n"yes"', "\n", '"', '""\n"', "long\n" * 60, "é日本\n", "x" * 150, "\n,\n"]
+    rows = [(i, rng.choice(texts), rng.choice(texts)) for i in range(40 if size == "7" else 120)]
+    path = foreign_csv(tmp_path, rows, newline, end=size != "64")
+    whole = spark.read.csv(path, schema="id int, t string, u string", header=True, escape='"', multiLine=True, mode="FAILFAST")
+    splits(size)
+    got = src.read_delimited(spark, path, "id int, t string, u string", quoted_lines=True)
+    if size != "10m":
+        assert src.read_records(spark, path).rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_quoted_line_ends_over_arrow_batches(spark, tmp_path, splits):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i, "a\nb\nc", f"{i}\n") for i in range(60)]
+    path = foreign_csv(tmp_path, rows, header=False)
+    splits("300")
+    try:
+        for n in ("1", "3", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = src.read_delimited(spark, path, "id int, t string, u string", header=False, quoted_lines=True)
+            assert sorted(map(tuple, got.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_quoted_line_ends_odd_files(spark, tmp_path, splits):
+    splits("16")
+    schema = "id int, t string, u string"
+    (tmp_path / "b").mkdir()
+    path = foreign_csv(tmp_path / "b", [])
+    assert src.read_delimited(spark, path, schema, quoted_lines=True).collect() == []
+    (tmp_path / "b" / "c.csv").write_text('\ufeffid,"t\n,t",u\n\n1,"x\\ny",z\n\n', encoding="utf-8")
+    (tmp_path / "b" / "d.csv").write_text("")
+    got = src.read_delimited(spark, path, schema, quoted_lines=True)
+    assert [tuple(r) for r in got.collect()] == [(1, "x\\ny", "z")]
+    (tmp_path / "b" / "e.csv").write_text('id,t,u\n1,"open,2\n')
+    with pytest.raises(ValueError, match="unbalanced"):
+        src.read_delimited(spark, path, schema, quoted_lines=True)
+    with pytest.raises(ValueError):
+        src.read_delimited(spark, path, quoted_lines=True)
+
+
+def test_quoted_line_ends_backslash_and_rejects(spark, tmp_path, splits):
+    splits("20")
+    (tmp_path / "x.csv").write_text('1;"a \\"q\\"\nb"\nbad;"c\nd"\n3;"e"\n')
+    got = src.read_delimited(spark, str(tmp_path), "id int, t string", sep=";", header=False, escape="\\", quoted_lines=True, keep_corrupt=True)
+    rows = {r.t: (r.id, r[src.CORRUPT]) for r in got.collect()}
+    assert rows == {'a "q"\nb': (1, None), "c\nd": (None, 'bad;"c\nd"'), "e": (3, None)}
+    with pytest.raises(Exception, match="Malformed|MALFORMED"):
+        src.read_delimited(spark, str(tmp_path), "id int, t string", sep=";", header=False, escape="\\", quoted_lines=True).collect()
+
+
 def test_inferred_types(spark):
     path = scratch_path(spark, "csv")
     out.write_delimited(spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string"), path)

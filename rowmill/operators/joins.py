@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate, combinations, product
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,10 +164,69 @@ def _deletions(text: Column, distance: int) -> Column:
     return variants
 
 
-def _place(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of part ``i`` of a text of this length cut into equal parts."""
-    start = F.floor(length * i / parts).cast("int")
-    return start, F.floor(length * (i + 1) / parts).cast("int") - start
+# Texts of at most this many characters meet on their deletions, if these are at most so many; longer ones on parts.
+_SHORT, _DELETIONS = 64, 350
+# Parts that a long text is cut into, by number of edits; one more than twice the edits otherwise.
+_PARTS = {1: 16, 2: 8}
+
+
+def _short_size(k: int) -> int:
+    """The longest text whose deletions of up to ``k`` characters are few enough to list."""
+    return max(n for n in range(_SHORT + 1) if sum(comb(n, i) for i in range(k + 1)) <= _DELETIONS)
+
+
+def _cuts(k: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """All ways in which at most ``k`` edits can touch ``k`` parts: (parts left out, shift of the text behind each of them)."""
+    m = _PARTS.get(k, 2 * k + 1)
+    steps = [d for d in product(range(-k, k + 1), repeat=k) if sum(map(abs, d)) <= k]
+    return [(out, tuple(accumulate(d))) for out in combinations(range(m), k) for d in steps]
+
+
+def _kept(text: Column, length: Column, cut: Column, k: int) -> Column:
+    """Hash of what a text of ``length`` characters keeps without ``k`` of its parts, read in ``text``, where what follows each
+    of them is shifted. ``cut``: the parts, then the shifts. NULL where the text is too short for it.
+    """
+    m = _PARTS.get(k, 2 * k + 1)
+    bound = lambda i: F.floor(length * i / m).cast("int")
+    pieces, fits = [], length > _short_size(k)
+    for q in range(k + 1):
+        start = F.lit(0) if q == 0 else bound(F.get(cut, F.lit(q - 1)) + 1)
+        end = length if q == k else bound(F.get(cut, F.lit(q)))
+        at = start + (F.lit(0) if q == 0 else F.get(cut, F.lit(k + q - 1)))
+        width = F.greatest(end - start, F.lit(0))
+        pieces.append(F.substr(text, F.greatest(at, F.lit(0)) + 1, width))
+        fits = fits & (at >= 0) & (at + width <= F.char_length(text))
+    return F.when(fits, F.xxhash64(length, F.slice(cut, 1, k) if k else F.lit(0), F.array(*pieces)))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """``_a, _b``: all pairs of distinct texts ``left._a`` and ``right._b`` within ``k`` edits, and few others.
+
+    Short texts meet on what remains after deleting up to k characters of both. A long lookup text is cut into parts; k edits
+    touch at most k of them, so a near text has all the others in order, each moved by at most k places. The lookup text is filed
+    under what remains without each choice of k parts, and main texts ask for each such choice, moved in each possible way.
+    Either key holds nearly all of a text, so that a beginning, an end or a part which many texts share brings none of them
+    together. Rows per text depend on k only: at most 350 for short texts; 16 and 48 for long ones with one edit, 28 and 364 with two.
+    """
+    small = _short_size(k)
+    cuts = _cuts(k)
+    plain = sorted({out for out, _ in cuts})
+    as_rows = lambda rows: F.expr(f"array({', '.join(f'array({str(list(r))[1:-1]})' for r in rows)})").cast("array<array<int>>")
+    a_size, b_size = F.char_length("_a"), F.char_length("_b")
+    filed = F.transform(as_rows([out + (0,) * k for out in plain]), lambda c: _kept(F.col("_b"), b_size, c, k))
+    # The main text is longer than the lookup text by the last shift.
+    moved = F.get(F.col("_cut"), F.lit(2 * k - 1)) if k else F.lit(0)
+    long = right.where(b_size > small).select("_b", F.explode(F.array_distinct(filed)).alias("_v"))
+    # Deletions are hashed too: a chance meeting of hashes is one more pair to compare.
+    gaps = lambda name: F.transform(_deletions(F.col(name), k), lambda s: F.xxhash64(s))
+    near_size = left.where(a_size + k > small)
+    turned = near_size.select("_a", F.explode(as_rows([out + shifts for out, shifts in cuts])).alias("_cut"))
+    asked = turned.select("_a", _kept(F.col("_a"), a_size - moved, F.col("_cut"), k).alias("_v")).where(F.col("_v").isNotNull())
+    # Exploded sides are larger than their size estimates: no broadcast.
+    met = asked.join(long.hint("merge"), "_v").select("_a", "_b")
+    short_a = left.where(a_size <= small + k).select("_a", F.explode(gaps("_a")).alias("_v"))
+    short_b = right.where(b_size <= small).select("_b", F.explode(gaps("_b")).alias("_v"))
+    return met.unionAll(short_a.join(short_b.hint("merge"), "_v").select("_a", "_b")).distinct()
 
 
 def fuzzy_lookup(
@@ -174,41 +235,14 @@ def fuzzy_lookup(
 ) -> DataFrame:
     """Main rows with every lookup row whose text is within ``max_distance`` edits, for texts of any length.
 
-    k edits leave one of k+1 parts of the lookup text whole, moved by at most k places. So texts meet on (length,
-    part number, part): k+1 rows per lookup text and at most (k+1)(2k+1)^2 per main text, then near pairs are
-    compared. Lookup texts of at most k characters have empty parts; they meet main texts of at most 2k characters
-    on what remains after up to k deletions. Each distinct text is matched once; rows come back by equality.
+    Each distinct text is matched once, against the candidates of ``fuzzy_candidates``; rows come back by equality. NULL matches
+    nothing.
     """
     k = max_distance
     left = main.select(F.col(column).alias("_a")).where(F.col("_a").isNotNull()).distinct()
     right = ref.select(F.col(ref_column).alias("_b")).where(F.col("_b").isNotNull()).distinct()
-    a_size, size = F.char_length("_a"), F.char_length("_b")
-    # One text per (length, part number, part). The loops run inside the expression, which stays small for the planner.
-    label = lambda n, i, part: F.concat(n.cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), part)
-    shifts, parts = 2 * k + 1, k + 1
-
-    def file(i: Column) -> Column:
-        start, width = _place(size, i, parts)
-        return label(size, i, F.substr("_b", start + 1, width))
-
-    def probe(j: Column) -> Column:
-        i = F.floor(j / shifts).cast("int") % parts
-        length = a_size + j % shifts - k
-        start, width = _place(length, i, parts)
-        at = start + F.floor(j / (shifts * parts)).cast("int") - k
-        fits = (length > k) & (at >= 0) & (at + width <= a_size)
-        return F.when(fits, label(length, i, F.substr("_a", F.greatest(at, F.lit(0)) + 1, F.greatest(width, F.lit(0)))))
-
-    filed = F.transform(F.sequence(F.lit(0), F.lit(k)), file)
-    probes = F.transform(F.sequence(F.lit(0), F.lit(shifts * parts * shifts - 1)), probe)
-    long = right.where(size > k).select("_b", F.explode(filed).alias("_v"))
-    asked = left.select("_a", F.explode(F.array_distinct(F.array_compact(probes))).alias("_v"))
-    # Exploded sides are larger than their size estimates: no broadcast.
-    met = asked.join(long.hint("merge"), "_v").select("_a", "_b")
-    short_a = left.where(F.char_length("_a") <= 2 * k).withColumn("_v", F.explode(_deletions(F.col("_a"), k)))
-    short_b = right.where(size <= k).withColumn("_v", F.explode(_deletions(F.col("_b"), k)))
-    met = met.unionAll(short_a.join(short_b.hint("merge"), "_v").select("_a", "_b"))
-    near = met.distinct().select("_a", "_b", F.levenshtein("_a", "_b", k).alias(distance)).where(F.col(distance) >= 0)
+    met = fuzzy_candidates(left, right, k)
+    near = met.select("_a", "_b", F.levenshtein("_a", "_b", k).alias(distance)).where(F.col(distance) >= 0)
     pairs = main.join(near, F.col(column) == F.col("_a")).drop("_a")
     return pairs.join(ref.alias(name), F.col("_b") == F.col(f"{name}.{ref_column}")).drop("_b")
 

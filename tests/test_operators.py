@@ -360,6 +360,36 @@ def test_fuzzy_lookup_finds_exactly_the_near_pairs(spark, left, right, limit):
     assert got == want
 
 
+def edited(rng, text, edits):
+    for _ in range(edits):
+        i = rng.randrange(len(text) + 1)
+        text = rng.choice([text[:i] + "z" + text[i:], text[:i] + text[i + 1:], text[:i] + "y" + text[i + 1:]])
+    return text
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_fuzzy_candidates_miss_no_near_pair(spark, k):
+    """Texts on both sides of the size from which they meet on parts, edited anywhere, also in runs of one character."""
+    rng = random.Random(k)
+    border = joins._short_size(k)
+    right = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 2, k, border - 1, border, border + 1, border + k, 70, 71, 150, 400) for _ in range(4)]
+    right += ["a" * border, "a" * (border + 1), "ab" * 60]
+    left = [edited(rng, rng.choice(right), rng.randrange(k + 1)) for _ in range(150)]
+    main, ref = (spark.createDataFrame([(t,) for t in set(x)], c) for x, c in ((left, "_a string"), (right, "_b string")))
+    near = lambda df: {(r["_a"], r["_b"]) for r in df.where(F.levenshtein("_a", "_b") <= k).collect()}
+    assert near(joins.fuzzy_candidates(main, ref, k)) == near(main.crossJoin(ref))
+
+
+def test_fuzzy_parts_that_all_texts_share(spark):
+    """A beginning common to all texts, short or long, leaves few pairs to compare."""
+    n = 3000
+    for label in ("Customer#%09d", "x" * 100 + " Customer#%09d " + "y" * 40):
+        ref = spark.range(n).select(F.format_string(label, "id").alias("_b"))
+        main = ref.select(F.expr("concat(substr(_b, 1, length(_b) - 1), 'q')" if len(label) < 50 else "concat('q', _b)").alias("_a")).distinct()
+        met = joins.fuzzy_candidates(main, ref, 1).count()
+        assert n <= met <= 100 * n
+
+
 def test_locate_ip_matches_brute_force(spark):
     rng = random.Random(3)
     bounds, low = [], 0

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowmill.operators.ordered import recomputed
 from rowmill.operators.reshape import explode_rows
-from rowmill.session import materialize
+from rowmill.session import StoredBy, StoredTable, materialize
 
 # Words that are never a table, and encoded white space in stored SQL.
 NOT_TABLES = ("dual", "select", "where", "and", "or")
@@ -63,28 +64,52 @@ def data_edges(access: DataFrame) -> DataFrame:
     return joined.select("writer", "reader", "table_name")
 
 
+def table_links(access: DataFrame) -> DataFrame:
+    """``(table_name, n_writers, n_readers, n_edges)``: the edges of ``data_edges`` kept factored, one row per table with any.
+
+    Distinct jobs per table are counted, not paired: 10,000 writers and 10,000 readers are 20,000 rows. Counts are
+    combined before the shuffle, so a table that a third of all jobs use is no hot key.
+    """
+    uses = access.select("job", "table_name", (F.col("access") == "write").cast("int").alias("w"), (F.col("access") == "read").cast("int").alias("r"))
+    per_job = uses.groupBy("table_name", "job").agg(F.max("w").alias("w"), F.max("r").alias("r"))
+    sums = per_job.groupBy("table_name").agg(F.sum("w").alias("n_writers"), F.sum("r").alias("n_readers"), F.sum(F.col("w") * F.col("r")).alias("_both"))
+    edges = F.col("n_writers") * F.col("n_readers") - F.col("_both")
+    return sums.select("table_name", "n_writers", "n_readers", edges.alias("n_edges")).where(F.col("n_edges") > 0)
+
+
+def round_writers(frontier: DataFrame, reads: StoredTable, writes: StoredTable) -> DataFrame:
+    """Jobs that write a table which a job of the frontier reads; ``reads`` and ``writes`` are stored by job and by table."""
+    tables = reads.matched(frontier).select("table_name").distinct()
+    return writes.matched(tables).select("job").distinct()
+
+
 def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> DataFrame:
     """Jobs that ``roots`` depend on through tables, transitively, and the roots themselves.
 
-    Each round goes from new jobs to the tables they read to the jobs that write them, so the work is
-    one row per access and no writer-reader pair is built. Reads and writes are written out once, apart and
-    without the jobs that could never matter: a round reads only the side it needs. Rounds are written out,
-    and the loop stops when a round finds nothing new. All of this runs when it is called.
+    Each round goes from new jobs to the tables they read to the jobs that write them, so no writer-reader pair is built.
+    Reads are stored once in buckets by job, writes by table, jobs already found by job: a round shuffles its frontier only
+    and reads the stored sides where they lie. The loop stops when a round finds nothing new. All of this runs
+    when it is called.
     """
-    access = materialize(access.select("access", "job", "table_name").distinct(), "access")
-    written = recomputed(access.where(F.col("access") == "write").select("table_name").distinct(), ["table_name"])
-    reads = materialize(access.where(F.col("access") == "read").select("job", "table_name").join(written, "table_name", "left_semi"), "reads")
-    writes = access.where(F.col("access") == "write").select("job", "table_name")
-    read = recomputed(reads.select("table_name").distinct(), ["table_name"])
-    writes = materialize(writes.join(read, "table_name", "left_semi"), "writes")
-    frontier = materialize(roots.select(F.col(column).alias("job")).distinct(), "frontier")
-    seen: list[DataFrame] = []
-    while not frontier.isEmpty():
-        seen = _with(seen, frontier)
-        tables = recomputed(frontier.join(reads, "job").select("table_name").distinct(), ["table_name"])
-        writers = writes.join(tables, "table_name").select("job").distinct()
-        frontier = materialize(writers.join(_union(seen), "job", "left_anti"), "frontier")
-    return _union(seen or [frontier])
+    spark = access.sparkSession
+    with StoredBy(spark) as store:
+        both = materialize(access.select("access", "job", "table_name").distinct(), "access")
+        reads = store.write(both.where("access = 'read'").select("job", "table_name"), "job", "reads")
+        writes = store.write(both.where("access = 'write'").select("table_name", "job"), "table_name", "writes")
+        name, number = f"rowmill_needed_{uuid.uuid4().hex}", 0
+        new = roots.select(F.col(column).alias("job")).distinct()
+        while True:
+            seen = store.append(new.withColumn("round", F.lit(number)), name, ["job"])
+            frontier = seen.where(F.col("round") == number).select("job")
+            if frontier.isEmpty():
+                return spark.read.schema("job " + dict(new.dtypes)["job"]).parquet(*_folders(seen))
+            new = round_writers(frontier, reads, writes).join(seen.select("job"), "job", "left_anti")
+            number += 1
+
+
+def _folders(table: DataFrame) -> list[str]:
+    """The folders that the files of a table lie in."""
+    return sorted({f.rsplit("/", 1)[0] for f in table.inputFiles()})
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -139,28 +164,64 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("role", role)
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """``node, anchor, dist`` for nodes with one predecessor, ``node, up``: the nearest node before it that has none or several,
+    and how far away it is. Nodes on or behind a cycle of such nodes are left out.
+
+    By doubling: a path of n nodes takes log n rounds.
+    """
+    chain = materialize(single.select("node", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done")), "chains")
+    total = chain.count()
+    while True:
+        before = chain.select(F.col("node").alias("_n"), F.col("anchor").alias("_a"), F.col("dist").alias("_d"), F.col("done").alias("_done"))
+        joined = chain.join(before, ~F.col("done") & (F.col("anchor") == F.col("_n")), "left")
+        chain = materialize(joined.select(
+            "node", F.coalesce("_a", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"),
+            (F.col("done") | F.col("_n").isNull() | F.col("_done")).alias("done"),
+        ), "chains")
+        # Whoever has passed as many nodes as there are goes round in a circle.
+        if chain.where(~F.col("done") & (F.col("dist") <= total)).isEmpty():
+            return chain.where("done").select("node", "anchor", "dist")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)``: longest distance from a root; NULL on or behind a cycle.
 
-    Each round removes the nodes whose predecessors are all gone. Only remaining edges are carried on.
+    A node with one predecessor lies one level below it, so lines and trees are measured by doubling and only nodes with several
+    predecessors are peeled. These have a counter of the predecessors known so far: a round takes the nodes whose counter is
+    full, follows their edges, which are stored once in buckets by source, and adds to the counters they reach. So a round
+    handles its own nodes, their edges and counters that are not yet full. Runs when it is called.
     """
+    spark = edges.sparkSession
     links = materialize(edges.select("src", "dst").distinct(), "links")
-    name = nodes.columns[0]
-    waiting = materialize(
-        nodes.select(F.col(name).alias("node")).unionAll(links.select("src")).unionAll(links.select("dst")).distinct(), "nodes"
-    )
-    done: list[DataFrame] = []
-    level = 0
-    while True:
-        left = waiting.join(_union(done).select("node"), "node", "left_anti") if done else waiting
-        blocked = links.select(F.col("dst").alias("node")).distinct()
-        ready = left.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level"))
-        ready = materialize(ready, "level")
-        if ready.isEmpty():
-            return _union([*done, left.select("node", F.lit(None).cast("int").alias("level"))])
-        done = _with(done, ready)
-        level += 1
-        links = materialize(links.join(ready, F.col("src") == F.col("node"), "left_anti"), "links")
+    named = nodes.select(F.col(nodes.columns[0]).alias("node"))
+    ends = named.select("node", F.lit(0).alias("i"), F.lit(None).cast(links.schema["src"].dataType).alias("up"))
+    ends = ends.unionAll(links.select("src", F.lit(0), F.lit(None))).unionAll(links.select("dst", F.lit(1), "src"))
+    degree = materialize(ends.groupBy("node").agg(F.sum("i").alias("deg"), F.min("up").alias("up")), "degrees")
+    chains = materialize(_chains(degree.where("deg = 1").select("node", "up")), "chains")
+    several = links.join(degree.where("deg > 1").select(F.col("node").alias("dst"), "deg"), "dst")
+    # An edge behind an unmeasured line has no anchor: it is lost here, and its target's counter never fills.
+    one = F.col("deg") == 1
+    info = degree.join(chains, "node", "left").select(
+        F.col("node").alias("src"), F.when(one, F.col("anchor")).otherwise(F.col("node")).alias("_from"), F.coalesce("dist", F.lit(0)).alias("_dist"))
+    placed = several.join(info, "src").where(F.col("_from").isNotNull()).select(F.col("_from").alias("node"), "dst", "deg", "_dist")
+    weighted = materialize(placed.groupBy("node", "dst", "deg").agg(F.count("*").alias("n"), (F.max("_dist") + 1).cast("long").alias("w")), "weighted")
+    with StoredBy(spark) as store:
+        stored = store.write(weighted, "node", "links")
+        ready = degree.where("deg = 0").select("node", F.lit(0).cast("long").alias("level"))
+        done, waiting = [ready], None
+        while True:
+            reached = stored.matched(ready).select(F.col("dst").alias("node"), "n", (F.col("level") + F.col("w")).alias("level"), "deg")
+            counted = reached if waiting is None else reached.unionAll(waiting)
+            state = materialize(counted.groupBy("node", "deg").agg(F.sum("n").alias("n"), F.max("level").alias("level")), "counters")
+            ready, waiting = state.where("n = deg").select("node", "level"), state.where("n < deg").select("node", "n", "level", "deg")
+            if ready.isEmpty():
+                break
+            done = _with(done, ready)
+    known = materialize(_union(done), "levels")
+    below = chains.join(known.withColumnRenamed("node", "anchor"), "anchor").select("node", (F.col("level") + F.col("dist")).alias("level"))
+    found = known.unionAll(below).select(F.col("node").alias("_n"), F.col("level").cast("int").alias("level"))
+    return degree.join(found, F.col("node") == F.col("_n"), "left").select("node", "level")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -76,6 +76,18 @@ def l03(t):
     return lineage.data_edges(lineage.job_reads_writes(_components(t)))
 
 
+@query(
+    "l03_table_links",
+    f"""WITH {_ACCESS}, w AS (SELECT table_name, count(DISTINCT job) AS n_writers FROM access WHERE access = 'write' GROUP BY table_name),
+        r AS (SELECT table_name, count(DISTINCT job) AS n_readers FROM access WHERE access = 'read' GROUP BY table_name),
+        b AS (SELECT table_name, count(*) AS n FROM (SELECT table_name, job FROM access GROUP BY table_name, job HAVING count(DISTINCT access) = 2) GROUP BY table_name)
+        SELECT table_name, n_writers, n_readers, n_writers * n_readers - coalesce(n, 0) AS n_edges FROM w JOIN r USING (table_name) LEFT JOIN b USING (table_name)
+        WHERE n_writers * n_readers > coalesce(n, 0)""",
+)
+def l03_links(t):
+    return lineage.table_links(lineage.job_reads_writes(_components(t)))
+
+
 _NEEDED = f"""WITH RECURSIVE {_ACCESS}, e AS (SELECT DISTINCT w.job AS writer, r.job AS reader FROM access w JOIN access r USING (table_name) WHERE w.access = 'write' AND r.access = 'read'),
   connected AS (SELECT 'r' || r_regionkey AS job FROM region WHERE r_name = 'EUROPE'),
   needed AS (SELECT job FROM connected UNION SELECT e.writer FROM needed JOIN e ON e.reader = needed.job)"""

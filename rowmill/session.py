@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators are written for. Everything here is a runtime SQL setting, so a
 # cluster session that already sets its own values keeps working.
@@ -92,3 +94,59 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Parts that the rows of one key are dealt into in a table stored by a key that has more rows than HOT_KEY somewhere.
+SALTS, HOT_KEY = 8, 250_000
+SALT = "_salt"
+
+
+class StoredBy:
+    """Tables stored in buckets of (key, salt), so that small sides are joined to them again and again without an exchange
+    of the stored rows, and the rows of a hot key lie in several buckets. Use it as a context: the table names go at its
+    end, the files stay in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, hot: int | None = None):
+        self.spark, self.names, self.salts = spark, [], {}
+        self.hot = HOT_KEY if hot is None else hot
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> StoredBy:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def write(self, df: DataFrame, key: str, label: str) -> StoredTable:
+        """``df`` without rows of a NULL key, stored by ``key``. Counts the rows per key first."""
+        known = df.where(F.col(key).isNotNull())
+        most = known.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        salts = SALTS if most > self.hot else 1
+        rest = [F.col(c) for c in df.columns if c != key]
+        salted = known.withColumn(SALT, F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+        return StoredTable(self.append(salted, f"rowmill_{label}_{uuid.uuid4().hex}", [key, SALT]), key, salts)
+
+    def append(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """Add rows to a table in buckets of ``keys``, which is made if it is new."""
+        writer = df.repartition(self.buckets, *keys).write.mode("append").bucketBy(self.buckets, *keys).sortBy(*keys)
+        if name not in self.names:
+            self.names.append(name)
+            writer = writer.option("path", scratch_path(self.spark, name))
+        writer.saveAsTable(name)
+        return self.spark.table(name)
+
+
+@dataclass
+class StoredTable:
+    """A table of ``StoredBy.write``."""
+
+    table: DataFrame
+    key: str
+    salts: int
+
+    def matched(self, small: DataFrame) -> DataFrame:
+        """``small`` joined with all rows of its keys; it is repeated once per salt, the stored side stays where it is."""
+        every = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+        return every.join(self.table, [self.key, SALT]).drop(SALT)

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowmill import session
 from rowmill.operators import aggregate as agg
 from rowmill.operators import convert, dedup, extract, filtering, joins, lineage, mapping, ordered, quality, reshape, scd, sets, synth
 from rowmill.operators.ordered import ordered_slices
@@ -660,6 +661,72 @@ def test_classify_repeated_names(spark):
     assert rows_of(lineage.classify(df, "n", exact, none, "?")) == Counter([("a", "E"), ("xb", "?")])
 
 
+def test_levels_of_random_graphs(spark):
+    """Lines, joins, several edges behind one line, cycles of one and more, against a walk over the whole graph."""
+    rng = random.Random(8)
+    for size, count in ((30, 35), (60, 60), (40, 90)):
+        links = {(rng.randrange(size), rng.randrange(size)) for _ in range(count)}
+        links = {(a, b) for a, b in links if a < b or rng.random() < 0.06}
+        names = set(range(size)) | {900}
+        want = {}
+        while True:
+            ready = {n for n in names - set(want) if all(a in want for a, b in links if b == n)}
+            if not ready:
+                break
+            want.update({n: max((want[a] + 1 for a, b in links if b == n), default=0) for n in ready})
+        df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links] * 2, "src string, dst string")
+        got = {r["node"]: r["level"] for r in lineage.levels(spark.createDataFrame([(f"n{n}",) for n in names], "node string"), df).collect()}
+        assert got == {f"n{n}": want.get(n) for n in names}
+
+
+def test_levels_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    n, written = 10_000, []
+    real = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, label: written.append(label) or real(df, label))
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    out = lineage.levels(edges.select("src").limit(0), edges)
+    assert out.where(F.col("level") == F.col("node")).count() == n + 1
+    assert len(written) < 30
+
+
+def test_needed_jobs_shuffles_the_frontier_only(spark, monkeypatch):
+    """Hot tables and jobs, cycles and NULL names; no exchange over the stored sides in a round."""
+    rng = random.Random(6)
+    rows = [(f"j{rng.randrange(60)}", rng.choice(["read", "write"]), rng.choice(["hot", *[f"t{i}" for i in range(40)]])) for _ in range(150)]
+    rows += [("j1", "read", None), (None, "write", "t1"), ("self", "read", "s"), ("self", "write", "s")]
+    want, grown = {"j1", "self"}, True
+    while grown:
+        tables = {t for j, a, t in rows if a == "read" and j in want and t}
+        more = {j for j, a, t in rows if a == "write" and t in tables}
+        grown, want = not more <= want, want | more
+    access = spark.createDataFrame(rows, "job string, access string, table_name string")
+    roots = spark.createDataFrame([("j1",), ("self",)], "job string")
+    for hot in (session.HOT_KEY, 3):
+        monkeypatch.setattr(session, "HOT_KEY", hot)
+        got = lineage.needed_jobs(access, roots)
+        assert {r.job for r in got.collect()} == want and got.count() == len(want)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session.StoredBy(spark) as store:
+            reads = store.write(access.where("access = 'read'").select("job", "table_name"), "job", "r")
+            writes = store.write(access.where("access = 'write'").select("table_name", "job"), "table_name", "w")
+            plan = lineage.round_writers(roots, reads, writes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Frontier and tables are dealt out, twice for a distinct; each stored side is read in its buckets.
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rowmill_")]
+
+
+def test_table_links_count_pairs_without_making_them(spark):
+    jobs = spark.range(10_000)
+    hot = jobs.select(F.concat(F.lit("w"), "id").alias("job"), F.lit("write").alias("access"), F.lit("hot").alias("table_name"))
+    hot = hot.unionAll(jobs.select(F.concat(F.lit("r"), "id"), F.lit("read"), F.lit("hot")))
+    few = spark.createDataFrame([("a", "write", "t"), ("a", "read", "t"), ("b", "read", "t"), ("b", "read", "t"), ("a", "write", "only"), ("s", "write", "s"), ("s", "read", "s")], "job string, access string, table_name string")
+    assert rows_of(lineage.table_links(hot.unionAll(few))) == Counter([("hot", 10_000, 10_000, 100_000_000), ("t", 1, 2, 1)])
+
+
 def test_cycles_leave_out_what_is_behind(spark):
     edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("b", "t"), ("t", "u"), ("x", "x")], "src string, dst string")
     assert rows_of(lineage.cycles(edges)) == Counter([("a",), ("b",), ("x",)])

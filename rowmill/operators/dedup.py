@@ -7,12 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import order_columns, ordered_slices, running_total, split_hot, tie_break, with_position
-
-# Up to this rank every task keeps its own first rows of a key before the shuffle. The rows of one key
-# that meet in one task are then at most this many per task of the scan.
-_RANK_FILTER_LIMIT = 100
-
+from rowmill.operators.ordered import HOT_ROWS, first_of_groups, order_columns, ordered_slices, running_total, split_hot, task_groups, tie_break, with_position
 
 def first_rows(
     df: DataFrame, n: int, keys: Sequence[str], order: Sequence, ignore_case: Sequence[str] = (),
@@ -20,15 +15,21 @@ def first_rows(
 ) -> DataFrame:
     """First ``n`` rows of each key in ``order``; ``tie`` decides among equal rows as in ``tie_break``.
 
-    For small ``n`` each task keeps at most ``n`` rows per key before the shuffle. For large ``n`` the
-    ranks of keys with more than ``hot_rows`` rows come from a sorted copy, so a hot key does not land
-    in one task. The rows kept are the same either way.
+    Each task keeps at most ``n`` rows per key before the shuffle (``n`` up to 1,000). Where those of all tasks may be more than
+    ``hot_rows``, the first ``n`` are taken per key and group of tasks, then per key. Where even ``n`` rows per group are
+    more, the ranks of keys with more than ``hot_rows`` rows come from a sorted copy. So no task sees more than about
+    ``hot_rows`` rows of a key for any ``n``, and the rows kept are the same.
     """
     parts = [F.lower(k) if k in ignore_case else F.col(k) for k in keys]
     groups = [f"_g{i}" for i in range(len(parts))]
     grouped = df.select("*", *[p.alias(g) for p, g in zip(parts, groups)], tie_break(df, tie).alias("_tie"))
-    cool, hot = (grouped, None) if n <= _RANK_FILTER_LIMIT and hot_rows is None else split_hot(grouped, groups, hot_rows)
-    window = Window.partitionBy(*groups).orderBy(*order_columns(order), "_tie")
+    limit, ranked_by = HOT_ROWS if hot_rows is None else hot_rows, [*order_columns(order), F.col("_tie")]
+    sets = task_groups(df.sparkSession, n, limit)
+    few = n * sets <= limit
+    if sets > 1 and few:
+        grouped = first_of_groups(grouped, n, groups, ranked_by, sets)
+    cool, hot = (grouped, None) if few else split_hot(grouped, groups, limit)
+    window = Window.partitionBy(*groups).orderBy(*ranked_by)
     kept = cool.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).select(*df.columns)
     if hot is None:
         return kept

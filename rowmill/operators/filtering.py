@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators import Split
-from rowmill.operators.ordered import order_columns, tie_break, with_position
+from rowmill.operators.ordered import first_of_groups, order_columns, task_groups, tie_break, with_position
 
 Condition = tuple[str, str, Any]
 
@@ -65,17 +65,27 @@ def sort_rows(df: DataFrame, order: Sequence, tie: Sequence[str] | None = None)
     return df.orderBy(*order_columns(order), tie_break(df, tie))
 
 
-# A top-k of up to this many rows meets in one task; a larger one is cut from the sorted table. Both give the same rows.
-TOP_ROWS = 10_000
+# Up to this n Spark keeps the first n rows of each task before a shuffle; beyond it a top-n is cut from the sorted table.
+TOP_ROWS = 1_000
 
 
-def limit_rows(df: DataFrame, n: int, order: Sequence | None = None, tie: Sequence[str] | None = None) -> DataFrame:
-    """First ``n`` rows, in ``order`` when given, equal ones decided by ``tie_break``; without an order any ``n`` rows."""
+def limit_rows(
+    df: DataFrame, n: int, order: Sequence | None = None, tie: Sequence[str] | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """First ``n`` rows, in ``order`` when given, equal ones decided by ``tie_break``; without an order any ``n`` rows.
+
+    Each task keeps ``n`` rows. Where those of all tasks may be more than ``hot_rows``, the first ``n`` are taken per group of
+    tasks and then of the groups. The rows are the same for any setting.
+    """
     if not order:
         return df.limit(n)
-    if n <= TOP_ROWS:
-        return df.orderBy(*order_columns(order), tie_break(df, tie)).limit(n)
-    return with_position(df, order, "_position", tie=tie).where(F.col("_position") <= n).drop("_position")
+    if n > TOP_ROWS:
+        return with_position(df, order, "_position", tie=tie).where(F.col("_position") <= n).drop("_position")
+    sets = task_groups(df.sparkSession, n, hot_rows)
+    ranked_by = [*order_columns(order), F.col("_tie")]
+    marked = df.withColumn("_tie", tie_break(df, tie))
+    kept = first_of_groups(marked, n, [], ranked_by, sets) if sets > 1 else marked
+    return kept.orderBy(*ranked_by).limit(n).select(*df.columns)
 
 
 def sample_rows(

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +95,26 @@ HOT_ROWS = 250_000
 HOT_BYTES = 64 << 20
 
 
+def task_groups(spark: SparkSession, n: int, limit: int | None = None) -> int:
+    """Groups of tasks between which a top-n is taken before the last one; 1 where a group step is not needed.
+
+    Every task keeps n rows. With as many tasks as shuffle partitions, all of them together may be more rows than one
+    task should see; the square root of the tasks as number of groups makes both steps about as large.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 1 if n * tasks <= (HOT_ROWS if limit is None else limit) else max(2, ceil(sqrt(tasks)))
+
+
+def first_of_groups(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column], groups: int) -> DataFrame:
+    """At most ``n`` rows of each key and group of tasks, among them the first ``n`` of each key.
+
+    Which task a row is read by decides only where it is compared, not whether it is among the first.
+    """
+    window = Window.partitionBy(*keys, "_tasks").orderBy(*order)
+    marked = df.withColumn("_tasks", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    return marked.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).select(*df.columns)
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int | None = None, size: Column | None = None
 ) -> tuple[DataFrame, DataFrame | None]:

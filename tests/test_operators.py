@@ -745,6 +745,33 @@ def test_lists_and_first_rows_do_not_depend_on_group_size(spark, limit):
     assert kept[None] == kept[0] == kept[10**6] and sum(kept[0].values()) == 150
 
 
+@pytest.mark.parametrize("n", [1, 4, 30, 200])
+@pytest.mark.parametrize("limit", [0, 25, 10**6])
+def test_first_rows_by_groups_of_tasks(spark, n, limit):
+    """One step, two steps or slices give the same rows, for one hot key and many small ones, with ties and NULLs."""
+    rows = [("hot" if i % 3 else f"k{i % 40}", None if i % 11 == 0 else i * 37 % 50, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(11)
+    want = rows_of(dedup.first_rows(df, n, ["g"], ["o"]))
+    assert rows_of(dedup.first_rows(df, n, ["g"], ["o"], hot_rows=limit)) == want
+    top = rows_of(filtering.limit_rows(df, n, ["o"]))
+    assert rows_of(filtering.limit_rows(df, n, ["o"], hot_rows=limit)) == top and sum(top.values()) == n
+    by_key = {}
+    for g, o, _ in rows:
+        by_key.setdefault(g, []).append((o is None, o or 0))
+    assert Counter((g, o is None, o or 0) for g, o, _ in want.elements()) == Counter((g, *x) for g, v in by_key.items() for x in sorted(v)[:n])
+
+
+def test_top_n_has_two_levels(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
+    ranks = lambda out: out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    small, large = (ranks(dedup.first_rows(df, 3, ["g"], ["id"], hot_rows=h)) for h in (10**6, 12))
+    assert (small.count("Window ["), large.count("Window [")) == (1, 2) and large.count("Partial") == 2
+    assert "hashpartitioning(_g0" in large and "_tasks" in large and "_tasks" not in small
+    small, large = (ranks(filtering.limit_rows(df, 3, ["id"], hot_rows=h)) for h in (10**6, 12))
+    assert "TakeOrderedAndProject" in small and "TakeOrderedAndProject" in large
+    assert "_tasks" not in small and "hashpartitioning(_tasks" in large and "Partial" in large
+
+
 def test_limit_rows_decides_ties(spark, monkeypatch):
     df = spark.createDataFrame([(i % 3, i) for i in range(300)], "o int, i int")
     small = rows_of(filtering.limit_rows(df.repartition(9), 150, ["o"]))

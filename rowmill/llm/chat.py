@@ -157,15 +157,16 @@ def table_layout(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout
 def turns_from_rows(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """One row per conversation from one row per turn: ``conversation, turns``.
 
-    Rows go by turn, then role and text; NULL turns come first, NULL role and text count as empty. A conversation is
-    one value of the result, so its rows meet in one task; the table as a whole does not.
+    Rows go by turn, then role and text; NULL turns come first, NULL role and text count as empty. Roles stay as they
+    are: such rows are canonical already, only records of other layouts have their role names mapped. A conversation is one
+    value of the result, so its rows meet in one task; the table as a whole does not.
     """
     if table_layout(df, tuple(x for x in LAYOUTS if _by_turn(x))) is None:
         raise ValueError(f"no layout of rows by turn: {df.columns}")
     empty = F.lit("")
     row = F.struct(F.col("turn"), F.coalesce(F.col("role"), empty).alias("role"), F.coalesce(F.col("text"), empty).alias("text"))
     gathered = df.groupBy(F.col(conversation)).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    turn = lambda x: F.struct(_canonical_role(x["role"]).alias("role"), x["text"].alias("text"))
+    turn = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
     return gathered.select(conversation, F.transform("_rows", turn).alias("turns"))
 
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rowmill.llm import load as llm_load
 from rowmill.llm import chat, load
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -123,3 +124,16 @@ def test_table_layout_is_the_most_specific(spark):
     assert layout(f"prompt string, {items}") == "messages"
     assert layout(f"system string, text string, {items}") == "system_messages"
     assert layout(f"{SCHEMA}, system string, prompt string") == "turn_rows"
+
+
+def test_roles_of_rows_stay_as_they_are(llm, tmp_path):
+    """Role names that records map, in any case, against the SQL of the query."""
+    import oracle
+
+    rows = [(i, 0, role, "ask") for i, role in enumerate(["human", "GPT", "Assistant", "gpt", "assistant", "bot", "", None])]
+    rows += [(i, 1, "assistant", "say") for i in range(4)] + [(9, None, "model", None), (9, 2, "assistant", "")]
+    llm.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    queries, sql = llm_load()
+    assert oracle.compare(llm, con, str(tmp_path), queries["op1_chat_formatting"], sql["op1_chat_formatting"]) == []

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ END_ID = 1
 # Windows still open at the end of a partition with more than this many free places are merged and cut again.
 SLACK = 20
 _CACHE = 1_000_000  # distinct words whose ids a Python worker keeps; beyond that it starts afresh
+_TEXTS = 2_000  # texts encoded together
 _KEEP = 24  # characters; longer words are not worth keeping
 # ASCII punctuation: a run of it behind a word is one unit of the tokenizer.
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -28,6 +30,11 @@ PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length
 _WORKER: dict = {}
 
 
+def _listed(array: pa.Array) -> list:
+    """Values as a list, by way of numpy, which makes them many at a time."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
     """Ids of texts as little-endian bytes, word by word.
 
@@ -47,8 +54,10 @@ class Words:
         # Ids that end a word.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.tails = {"": b""}
+        self.tails: dict[str, bytes] = {"": b""}
+        # Of lower-case words of Latin letters, and of all other words.
         self.ids: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of any words, by the whole tokenizer."""
@@ -73,41 +82,74 @@ class Words:
             out.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:]))
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Add the ids of new words to ``ids``."""
-        ids, shared, other = self.ids, [], []
-        for w in words:
-            body = w.rstrip(_MARKS)
-            tail, low = w[len(body) :], body.lower()
-            if body.isalpha() and (body.isascii() or low.isalpha() and max(body) < "\u0250"):
-                if tail not in self.tails:
-                    if len(self.tails) > _CACHE:
-                        self.tails = {"": b""}
-                    self.tails.update(self._learn([tail]))
-                shared.append((w, low, self.tails[tail]))
-            else:
-                other.append(w)
-        ids.update(self._learn(other))
-        ids.update(self._learn_plain([low for low in dict.fromkeys(x[1] for x in shared) if low not in ids]))
-        for w, low, tail in shared:
-            ids[w] = ids[low] + tail
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.ids) > _CACHE:
-            self.ids.clear()
-        self.ids[""] = b""
-        get = self.ids.get
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, s)) for s in split]
-        missing = {w for s, f in zip(split, found) if None in f for w, x in zip(s, f) if x is None}
-        self.learn(missing)
+    def _distinct(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words. Case, punctuation behind and kind are told for all words at once; Python sees each
+        lower-case word once, and the few others."""
         ids = self.ids
-        out = [b"".join([ids[w] if x is None else x for w, x in zip(s, f)] if None in f else f) for s, f in zip(split, found)]
-        for w in missing:
+        bodies = pc.utf8_rtrim(words, characters=_MARKS)
+        lows = pc.utf8_lower(bodies)
+        shared = pc.utf8_is_alpha(bodies).to_numpy(zero_copy_only=False).copy()
+        wide = np.flatnonzero(shared & ~pc.string_is_ascii(bodies).to_numpy(zero_copy_only=False))
+        at = pa.array(wide)
+        shared[wide] = [max(w) < "\u0250" and low.isalpha() for w, low in zip(_listed(bodies.take(at)), _listed(lows.take(at)))]
+        coded = lows.filter(pa.array(shared)).dictionary_encode()
+        low_words = _listed(coded.dictionary)
+        ids.update(self._learn_plain([w for w in low_words if w not in ids]))
+        low_ids = [ids[w] for w in low_words]
+        out: list[bytes] = [b""] * len(words)
+        places = np.flatnonzero(shared)
+        for i, c in zip(places.tolist(), _listed(coded.indices)):
+            out[i] = low_ids[c]
+        size = lambda x: pc.utf8_length(x).to_numpy(zero_copy_only=False)
+        body_size = size(bodies)
+        marked = np.flatnonzero(shared & (size(words) > body_size))
+        if len(marked):
+            tails = [w[n:] for w, n in zip(_listed(words.take(pa.array(marked))), body_size[marked].tolist())]
+            new = [t for t in dict.fromkeys(tails) if t not in self.tails]
+            if len(self.tails) + len(new) > _CACHE:
+                self.tails, new = {"": b""}, list(dict.fromkeys(tails))
+            self.tails.update(self._learn(new))
+            for i, t in zip(marked.tolist(), tails):
+                out[i] += self.tails[t]
+        rest = np.flatnonzero(~shared)
+        others = _listed(words.take(pa.array(rest)))
+        known = {w: x for w in others if (x := self.others.get(w)) is not None}
+        known.update(self._learn([w for w in others if w not in known]))
+        for i, w in zip(rest.tolist(), others):
+            out[i] = known[w]
+        if len(self.others) < _CACHE:
+            self.others.update((w, x) for w, x in known.items() if len(w) <= _KEEP)
+        else:
+            self.others = {}
+        if len(ids) > _CACHE:
+            ids.clear()
+        for w in low_words:
             if len(w) > _KEEP:
-                del self.ids[w]
+                ids.pop(w, None)
         return out
 
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes; NULL and empty texts have none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        ids = self._distinct(coded.dictionary)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        codes = coded.indices.to_numpy()
+        sizes = size[codes]
+        behind = np.concatenate([[0], np.cumsum(sizes)])
+        # Place in the pool of every id of every word, in order.
+        take = np.arange(behind[-1]) + np.repeat(first[codes] - behind[:-1], sizes)
+        flat = pool[take]
+        cuts = behind[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+
 
 class Levels:
     """Open windows by fill level; ``place`` returns the level that a piece goes on top of."""
@@ -204,9 +246,9 @@ def pack_documents(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         def documents():
             for batch in batches:
                 keys, texts = batch.column(0), batch.column(1)
-                for at in range(0, len(batch), 500):
-                    ids = words.encode([t.as_py() for t in texts[at : at + 500]])
-                    yield from ((k.as_py(), x + end) for k, x in zip(keys[at : at + 500], ids))
+                for at in range(0, len(batch), _TEXTS):
+                    ids = words.encode(texts[at : at + _TEXTS])
+                    yield from zip(keys[at : at + _TEXTS].to_pylist(), (x + end for x in ids))
 
         part = TaskContext.get().partitionId()
         rows = []

@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowmill.llm import load as llm_load
 from rowmill.llm import chat, load
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -115,7 +114,7 @@ def test_extra_names_that_other_layouts_know(spark):
 def test_tables_with_names_that_other_layouts_know(spark, extra):
     df = spark.createDataFrame([(1, 1, "gpt", "a", "x"), (1, 0, "human", "q", "x")], f"{SCHEMA}, {extra} string")
     out = chat.turns_from_rows(df).collect()
-    assert [(t.role, t.text) for t in out[0].turns] == [("user", "q"), ("assistant", "a")]
+    assert [(t.role, t.text) for t in out[0].turns] == [("human", "q"), ("gpt", "a")]
 
 
 def test_table_layout_is_the_most_specific(spark):
@@ -135,5 +134,5 @@ def test_roles_of_rows_stay_as_they_are(llm, tmp_path):
     llm.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     con = oracle.duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    queries, sql = llm_load()
+    queries, sql = load()
     assert oracle.compare(llm, con, str(tmp_path), queries["op1_chat_formatting"], sql["op1_chat_formatting"]) == []

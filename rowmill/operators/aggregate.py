@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.ordered import POS, SLICE, ordered_slices, recomputed, running_total, sort_key, split_hot
+from rowmill.operators.ordered import POS, SLICE, ordered_slices, sort_key, split_hot
+from rowmill.session import materialize
 
 Operation = tuple[str, str, str]  # (input column, function, output column)
 
@@ -73,34 +74,73 @@ def aggregate_column(column: str, function: str, order_by: Sequence[str] | None
     raise ValueError(f"unknown aggregate {function!r}")
 
 
+# Leading bits that a round of the selection settles; a round counts at most 2**16 numbers per group and task.
+_ROUND_BITS = 16
+
+
+def _ordered_bits(value: Column) -> Column:
+    """The 64 bits of a double as a number that sorts like it: NaN last, both zeros equal."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+
+
+def _from_bits(number: Column) -> Column:
+    bits = number.bitwiseXOR(F.shiftright(number, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def _same(keys: Sequence[str], other: str = "_k_") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys], F.lit(True))
+
+
+def middle_by_bits(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median of the double column ``value``, which has no NULLs, by radix selection; no row is sorted or shuffled.
+
+    Each round counts the rows per next 16 leading bits, combined before the shuffle, and keeps the bits
+    in which the middle ranks lie; the next round counts only rows that begin with them. What is known of a group is one
+    row, or two where the middle ranks part, written after each round: it is joined to the rows by its measured size.
+    """
+    bits = rows.select(*keys, _ordered_bits(F.col(value)).alias("_bits"))
+    state = None
+    for shift in range(64 - _ROUND_BITS, -1, -_ROUND_BITS):
+        found = bits.withColumn("_next", F.shiftright(F.col("_bits"), shift))
+        if state is None:
+            counts = found.groupBy(*keys, "_next").agg(F.count("*").alias("_n"))
+            group = [*keys]
+        else:
+            known = state.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_lead", "_ranks")
+            found = found.withColumn("_begins", F.shiftright(F.col("_bits"), shift + _ROUND_BITS))
+            met = found.join(known, _same(keys) & (F.col("_begins") == F.col("_lead")))
+            counts = met.groupBy(*keys, "_lead", "_ranks", "_next").agg(F.count("*").alias("_n"))
+            group = [*keys, "_lead"]
+        upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_next")) - F.col("_n")
+        counts = counts.withColumn("_before", upto)
+        if state is None:
+            size = F.sum("_n").over(Window.partitionBy(*group))
+            counts = counts.withColumn("_size", size).withColumn(
+                "_ranks", F.array(F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2))
+            )
+        inside = F.filter("_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
+        state = counts.select(
+            *keys, F.col("_next").alias("_lead"), F.transform(inside, lambda r: r - F.col("_before")).alias("_ranks")
+        ).where(F.size("_ranks") > 0)
+        state = materialize(state, "bits")
+    halves = state.select(*keys, (_from_bits(F.col("_lead")) * (F.size("_ranks") / 2)).alias("_half"))
+    return halves.groupBy(*keys).agg(F.sum("_half").alias(name))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median", hot_rows: int | None = None) -> DataFrame:
     """Median of a numeric column per group, exact for groups of any size.
 
-    Ordinary groups use the built-in function. Rows of large ones are counted per (group, value), the
-    counts are sorted over slices, and the middle values are where the running count reaches the middle ranks.
+    Ordinary groups use the built-in function, large ones ``middle_by_bits``. NULLs do not count; a group without a
+    value has no row.
     """
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_value"))
     cool, hot = split_hot(rows, keys, hot_rows)
     plain = cool.groupBy(*keys).agg(F.median("_value").alias(name)) if keys else None
     if hot is None:
         return plain
-    counts = hot.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
-    sliced = ordered_slices(counts, [*keys, "_value"])
-    running = running_total(sliced, keys, F.col("_n"), "_upto")
-    sizes = sliced.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        sizes = recomputed(sizes, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_size")
-        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-        ranked = running.join(sizes, match)
-    else:
-        ranked = running.withColumn("_size", sizes.scalar())
-    low, high = F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
-    first = F.col("_upto") - F.col("_n") + 1
-    holds = lambda rank: (rank >= first) & (rank <= F.col("_upto"))
-    weight = F.when(holds(low), 1).otherwise(0) + F.when(holds(high), 1).otherwise(0)
-    middle = (
-        ranked.where(holds(low) | holds(high)).groupBy(*keys).agg((F.sum(F.col("_value") * weight) / 2).alias(name))
-    )
+    middle = middle_by_bits(hot, keys, "_value", name)
     return plain.unionByName(middle) if keys else middle
 
 

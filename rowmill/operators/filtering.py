@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import Split
 from rowmill.operators.ordered import first_of_groups, order_columns, task_groups, tie_break, with_position
+from rowmill.operators.positions import MAX_RANGES, comparable, rows_between
 
 Condition = tuple[str, str, Any]
 
@@ -95,9 +96,15 @@ def sample_rows(
     every_nth: int | None = None,
     tie: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows at listed 1-based position ranges, or every Nth row, of the table in ``order``."""
+    """Rows at listed 1-based position ranges, or every Nth row, of the table in ``order``.
+
+    Ranges are found by ``rows_between``, without sorting the table, where it can compare the order columns. Every Nth
+    row needs the position of each, so that the table is sorted. Positions outside the table have no row.
+    """
     if not ranges and not every_nth:
         raise ValueError("give ranges or every_nth")
+    if ranges and len(ranges) <= MAX_RANGES and comparable(df, order):
+        return rows_between(df, order, ranges, tie)
     numbered = with_position(df, order, "_position", tie=tie)
     if ranges:
         keep = reduce(lambda a, b: a | b, [F.col("_position").between(lo, hi) for lo, hi in ranges])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowmill.session import scratch_path
+
 Expression = Column | str | None
 
 
@@ -50,6 +52,15 @@ def load_context(rows: DataFrame, names: Sequence[str], name: str = "key", value
     return {n: rows.where(F.col(name) == n).agg(F.max(value).alias(n)).scalar() for n in names}
 
 
+def _expressions(columns: Mapping[str, Expression | tuple[Expression, str]]) -> list[Column]:
+    out = []
+    for name, spec in columns.items():
+        expression, kind = spec if isinstance(spec, tuple) else (spec, None)
+        column = as_column(expression, kind or "string")
+        out.append((column.cast(kind) if kind else column).alias(name))
+    return out
+
+
 def map_columns(
     df: DataFrame,
     columns: Mapping[str, Expression | tuple[Expression, str]],
@@ -65,31 +76,74 @@ def map_columns(
         df = with_variables(df, variables)
     if where is not None:
         df = df.where(as_column(where, "boolean"))
-    out = []
-    for name, spec in columns.items():
-        expression, kind = spec if isinstance(spec, tuple) else (spec, None)
-        column = as_column(expression, kind or "string")
-        out.append((column.cast(kind) if kind else column).alias(name))
-    return df.select(*out)
+    return df.select(*_expressions(columns))
 
 
-def map_outputs(df: DataFrame, outputs: Mapping[str, Mapping[str, Any]]) -> dict[str, DataFrame]:
-    """Several outputs over one input.
+def tag_outputs(df: DataFrame, outputs: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """The rows of several outputs in one pass: ``output``, the name, and ``row``, a struct with one struct per output.
 
-    An output has ``columns`` and optionally ``where``, ``variables`` and ``reject=True``. A reject
-    output gets the rows no filtered output accepted; NULL filters count as not accepted.
+    A row is there once for each output it belongs to; in ``row`` only that output's struct is set. ``outputs`` as for
+    ``map_outputs``. Expressions of an output are evaluated for its own rows only. Rows of no output are left out, an
+    empty table gives no rows.
     """
-    accepted = F.lit(False)
-    unfiltered = False
-    for spec in outputs.values():
+    if not outputs:
+        raise ValueError("give at least one output")
+    # A filter may use its output's variables, so each test is made beside them and the variables are dropped again.
+    marked = df.withColumn("_var", F.col("Var")) if "Var" in df.columns else df
+    plain = marked.columns
+    restore = lambda rows: rows.withColumn("Var", F.col("_var")) if "_var" in plain else rows.drop("Var")
+    tests = {}
+    for i, (name, spec) in enumerate(outputs.items()):
         if spec.get("reject"):
             continue
         if spec.get("where") is None:
-            unfiltered = True
-        else:
-            accepted = accepted | F.coalesce(as_column(spec["where"], "boolean"), F.lit(False))
-    if unfiltered:
-        accepted = F.lit(True)
+            tests[name] = F.lit(True)
+            continue
+        test = F.coalesce(as_column(spec["where"], "boolean"), F.lit(False))
+        variables = spec.get("variables")
+        marked = (with_variables(marked, variables) if variables else marked).withColumn(f"_in{i}", test)
+        marked = restore(marked) if variables else marked
+        tests[name] = F.col(f"_in{i}")
+    accepted = F.lit(False)
+    for test in tests.values():
+        accepted = accepted | test
+    tags = [F.when(tests.get(name, ~accepted), F.lit(name)) for name in outputs]
+    marked = marked.withColumn("_output", F.explode(F.array_compact(F.array(*tags))))
+    rows = []
+    for i, (name, spec) in enumerate(outputs.items()):
+        own = F.col("_output") == name
+        variables = {k: F.when(own, as_column(v)) for k, v in (spec.get("variables") or {}).items()}
+        fields = F.when(own, F.struct(*_expressions(spec["columns"])))
+        marked = (with_variables(marked, variables) if variables else marked).withColumn(f"_row{i}", fields)
+        marked = restore(marked) if variables else marked
+        rows.append(F.col(f"_row{i}").alias(name))
+    return marked.select(F.col("_output").alias("output"), F.struct(*rows).alias("row"))
+
+
+def map_outputs(
+    df: DataFrame, outputs: Mapping[str, Mapping[str, Any]], one_pass: bool = True
+) -> dict[str, DataFrame]:
+    """Several outputs over one input.
+
+    An output has ``columns`` and optionally ``where``, ``variables`` and ``reject=True``. A reject
+    output gets the rows no filtered output accepted; NULL filters count as not accepted.
+
+    The input is read once, when this is called: its rows are written to the shared folder in one folder per output, and
+    each output reads its own. ``one_pass=False`` plans each output over the input by itself, which reads the input
+    once per output but writes nothing: for outputs of a few rows or columns straight from a file, whose filters reach
+    the scan. Beside a reject output, filters then cannot use variables. The rows are the same.
+    """
+    if one_pass and len(outputs) > 1:
+        path = scratch_path(df.sparkSession, "outputs")
+        tagged = tag_outputs(df, outputs)
+        tagged.write.partitionBy("output").parquet(path)
+        staged = df.sparkSession.read.schema(tagged.schema).parquet(path)
+        return {n: staged.where(F.col("output") == n).select(F.col("row")[n].alias("r")).select("r.*") for n in outputs}
+    filters = [spec.get("where") for spec in outputs.values() if not spec.get("reject")]
+    accepted = F.lit(any(f is None for f in filters))
+    for where in filters:
+        if where is not None:
+            accepted = accepted | F.coalesce(as_column(where, "boolean"), F.lit(False))
     return {
         name: map_columns(
             df, spec["columns"], spec.get("variables"), ~accepted if spec.get("reject") else spec.get("where")

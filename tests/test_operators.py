@@ -113,6 +113,52 @@ def test_outputs_cover_the_input(hot):
     assert sum((rows_of(o) for o in outputs.values()), Counter()) == rows_of(hot.select("id"))
 
 
+def _three_outputs():
+    columns = {"id": "id", "net": "Var.net"}
+    return {
+        "a": {"columns": columns, "where": "key = 'hot' AND Var.net > 100", "variables": {"net": "value * 2"}},
+        "b": {"columns": columns, "where": "value > 250", "variables": {"net": "100 / nullif(value, 0)"}},
+        "r": {"columns": {"id": "id", "note": ""}, "reject": True},
+    }
+
+
+def test_outputs_read_the_input_once(spark, hot):
+    path = session.scratch_path(spark, "once")
+    hot.write.parquet(path)
+    plan = mapping.tag_outputs(spark.read.parquet(path), _three_outputs())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    out = {n: o.collect() for n, o in mapping.map_outputs(spark.read.parquet(path), _three_outputs()).items()}
+    rows = hot.collect()
+    a = {(r["id"], r["value"] * 2) for r in rows if r["key"] == "hot" and r["value"] * 2 > 100}
+    b = {(r["id"], 100 / r["value"]) for r in rows if r["value"] > 250}
+    assert set(out["a"]) == a and set(out["b"]) == b
+    assert {r["id"] for r in out["r"]} == {r["id"] for r in rows} - {i for i, _ in a | b}
+    assert all(r["note"] is None for r in out["r"])
+
+
+def test_outputs_one_pass_equals_one_plan_each(spark, hot):
+    columns = {"id": "id", "twice": ("value * 2", "int")}
+    outputs = {"a": {"columns": columns, "where": "key = 'hot'"}, "b": {"columns": columns}, "odd name": {"columns": {"k": "key"}, "where": "key IS NULL"}, "r": {"columns": columns, "reject": True}}
+    once, each = (mapping.map_outputs(hot, outputs, one_pass=w) for w in (True, False))
+    assert all(rows_of(once[n]) == rows_of(each[n]) and once[n].columns == each[n].columns for n in outputs)
+    empty = mapping.map_outputs(hot.limit(0), outputs)
+    assert all(o.collect() == [] for o in empty.values())
+
+
+def test_outputs_keep_a_column_named_var(spark):
+    df = spark.createDataFrame([(1, ("x",)), (2, ("y",))], "id int, Var struct<old: string>")
+    outputs = {"a": {"columns": {"id": "id", "old": "Var.old", "new": "Var.new"}, "where": "Var.new > 1", "variables": {"new": "id"}}, "r": {"columns": {"old": "Var.old"}, "reject": True}}
+    out = mapping.map_outputs(df, outputs)
+    assert out["a"].collect() == [(2, "y", 2)] and out["r"].collect() == [("x",)]
+
+
+def test_an_output_is_evaluated_for_its_rows_only(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "t string")
+    outputs = {"ok": {"columns": {"n": "CAST(t AS INT)"}, "where": "t RLIKE '^[0-9]+$'"}, "r": {"columns": {"t": "t"}, "reject": True}}
+    out = mapping.map_outputs(df, outputs)
+    assert out["ok"].collect() == [(1,)] and out["r"].collect() == [("x",)]
+
+
 def test_count_loop(spark):
     df = spark.createDataFrame([(0,), (-1,), (None,), (2,), (25001,)], "n int")
     got = Counter(r["n"] for r in mapping.count_loop(df, "n").collect())
@@ -180,6 +226,38 @@ def test_sample_ranges(hot, ranges):
     assert {r["id"] for r in filtering.sample_rows(hot, ["ts", "id"], ranges).collect()} == want
 
 
+@pytest.mark.parametrize("order", [[("key", "desc"), "id"], ["key", ("value", "desc")], ["state"], [("value", "desc")]])
+def test_sample_ranges_find_the_rows_of_the_sorted_table(hot, order):
+    ranges = [(5, 5), (700, 1300), (1200, 1250), (2990, 3005), (9, 2)]
+    numbered = ordered.with_position(hot, order, "p")
+    want = numbered.where("p = 5 OR p BETWEEN 700 AND 1300 OR p >= 2990").drop("p")
+    assert rows_of(filtering.sample_rows(hot, order, ranges)) == rows_of(want)
+
+
+def test_sample_ranges_sort_and_write_only_the_ends(spark, hot, monkeypatch):
+    made = []
+    monkeypatch.setattr(ordered, "materialize", lambda *a: made.append(a))
+    got = filtering.sample_rows(hot, ["ts", "id"], [(100, 2500)])
+    assert got.count() == 2401 and made == []
+
+
+def test_sample_ranges_over_equal_rows(spark):
+    """Rows that no bound can part, many more than a task is given."""
+    df = spark.range(2000).selectExpr("CAST(id >= 900 AS INT) AS k")
+    got = Counter(r["k"] for r in filtering.sample_rows(df, ["k"], [(890, 1000)]).collect())
+    assert got == {0: 11, 1: 100}
+    assert filtering.sample_rows(df, ["k"], [(2001, 2100)]).collect() == []
+    assert filtering.sample_rows(df.limit(0), ["k"], [(1, 5)]).collect() == []
+
+
+def test_sample_ranges_by_every_comparable_type(spark):
+    rows = "SELECT id, if(id % 7 = 0, NULL, date_add(DATE'2020-01-01', CAST(id % 50 AS INT))) AS d, CAST(id % 11 AS DECIMAL(9, 2)) AS n, CAST(CAST(id % 13 AS STRING) AS BINARY) AS b, if(id % 5 = 0, double('NaN'), id / 3) AS f, id % 2 = 0 AS t, timestamp_seconds(id % 17) AS s FROM range(600)"
+    df = spark.sql(rows)
+    for order in (["d", "id"], [("n", "desc"), "id"], ["b", "id"], [("f", "desc"), "id"], ["t", ("s", "desc"), "id"]):
+        want = ordered.with_position(df, order, "p").where("p BETWEEN 150 AND 420").select("id")
+        assert rows_of(filtering.sample_rows(df, order, [(150, 420)]).select("id")) == rows_of(want), order
+
+
 def test_split_hot_finds_hot_and_null_keys(hot):
     cool, large = ordered.split_hot(hot, ["key"], 30)
     counts = Counter(r["key"] for r in hot.collect())
@@ -224,6 +302,25 @@ def test_median_ways_agree_and_skip_nulls(hot):
     assert agg.aggregate(holes, [], ops).first() == agg.aggregate(holes, [], ops, gather="memory").first()
 
 
+def test_median_by_bits_of_any_number(spark):
+    """Signs, zeros, infinities, NaN, subnormal and far apart numbers; even and odd sizes; NULL and hot keys."""
+    rng = random.Random(3)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), 1e-300, 0.1 + 0.2, 0.3]
+    rows = [(k, rng.choice(odd) if rng.random() < 0.3 else rng.uniform(-1, 1) * 10 ** rng.randrange(-5, 300)) for k in ("a", "b", None) for _ in range(201 + (k == "b"))]
+    rows += [("inf", float("inf"))] * 150 + [("huge", 1.7e308)] * 150 + [("two", -3.0)] * 75 + [("two", 8.0)] * 75
+    df = spark.createDataFrame(rows, "key string, value double")
+    ops = [("value", "median", "m")]
+    for keys in (["key"], []):
+        sliced, plain = (agg.aggregate(df, keys, ops, gather=g) for g in ("sliced", "memory"))
+        assert sorted(map(repr, sliced.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_median_by_bits_moves_counts_only(spark, hot):
+    rows = hot.select("key", F.col("value").alias("_value"))
+    plan = agg.middle_by_bits(rows, ["key"], "_value", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Relation" in plan
+
+
 def test_median_of_nothing(spark):
     empty = spark.createDataFrame([], "key string, value double")
     assert agg.aggregate(empty, ["key"], [("value", "median", "m")]).collect() == []

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from rowmill.operators import ordered
 from rowmill.operators.ordered import order_columns, tie_break, with_position
 
-BOUNDS = 48  # drawn in a round
+BOUNDS = 24  # drawn in a round; each is a comparison in the generated code
 _PER_BOUND = 40  # sample rows for each, so that bounds lie about evenly
 MAX_RANGES = 16  # each may need two more bounds kept; more ranges go over the sorted table
 _ROUNDS = 12
@@ -40,18 +40,18 @@ class _Order:
 
     columns: list[tuple[str, bool, T.DataType]]
 
-    def _after(self, name: str, down: bool, bound: Column) -> Column:
-        column = F.col(name)
-        later = column < bound if down else column > bound
-        return bound.isNotNull() & (column.isNull() | F.coalesce(later, F.lit(False)))
-
     def reaches(self, bound: Row) -> Column:
-        """Whether a row is the bound or comes after it. NULLs come last."""
+        """Whether a row is the bound or comes after it. NULLs come last, so a NULL is after any other value."""
         out = F.lit(True)
         for name, down, kind in reversed(self.columns):
-            value = F.lit(bound[name]).cast(kind)
-            out = self._after(name, down, value) | (F.col(name).eqNullSafe(value) & out)
-        return out
+            column, value = F.col(name), bound[name]
+            if value is None:
+                out = column.isNull() & out
+                continue
+            value = F.lit(value).cast(kind)
+            later = column < value if down else column > value
+            out = F.coalesce(later, F.lit(True)) | ((column == value) & out)
+        return F.coalesce(out, F.lit(False))
 
     def place(self, bounds: list[Row]) -> Column:
         """Number of bounds that a row reaches; it never falls along the order, whatever the bounds are."""

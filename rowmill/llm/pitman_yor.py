@@ -2,7 +2,9 @@
 
 Every word is a context with a restaurant of its own; all of them send their tables as customers to one parent, whose
 base is uniform over the known words and one unknown word. Seating is sampled by Gibbs sweeps of the Chinese-restaurant
-process, and the predictive probabilities are averaged over the sweeps after burn-in.
+process. Below one parent distribution the predictive probability of a word is linear in the tables of its context, so
+averaging tables over the sweeps after burn-in averages those probabilities; the parent's own are averaged the same way.
+The perplexity of a text is 10 ** (-score / n_tokens), that of many texts comes from the sums of both (``perplexity``).
 
 Work is dealt out twice, by *chunks* of documents and by *shards* of contexts and words, both by hash:
 
@@ -295,7 +297,7 @@ def _score_chunk(texts: list[str | None], shards: int, answers: list[dict]) -> t
 
 
 def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``df``.
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for every row of ``df``.
 
     Learns from the rows that are not held out (NULL counts as not held out). ``base_score`` is add-one smoothing over
     single words. ``parts``: chunks and shards, the session's number of shuffle partitions unless given: choose it so
@@ -345,7 +347,20 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
         columns = [own.column("key"), own.column("held"), *[pa.array(v) for v in values]]
         return pa.Table.from_arrays(columns, names=[key, *names])
 
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    scored = docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    # A text has its end at least, so that n_tokens is never 0.
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def perplexity(scored: DataFrame) -> DataFrame:
+    """``held_out, n_tokens, perplexity, base_perplexity`` over all texts of ``score_texts``, learnt from and held out.
+
+    A class without texts has no row.
+    """
+    per_token = lambda score: F.pow(F.lit(10.0), -F.sum(score) / F.sum("n_tokens"))
+    return scored.groupBy("held_out").agg(
+        F.sum("n_tokens").alias("n_tokens"), per_token("score").alias("perplexity"), per_token("base_score").alias("base_perplexity")
+    )
 
 
 def _empty(own: pa.Table, key: str, names: list[str]) -> pa.Table:

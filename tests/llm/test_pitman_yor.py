@@ -124,3 +124,29 @@ def test_same_result_for_any_order_of_rows(llm, odd_texts):
     rows = [(i, t) for i, t in enumerate(odd_texts)]
     key = lambda out: sorted((r.doc_id, r.score) for r in out)
     assert key(score(llm, rows, 3).collect()) == key(score(llm, rows[::-1], 3).collect())
+
+
+def test_perplexity_of_texts_and_of_all(llm, odd_texts):
+    """By hand from the scores; over a corpus it comes from the sums, not from a mean of the texts' perplexities."""
+    scored = score(llm, [(i, t) for i, t in enumerate(odd_texts * 3)], 3)
+    rows = scored.collect()
+    assert all(r.n_tokens >= 1 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in rows)
+    got = {r.held_out: r for r in hpy.perplexity(scored).collect()}
+    assert set(got) == {r.held_out for r in rows}
+    for held, r in got.items():
+        own = [x for x in rows if x.held_out == held]
+        tokens = sum(x.n_tokens for x in own)
+        assert r.n_tokens == tokens
+        assert r.perplexity == pytest.approx(10 ** (-sum(x.score for x in own) / tokens))
+        assert r.base_perplexity == pytest.approx(10 ** (-sum(x.base_score for x in own) / tokens))
+    assert hpy.perplexity(scored.limit(0)).count() == 0
+
+
+def test_averaged_tables_give_averaged_probabilities():
+    """With the parent given, the mean of a word's probabilities over sweeps is the probability from its mean tables."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    customers, total = np.array([5, 3, 9]), 17.0
+    sweeps = [hpy.seat(customers, np.array([2.0, 2, 2]), np.array([0.3, 0.3, 0.3]), hpy.DISCOUNT, hpy.STRENGTH, rng) for _ in range(50)]
+    parent = np.array([0.2, 0.5, 0.3])
+    p = lambda t: (customers - hpy.DISCOUNT * t + (hpy.STRENGTH + hpy.DISCOUNT * t.sum()) * parent) / (hpy.STRENGTH + total)
+    assert np.allclose(np.mean([p(t) for t in sweeps], axis=0), p(np.mean(sweeps, axis=0)))

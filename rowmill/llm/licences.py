@@ -25,7 +25,32 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_ITEMS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def _bsd(items: int, mark: str) -> str:
+    """The license with its first ``items`` conditions, numbered by ``mark``."""
+    listed = [mark.format(i) + x for i, x in enumerate(BSD_ITEMS[:items], 1)]
+    return "\n\n".join([BSD_OPENING, *listed, BSD_END])
+
+
 KNOWN = {
+    "BSD-2-Clause": tuple(title + _bsd(2, mark) for title in ("", "BSD 2-Clause License\n") for mark in ("{}. ", "* ")),
+    "BSD-3-Clause": tuple(title + _bsd(3, mark) for title in ("", "BSD 3-Clause License\n") for mark in ("{}. ", "* ")),
+    "Unlicense": (UNLICENSE, UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>", UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
     "MIT": (MIT, "The MIT License (MIT)\n" + MIT, "MIT License\n" + MIT, "Released under the MIT License."),
     "ISC": (ISC, "ISC License\n" + ISC),
     "0BSD": (ZERO_BSD, "BSD Zero Clause License\n" + ZERO_BSD),
@@ -46,7 +71,7 @@ SPELLINGS = (
 # How the name of a holder begins, and the words by which the license goes on behind it on the same line.
 HOLDER = r"(?:copyright[^a-z0-9\n]*(?:\(c\)|\x{a9}|(?:19|20)[0-9][0-9])|\(c\)[^a-z0-9\n]*(?:copyright|(?:19|20)[0-9][0-9])|\x{a9})"
 OPENING = (
-    r"(?:permission (?:is hereby granted|to use)|redistribution and use|this (?:software|work|program) is|(?:licen[sc]ed|released) under"
+    r"(?:permission (?:is hereby granted|to use)|redistribution and use|this (?:software|work|program) is|this is free and unencumbered|(?:licen[sc]ed|released) under"
     r"|the mit licen[sc]e|(?:mit|isc|zlib|bsd zero clause) licen[sc]e)"
 )
 # Lines that name a holder, up to their end or to the license; the same behind a title on one line; a block that is one
@@ -136,7 +161,8 @@ def find_licenses(df: DataFrame, known: DataFrame, text: str = "text", run: int
     """All columns of ``df`` and ``licenses`` (replaced if there): the licenses found in the text, sorted, each once.
 
     A license is found where the text as a whole, one of its lines, or up to ``run`` of its blocks in a row are a known
-    text; the known ones here have at most five blocks, also with a blank line before each item. Every row is kept, as
+    text; the known ones here have at most five blocks (six with a title, which is not needed), also with a blank line before
+    each item. Every row is kept, as
     often as it comes, with an empty array if nothing is found. Only digests are joined, and only what is found is
     gathered, once per distinct text.
     """

@@ -106,32 +106,10 @@ def lattice_duplicates(t):
     return lattice.near_vectors(t.embeddings)
 
 
-OP3_SQL = r"""
-WITH known(license, text) AS (VALUES {known}),
-canon AS (
-  SELECT 'k' AS side, license, NULL::BIGINT AS doc_id, lower(text) AS t FROM known
-  UNION ALL SELECT 'd', NULL, doc_id, lower(coalesce(text, '')) FROM documents
-), cut AS (
-  SELECT side, license, doc_id, ' ' || trim(regexp_replace(regexp_replace(regexp_replace(t, '[\r\x0B\x0C]', chr(10), 'g'),
-    '(?m)^[^a-z0-9\n]*(copyright[^a-z\n]|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM canon
-), marked AS (SELECT side, license, doc_id, sha256(trim({spelt})) AS digest FROM cut)
-SELECT d.doc_id, d.digest, k.license FROM marked d
-LEFT JOIN (SELECT DISTINCT digest, license FROM marked WHERE side = 'k') k ON d.digest = k.digest WHERE d.side = 'd'
-"""
-
-
-def _op3_sql() -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in licences.KNOWN.items() for text in texts)
-    spelt = "t"
-    for other, name in licences.SPELLINGS:
-        spelt = f"replace({spelt}, ' {other} ', ' {name} ')"
-    return OP3_SQL.replace("{known}", known).replace("{spelt}", spelt)
-
-
-@query("op3_license_digests", _op3_sql())
+@query("op3_license_digests")
 def license_digests(t):
-    return licences.scan_licenses(t.documents.select("doc_id", "text"), licences.known_digests(t.spark)).select("doc_id", "digest", "license")
+    found = licences.find_licenses(t.documents.select("doc_id", "text"), licences.known_digests(t.spark))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
 @query("op6_sentencepiece")

@@ -10,13 +10,13 @@ QUERIES, SQL = load()
 COLUMNS = {
     "op1_chat_formatting": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     "op2_lattice_duplicates": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
-    "op3_license_digests": "doc_id bigint, digest string, license string",
+    "op3_license_digests": "doc_id bigint, n_licenses bigint, licenses string",
     "op4_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op5_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op6_sentencepiece": "doc_id bigint, n_ids bigint, round_trip boolean",
     "op7_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
-    "op9_pitman_yor": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op9_pitman_yor": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double",
     "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "op12_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint",
     "op13_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",

@@ -88,6 +88,9 @@ def test_licenses_inside_documents(spark, odd_texts):
         ("He said it was released under the MIT License. Or not.", []),
         (MIT.replace("without restriction", "with restriction") + "\n\nprose", []),
         (MIT, ["MIT"]), (licences.ISC, ["ISC"]),
+        ("Tool\n\nBSD 3-Clause License\n\nCopyright (c) 2021, A. Person\nAll rights reserved.\n\n" + licences.KNOWN["BSD-3-Clause"][1] + "\n\nmore", ["BSD-3-Clause"]),
+        ("x\n\n" + licences.KNOWN["BSD-2-Clause"][0].replace("\n\n", "\n") + "\n\ny", ["BSD-2-Clause"]),
+        (f"readme\n\n{licences.UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>\n\nend", ["Unlicense"]),
     ]
     got = found(spark, [t for t, _ in cases] + odd_texts)
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.operators.mapping import Expression, as_column
-from rowmill.operators.ordered import order_columns, recomputed, reversed_columns, tie_break
+from rowmill.operators.ordered import order_columns, ordered_slices, recomputed, reversed_columns, running_total, tie_break
+from rowmill.session import materialize
 
 _HOW = {
     "inner": "inner",
@@ -256,28 +257,42 @@ def ip_number(text: Column) -> Column:
     return F.when(F.size(octets) == 4, number)
 
 
-_ADDRESS_BITS = 32
+# Consecutive addresses that a range finds together, and blocks of them that a range is cut into at once.
+_BLOCK, _BLOCKS = 256, 4096
 
 
 def locate_ip(
     df: DataFrame, address: str, ranges: DataFrame, start: str, end: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Left lookup of a dotted address column in ``[start, end]`` number ranges, as an equality join on address prefixes.
+    """Left lookup of a dotted address column in ``[start, end]`` number ranges; an address in several ranges has a row for each.
 
-    A range of any width is covered by at most two prefixes of each length. Each distinct address is parsed
-    and located once, under its prefix of every length.
+    Distinct addresses and the bounds of ranges are sorted together over slices. The addresses before each of its bounds
+    make a range a run of positions, whose addresses it finds by blocks of positions, so that an address is one row
+    however wide the ranges are, and pairs are made only where they are rows of the result. Sorts and writes when it is
+    called. Ranges with a NULL bound, or that end before they start, hold nothing.
     """
-    # lo and hi: the first whole block of 2**b addresses inside the range, and the first one no longer inside.
-    lo, hi = "shiftright(_first + shiftleft(1L, b) - 1, b)", "shiftright(_after, b)"
-    pieces = F.expr(f"""filter(flatten(transform(sequence(0, {_ADDRESS_BITS}), b -> array(
-        CASE WHEN {lo} < {hi} AND {lo} % 2 = 1 THEN struct(b AS bits, {lo} AS prefix) END,
-        CASE WHEN {lo} < {hi} AND {hi} % 2 = 1 THEN struct(b AS bits, {hi} - 1 AS prefix) END))), p -> p IS NOT NULL)""")
-    bounds = ranges.where(F.col(start) <= F.col(end)).select(
-        *columns, F.col(start).cast("bigint").alias("_first"), (F.col(end).cast("bigint") + 1).alias("_after")
-    )
-    covers = bounds.select(*columns, F.explode(pieces).alias("_prefix"))
-    distinct = df.select(F.col(address).alias("_address")).distinct().withColumn("_ip", ip_number(F.col("_address")))
-    every = F.expr(f"transform(sequence(0, {_ADDRESS_BITS}), b -> struct(b AS bits, shiftright(_ip, b) AS prefix))")
-    asked = distinct.where(F.col("_ip").isNotNull()).select("_address", F.explode(every).alias("_prefix"))
-    found = asked.join(covers.hint("merge"), "_prefix").select("_address", *columns)
-    return df.join(found, F.col(address) == F.col("_address"), "left").drop("_address")
+    known = ranges.select(
+        F.col(start).cast("bigint").alias("_first"), (F.col(end).cast("bigint") + 1).alias("_after"),
+        F.struct(*columns).alias("_range"),
+    ).where("_first < _after")
+    known = materialize(known.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    asked = df.select(F.col(address).alias("_address")).distinct().withColumn("_value", ip_number(F.col("_address")))
+    events = asked.where("_value is not null").selectExpr("_value", "1 AS _kind", "_address", "CAST(NULL AS bigint) AS _id")
+    for bound in ("_first", "_after"):  # before equal addresses
+        events = events.unionByName(known.selectExpr(f"{bound} AS _value", "0 AS _kind", "CAST(NULL AS string) AS _address", "_id"))
+    sliced = ordered_slices(events, ["_value", "_kind"], ["_address", "_id"])
+    counted = running_total(sliced, [], F.col("_kind"), "_count").select("_kind", "_address", "_id", "_count")
+    counted = materialize(counted, "counted")
+
+    runs = counted.where("_kind = 0").groupBy("_id").agg(F.min("_count").alias("_from"), F.max("_count").alias("_to"))
+    runs = runs.where("_from < _to").join(known.select("_id", "_range"), "_id")
+    far = f"explode(sequence(_from div {_BLOCK * _BLOCKS}, (_to - 1) div {_BLOCK * _BLOCKS})) AS _far"
+    near = f"""explode(sequence(greatest(_far * {_BLOCKS}, _from div {_BLOCK}),
+        least(_far * {_BLOCKS} + {_BLOCKS - 1}, (_to - 1) div {_BLOCK}))) AS _block"""
+    cut = runs.selectExpr("_range", "_from", "_to", far).selectExpr("_range", "_from", "_to", near)
+    cut = cut.selectExpr("_range", "_block", f"CAST(greatest(_from - _block * {_BLOCK}, 0) AS int) AS _from", f"CAST(least(_to - _block * {_BLOCK}, {_BLOCK}) AS int) AS _to")
+    placed = counted.where("_kind = 1").selectExpr(f"(_count - 1) div {_BLOCK} AS _block", "struct(_count, _address) AS _item")
+    blocks = placed.groupBy("_block").agg(F.sort_array(F.collect_list("_item"))["_address"].alias("_addresses"))
+    found = cut.hint("merge").join(recomputed(blocks, ["_block"]), "_block")
+    found = found.selectExpr("_range", "explode(slice(_addresses, _from + 1, _to - _from)) AS _address").select("_address", "_range.*")
+    return df.join(found.hint("merge"), F.col(address) == F.col("_address"), "left").drop("_address")

@@ -437,6 +437,27 @@ def test_locate_ip_in_ranges_of_any_width(spark):
     assert got == want
 
 
+def test_locate_ip_over_blocks(spark, monkeypatch):
+    """Runs of many blocks, equal bounds, repeated rows and ranges, addresses spelled twice, NULL bounds, empty tables."""
+    monkeypatch.setattr(joins, "_BLOCK", 4)
+    monkeypatch.setattr(joins, "_BLOCKS", 2)
+    ranges = [(0, 300, "all"), (0, 300, "all"), (10, 10, "one"), (50, 99, "b"), (50, 120, None), (None, 5, "n"), (5, None, "n"), (400, 500, "none")]
+    ips = [(f"0.0.{n // 256}.{n % 256}",) for n in range(0, 310, 3)] + [("0.0.0.9",), ("0.0.0.010",), (None,)]
+    df, table = spark.createDataFrame(ips, "a string"), spark.createDataFrame(ranges, "lo bigint, hi bigint, name string")
+    want = Counter()
+    for (ip,) in ips:
+        n = None if ip is None else int(joins_number(ip))
+        hits = [name for lo, hi, name in ranges if None not in (n, lo, hi) and lo <= n <= hi]
+        want.update((ip, name) for name in hits or [None])
+    assert rows_of(joins.locate_ip(df, "a", table, "lo", "hi", ["name"])) == want
+    assert rows_of(joins.locate_ip(df, "a", table.limit(0), "lo", "hi", ["name"])) == Counter((ip, None) for (ip,) in ips)
+    assert joins.locate_ip(df.limit(0), "a", table, "lo", "hi", ["name"]).count() == 0
+
+
+def joins_number(ip):
+    return sum(int(p) * 256**i for i, p in enumerate(reversed(ip.split("."))))
+
+
 words = st.text(alphabet="abc", min_size=0, max_size=5)
 
 

@@ -80,6 +80,25 @@ def test_recall_at_the_border(llm):
     agree(lattice.near_vectors(llm.createDataFrame(rows, SCHEMA)), rows, recall=0.9)
 
 
+def border_pairs(n, low, high):
+    rng = np.random.default_rng(4)
+    a, g = rng.normal(size=(2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g -= (g * a).sum(axis=1, keepdims=True) * a
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    c = rng.uniform(low, high, size=(n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * g
+
+
+def test_registered_setting_meets_the_border_and_few_others():
+    """Of pairs with a cosine of 0.900 to 0.905 at least 0.9 share a cell; of random pairs at most 0.01 %."""
+    a, b = (lattice.cells(x)[0] for x in border_pairs(2000, 0.9, 0.905))
+    met = (a == b[:, :, :1]).any(axis=(1, 2)) | (b == a[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.9
+    chance = sum((np.isin(a[i + 1 :, :, 0], a[i]).any(axis=1) | (a[i + 1 :] == a[i, :, :1]).any(axis=(1, 2))).sum() for i in range(500))
+    assert chance / (500 * 1749.5) <= 1e-4
+
+
 def test_decode_finds_the_nearest_lattice_point():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 8))

@@ -20,7 +20,7 @@ from rowmill.llm.components import components
 from rowmill.session import materialize
 
 COSINE = 0.9
-# One setting for every size. At 64 dimensions 0.005 % of all pairs of random vectors meet, and more than 9 of 10 pairs
+# One setting for every size. At 64 dimensions 0.009 % of all pairs of random vectors meet, and more than 9 of 10 pairs
 # whose cosine is 0.900 to 0.905 do. A larger spread of the projections against the lattice, or more blocks, means fewer
 # chance meetings and less recall per table.
 TABLES = 20

@@ -60,7 +60,8 @@ def lookup(
 
     ``name`` qualifies the lookup columns (``name.column``), as ``main.alias("row1")`` does for main.
     ``match`` is ``all``, ``first`` or ``unique`` (the last match); the latter two need ``order``, and
-    ``tie`` names the columns that make it unique. Without keys see ``keyless_lookup``.
+    ``tie`` names the columns that make it unique. Without keys ``ref`` is measured and becomes constants of the plan, and
+    one above the bound of ``keyless_lookup`` raises.
     """
     kind = _HOW[how.lower()]
     if not on or kind == "cross":
@@ -117,7 +118,7 @@ def keyless_lookup(main: DataFrame, ref: DataFrame, name: str = "lookup") -> Dat
 def iterate_params(df: DataFrame, params: DataFrame, where: Expression = None, name: str = "param") -> DataFrame:
     """Run the rows of ``df`` once per parameter row, with ``param.column`` usable in ``where``.
 
-    Parameters are bounded as the rows of a ``keyless_lookup`` are; their columns follow those of ``df``.
+    Parameters are bounded as the rows of a ``keyless_lookup`` are, and more of them raise; their columns follow those of ``df``.
     """
     out = df.select("*", F.explode(_constants(params)).alias(name))
     if where is not None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -23,14 +25,37 @@ def as_column(expression: Expression, kind: str | T.DataType = "string") -> Colu
     return F.expr(expression)
 
 
-def with_variables(df: DataFrame, variables: Mapping[str, Expression]) -> DataFrame:
-    """Add a struct ``Var`` with the variables; a later one may use an earlier one as ``Var.x``."""
+def _variable_levels(variables: Mapping[str, Expression]) -> list[list[str]]:
+    """Variables that can be computed side by side, level by level.
+
+    A variable comes after those it uses, and not before an earlier one that still uses the former value of its name.
+    What a ready Column uses, or an expression over ``Var`` as a whole, is not known: it comes after all earlier variables
+    and before all later ones.
+    """
+    uses: dict[str, set[str] | None] = {}
+    level: dict[str, int] = {}
     for name, expression in variables.items():
-        value = as_column(expression)
+        text = "" if expression is None else expression
+        fields = [] if isinstance(text, Column) else re.findall(r"\bVar\b`?(?:\s*\.\s*`?(\w+))?", text, re.IGNORECASE)
+        own = None if isinstance(text, Column) or "" in fields else {x.lower() for x in fields}
+        after = [level[e] + 1 for e, used in uses.items() if own is None or used is None or e.lower() in own]
+        beside = [level[e] for e, used in uses.items() if used is not None and name.lower() in used]
+        level[name] = max([0, *after, *beside])
+        uses[name] = own
+    return [[n for n in variables if level[n] == i] for i in range(max(level.values(), default=-1) + 1)]
+
+
+def with_variables(df: DataFrame, variables: Mapping[str, Expression]) -> DataFrame:
+    """Add a struct ``Var`` with the variables; a later one may use an earlier one as ``Var.x``.
+
+    Variables that do not use each other are computed in one projection.
+    """
+    for names in _variable_levels(variables):
+        values = {n: as_column(variables[n]) for n in names}
         if "Var" in df.columns:
-            df = df.withColumn("Var", F.col("Var").withField(name, value))
+            df = df.withColumn("Var", reduce(lambda var, n: var.withField(n, values[n]), names, F.col("Var")))
         else:
-            df = df.withColumn("Var", F.struct(value.alias(name)))
+            df = df.withColumn("Var", F.struct(*[v.alias(n) for n, v in values.items()]))
     return df
 
 

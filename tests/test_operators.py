@@ -1,5 +1,6 @@
 """Laws and brute-force checks, many of them on tables where one key holds a third of the rows."""
 
+import json
 import random
 import statistics
 from collections import Counter, defaultdict
@@ -100,6 +101,22 @@ def test_unknown_column_fails(spark):
         mapping.map_columns(spark.range(1), {"a": "missing + 1"}).collect()
 
 
+def test_variables_are_computed_level_by_level(spark):
+    """Independent variables share a projection; former values, whole structs and Columns keep their order."""
+    many = {f"v{i}": f"id + {i}" for i in range(40)} | {"total": " + ".join(f"Var.v{i}" for i in range(40)), "last": "Var.total * 2"}
+    assert [len(x) for x in mapping._variable_levels(many)] == [40, 1, 1]
+    row = mapping.with_variables(spark.range(1), many).select("Var.*").first()
+    assert row["total"] == sum(range(40)) and row["last"] == 2 * row["total"] and row["v39"] == 39
+
+    first = mapping.with_variables(spark.range(1), {"a": "1", "b": "2"})
+    out = mapping.with_variables(first, {"old": "Var.a", "x": "Var.old + 1", "a": "10", "seen": "Var.a", "all": "to_json(Var)", "b": F.col("Var.a") + 1, "c": "Var.b", "none": None})
+    row = out.select("Var.*").first()
+    assert (row["old"], row["x"], row["a"], row["seen"], row["b"], row["c"], row["none"]) == (1, 2, 10, 10, 11, 11, None)
+    assert json.loads(row["all"]) == {"a": 10, "b": 2, "old": 1, "x": 2, "seen": 10}
+    later = mapping.with_variables(first, {"x": "Var.b", "y": "Var.x + Var.a", "a": "100", "z": "Var.a"}).select("Var.*").first()
+    assert (later["y"], later["a"], later["z"]) == (3, 100, 100)
+
+
 def test_variables_see_earlier_variables(spark):
     out = mapping.map_columns(spark.range(1, 3), {"b": "Var.b"}, {"a": "id * 10", "b": "Var.a + 1"})
     assert sorted(r["b"] for r in out.collect()) == [11, 21]

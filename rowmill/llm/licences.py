@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,26 @@ KNOWN = {
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
 }
+# Full texts of longer licenses by license, canonical first block, number of blocks between blank lines, and
+# digest of the canonical text; first with what follows the end of its terms, then up to that line. See ``long_entries``.
+LONG = (
+    ("Apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses", 32, "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "apache license version 2 0 january 2004 http www apache org licenses", 27, "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("GPL-1.0", "gnu general public license version 1 february 1989", 50, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "gnu general public license version 1 february 1989", 35, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991", 59, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991", 44, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", 122, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", 109, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "gnu library general public license version 2 june 1991", 83, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "gnu library general public license version 2 june 1991", 71, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999", 85, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999", 73, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", 37, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "mozilla public license version 1 1", 73, "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "mozilla public license version 2 0", 83, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("CC0-1.0", "creative commons legal code", 13, "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+)
 # Spellings that count as the same word, after lower-casing and without punctuation.
 SPELLINGS = (
     ("licence", "license"), ("sublicence", "sublicense"), ("licences", "licenses"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"),
@@ -87,7 +109,7 @@ HOLDER_LINES = (
 def _without_holders(text: Column) -> Column:
     """Lower case, one sign for line ends, and no copyright lines. NULL counts as empty."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"[\r\x0B\x0C\x85  ]", "\n")
+    out = F.regexp_replace(out, r"\r\n|[\r\x0B\x0C\x85  ]", "\n")
     for pattern, kept in HOLDER_LINES:
         out = F.regexp_replace(out, pattern, kept)
     return out
@@ -111,12 +133,16 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark, known: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
+def known_digests(spark, known: dict[str, tuple[str, ...]] = KNOWN, long: Sequence[tuple[str, str, int, str]] = LONG) -> DataFrame:
     """``digest, license`` of the known texts; texts that agree in their canonical form must name the same license."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
     # Constants, so that the planner knows how few they are and need not shuffle the texts for them.
     row = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in rows]))
-    return spark.range(1).select(row.alias("row")).select(digest(F.col("row.text")).alias("digest"), "row.license").distinct()
+    found = spark.range(1).select(row.alias("row")).select(digest(F.col("row.text")).alias("digest"), "row.license")
+    if long:
+        entry = F.explode(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(name).alias("license")) for name, _, _, d in long]))
+        found = found.union(spark.range(1).select(entry.alias("row")).select("row.*"))
+    return found.distinct()
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
@@ -129,11 +155,28 @@ def scan_licenses(df: DataFrame, known: DataFrame, text: str = "text") -> DataFr
     return marked.join(known.select("digest", "license"), "digest", "left").select(*[f"`{c}`" for c in names], "digest", "license")
 
 
-def _units(text: Column, run: int) -> Column:
-    """Distinct canonical forms of a text, its lines, and its runs of 1 to ``run`` blocks between blank lines."""
+def _lines(text: Column) -> Column:
+    """Canonical forms of the lines of a text."""
     # Line ends stand apart as words, so that one pass spells all lines.
     out = F.replace(F.regexp_replace(_without_holders(text), r"[^a-z0-9\n]+", " "), F.lit("\n"), F.lit(" \n "))
-    out = _spelt(F.concat(F.lit(" "), out, F.lit(" ")))
+    return F.transform(F.split(_spelt(F.concat(F.lit(" "), out, F.lit(" "))), "\n"), lambda x: F.trim(x))
+
+
+def _blocks(lines: Column) -> Column:
+    """Lines joined to blocks between empty ones."""
+    blocks = F.transform(F.split(F.array_join(lines, "\n"), r"\n\n+"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))))
+    return F.filter(blocks, lambda b: b != "")
+
+
+def long_entries(df: DataFrame, license: str = "license", text: str = "text") -> DataFrame:
+    """``license, first, blocks, digest`` of full license texts, as in ``LONG``. Rows without a block are left out."""
+    of = df.select(F.col(license).alias("license"), F.col(text).alias("_t"), _blocks(_lines(F.col(text))).alias("_b")).where(F.size("_b") > 0)
+    return of.select("license", F.col("_b")[0].alias("first"), F.size("_b").alias("blocks"), digest(F.col("_t")).alias("digest"))
+
+
+def _units(text: Column, run: int, long: Sequence[tuple[str, str, int, str]] = ()) -> Column:
+    """Distinct canonical forms of a text, its lines, its runs of 1 to ``run`` blocks between blank lines, and the runs
+    that begin like one of the ``long`` licenses and are as many blocks."""
     let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     pairs = [x for x in SPELLINGS if " " in x[0]]
 
@@ -144,31 +187,40 @@ def _units(text: Column, run: int) -> Column:
             words = F.replace(words, F.lit(f" {other} "), F.lit(f" {name} "))
         return F.trim(words)
 
+    # Sizes of the long licenses by their first block.
+    sizes: dict[str, set[int]] = {}
+    for _, first, size, _ in long:
+        sizes.setdefault(first, set()).add(size)
+    starts = [x for first, of in sizes.items() for x in (F.lit(first), F.array(*[F.lit(n) for n in sorted(of)]))]
+
     def of_blocks(blocks: Column) -> Column:
-        of = lambda n: lambda _, i: joined(F.array_join(F.slice(blocks, i + 1, n), " "))
+        cut = lambda i, n: joined(F.array_join(F.slice(blocks, i + 1, n), " "))
+        of = lambda n: lambda _, i: cut(i, n)
         runs = [F.transform(blocks, of(n)) for n in range(1, run + 1)]
+        if starts:
+            sized = lambda b: F.coalesce(F.create_map(*starts)[b], F.array().cast("array<int>"))
+            runs.append(F.flatten(F.transform(blocks, lambda b, i: F.transform(sized(b), lambda n: cut(i, n)))))
         return F.concat(F.array(joined(F.array_join(blocks, " "))), *runs)
 
     def of_lines(lines: Column) -> Column:
-        blocks = F.transform(F.split(F.array_join(lines, "\n"), r"\n\n+"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))))
-        return F.concat(lines, let(F.filter(blocks, lambda b: b != ""), of_blocks))
+        return F.concat(lines, let(_blocks(lines), of_blocks))
 
-    units = let(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), of_lines)
+    units = let(_lines(text), of_lines)
     return F.array_distinct(F.filter(units, lambda x: x != ""))
 
 
-def find_licenses(df: DataFrame, known: DataFrame, text: str = "text", run: int = 5) -> DataFrame:
+def find_licenses(df: DataFrame, known: DataFrame, text: str = "text", run: int = 5, long: Sequence[tuple[str, str, int, str]] = LONG) -> DataFrame:
     """All columns of ``df`` and ``licenses`` (replaced if there): the licenses found in the text, sorted, each once.
 
-    A license is found where the text as a whole, one of its lines, or up to ``run`` of its blocks in a row are a known
-    text; the known ones here have at most five blocks (six with a title, which is not needed), also with a blank line before
-    each item. Every row is kept, as
-    often as it comes, with an empty array if nothing is found. Only digests are joined, and only what is found is
-    gathered, once per distinct text.
+    A license is found where the text as a whole, one of its lines, or blocks in a row are a known text: up to ``run`` of
+    them, and for the ``long`` licenses as many as they have, from each block that is their first. The texts of ``KNOWN``
+    have at most five blocks (six with a title, which is not needed), also with a blank line before each item. Every row
+    is kept, as often as it comes, with an empty array if nothing is found. Only digests are joined, and only what is
+    found is gathered, once per distinct text.
     """
     names = [c for c in df.columns if c != "licenses"]
     key = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("_text_key")
-    units = df.select(key, F.explode(_units(F.col(f"`{text}`"), run)).alias("_unit"))
+    units = df.select(key, F.explode(_units(F.col(f"`{text}`"), run, long)).alias("_unit"))
     hits = units.select("_text_key", F.sha2("_unit", 256).alias("digest")).join(known.select("digest", "license"), "digest")
     found = hits.groupBy("_text_key").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
     none = F.array().cast("array<string>")

@@ -1,3 +1,4 @@
+import os
 import re
 import textwrap
 
@@ -118,3 +119,33 @@ def test_found_licenses_of_repeats_and_clashing_columns(spark):
     out = licences.find_licenses(df, licences.known_digests(spark))
     assert out.columns == ["doc_id", "text", "licenses"] and sorted(r.licenses for r in out.collect()) == [[], ["MIT"], ["MIT"]]
     assert licences.find_licenses(df.limit(0), licences.known_digests(spark)).count() == 0
+
+
+def long_texts():
+    """Two versions of a license of nine blocks, the second with an appendix, and another one that begins alike."""
+    terms = "\n\n".join(["THE LONG LICENCE\n Version 2", *[f"{i}. Term number {i}, which is\nwritten over two lines." for i in range(1, 9)]])
+    return [("Long", terms), ("Long", terms + "\n\nHow to apply it\n\nWrite it down."), ("Other", terms.replace("Term number 8", "The last term"))]
+
+
+def test_long_licenses_inside_documents(spark):
+    long = [tuple(r) for r in licences.long_entries(spark.createDataFrame(long_texts(), "license string, text string")).collect()]
+    assert [(x[0], x[2]) for x in long] == [("Long", 9), ("Long", 11), ("Other", 9)]
+    (_, plain), (_, appended), (_, other) = long_texts()
+    wrapped = "\n\n".join(textwrap.fill(" ".join(b.split()), 25) for b in plain.upper().split("\n\n"))
+    cases = [(plain, ["Long"]), (f"Notes\n\n{plain}\n\nmore", ["Long"]), (f"a\n\n{wrapped}\n\nb", ["Long"]), (f"a\n\n{appended}\n\nb", ["Long"]),
+             (f"{other}\n\n{plain}".replace("\n", "\r\n"), ["Long", "Other"]), (f"The long licence version 2\n\n{other}", ["Other"]),
+             (f"a\n\n{plain[:-20]}\n\nb", []), (plain.replace("number 4", "number four"), []), (None, []), ("The long licence\nversion 2", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    known = licences.known_digests(spark, long=long)
+    got = {r.doc_id: r.licenses for r in licences.find_licenses(df, known, long=long).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    assert licences.long_entries(spark.createDataFrame([("x", None), ("x", " ")], "license string, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license texts on this system")
+def test_full_texts_of_this_system(spark):
+    folder, names = "/usr/share/common-licenses", {x[0]: x[0].removesuffix(".0") if "GPL" in x[0] else x[0] for x in licences.LONG}
+    texts = {n: open(os.path.join(folder, f), encoding="utf-8").read() for n, f in names.items() if os.path.exists(os.path.join(folder, f))}
+    rows = [(n, f"Notes of a package\n\n{t}\n\nEnd of the file.") for n, t in texts.items()]
+    df = spark.createDataFrame(rows, "name string, text string")
+    assert rows and all(r["name"] in r.licenses for r in licences.find_licenses(df, licences.known_digests(spark)).collect())

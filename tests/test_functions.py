@@ -14,6 +14,9 @@ from rowmill.functions import numbers as n
 from rowmill.functions import strings as s
 from rowmill.functions import system
 from rowmill.operators.mapping import with_context
+from rowmill.plans import load
+
+QUERIES, _ = load()
 
 
 def one(spark, value, kind, column):
@@ -128,6 +131,17 @@ def test_integer_modes(spark, value, rounded, cut):
     assert one(spark, value, "double", n.integer("x", "truncate")) == cut
 
 
+def test_small_that_does_not_fit(spark, tmp_path):
+    assert one(spark, 32767, "bigint", n.small("x")) == one(spark, 32767, "bigint", n.small("x", strict=False)) == 32767
+    assert one(spark, 32768, "bigint", n.small("x", strict=False)) is None
+    with pytest.raises(PySparkException, match="CAST_OVERFLOW"):
+        one(spark, 32768, "bigint", n.small("x"))
+    rows = [(1, 7, "view", 1.0), (2, 40_000, "click", 2.5), (3, None, "click", None)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["f109_f114_conversions"](spark, str(tmp_path)).select("event_id", "i", "sm").collect()
+    assert {tuple(r) for r in got} == {(1, 7, 7), (2, 40_000, None), (3, None, None)}
+
+
 def test_numbers(spark):
     assert one(spark, -7, "int", n.modulo("x", 3)) == -1
     assert one(spark, 2.5, "double", n.rounded("x")) == 3.0

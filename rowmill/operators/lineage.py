@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.operators.ordered import recomputed
@@ -40,20 +41,30 @@ def extract_tables(df: DataFrame, column: str, name: str = "table_name") -> Data
     return explode_rows(df, tables_in_sql(F.col(column)), name)
 
 
+# Rows that a task groups or joins at once, at most on average.
+TASK_ROWS = 250_000
+
+
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: no fewer than the session's, and more for large tables, so that a task's memory does not grow with them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / TASK_ROWS))
+
+
 def job_reads_writes(components: DataFrame) -> DataFrame:
     """Distinct ``(job, access, table_name)``; sources and SQL statements read, sinks write.
 
-    Each distinct query text is parsed once; its tables come back to the jobs by equality on the text.
+    Components are counted when this is called, and dealt out once, by job: a query text is parsed where its job lies, and what
+    a job names is made distinct there.
     """
     reads = F.col("kind").isin("DATA_SOURCE", "SQL_EXEC")
     access = F.when(reads, "read").otherwise("write").alias("access")
-    used = components.where(reads | (F.col("kind") == "DATA_SINK"))
-    named = used.where(F.coalesce(F.col("table_name"), F.lit("")) != "").select("job", access, table_name(F.col("table_name")).alias("table_name"))
-    queried = components.where(reads & F.col("query").isNotNull()).select("job", "query")
-    texts = recomputed(queried.select("query").distinct(), ["query"])
-    parsed = texts.select(F.col("query").alias("_text"), F.explode(tables_in_sql(F.col("query"))).alias("table_name"))
-    found = queried.join(parsed, F.col("query") == F.col("_text")).select("job", F.lit("read").alias("access"), "table_name")
-    return named.unionAll(found).where(F.col("table_name") != "").distinct()
+    used = components.where(reads | (F.col("kind") == "DATA_SINK")).select(
+        "job", access, table_name(F.col("table_name")).alias("table_name"), F.when(reads, F.col("query")).alias("query"))
+    used = used.where((F.col("table_name") != "") | F.col("query").isNotNull())
+    dealt = used.repartition(_parts(components.sparkSession, used.count()), "job")
+    own = F.when(F.col("table_name") != "", F.array("table_name"))
+    names = F.concat(F.coalesce(own, F.array().cast("array<string>")), F.coalesce(tables_in_sql(F.col("query")), F.array().cast("array<string>")))
+    return explode_rows(dealt.select("job", "access", names.alias("_names")), F.col("_names"), "table_name").select("job", "access", "table_name").distinct()
 
 
 def data_edges(access: DataFrame) -> DataFrame:

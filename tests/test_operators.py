@@ -854,6 +854,22 @@ def test_needed_jobs_shuffles_the_frontier_only(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("rowmill_")]
 
 
+def test_reads_writes_are_grouped_in_tasks_that_do_not_grow(spark, monkeypatch):
+    """Two hundred long texts in tasks of 20 rows: parsed where their job lies, dealt out once, no join on the text."""
+    monkeypatch.setattr(lineage, "TASK_ROWS", 20)
+    jobs = spark.range(200).select(F.concat(F.lit("j"), F.col("id") % 70).alias("job"), F.concat(F.lit("select * from dw.T"), F.col("id") % 9, F.lit(" join Codes")).alias("query"))
+    parts = jobs.select("job", F.lit("SQL_EXEC").alias("kind"), F.lit(None).cast("string").alias("table_name"), "query")
+    other = [("j1", "DATA_SINK", '"a"."Out"', "select * from ignored"), ("j1", "DATA_SOURCE", "`in`", "select 1 from b.In2"), ("j1", "DATA_SOURCE", "", None), ("j2", "OTHER", "x", "select 1 from x"), (None, "DATA_SOURCE", "in", None)]
+    got = lineage.job_reads_writes(parts.unionAll(spark.createDataFrame(other, parts.schema)))
+    want = {(f"j{i % 70}", "read", t) for i in range(200) for t in (f"t{i % 9}", "codes")} | {("j1", "write", "out"), ("j1", "read", "in"), ("j1", "read", "in2"), (None, "read", "in")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # 203 used rows in tasks of 20.
+    assert plan.count("Exchange") == 1 and "hashpartitioning(job" in plan and ", 11)" in plan and "Join" not in plan
+    assert rows_of(got) == Counter(want)
+    links = lineage.table_links(got)._jdf.queryExecution().executedPlan().toString()
+    assert links.count("Exchange") == 2
+
+
 def test_table_links_count_pairs_without_making_them(spark):
     jobs = spark.range(10_000)
     hot = jobs.select(F.concat(F.lit("w"), "id").alias("job"), F.lit("write").alias("access"), F.lit("hot").alias("table_name"))

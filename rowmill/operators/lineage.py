@@ -68,11 +68,29 @@ def job_reads_writes(components: DataFrame) -> DataFrame:
 
 
 def data_edges(access: DataFrame) -> DataFrame:
-    """``(writer, reader, table_name)`` where one job writes what another reads."""
-    writes = access.where(F.col("access") == "write").select(F.col("job").alias("writer"), "table_name")
-    reads = access.where(F.col("access") == "read").select(F.col("job").alias("reader"), F.col("table_name").alias("_t"))
-    joined = writes.join(reads, F.col("table_name") == F.col("_t")).where(F.col("writer") != F.col("reader"))
-    return joined.select("writer", "reader", "table_name")
+    """``(writer, reader, table_name)`` where one job writes what another reads.
+
+    ``access`` is stored and its rows per table are counted when this is called. Writers and readers of a table with very many
+    are dealt into blocks; each block of writers meets each block of readers.
+    """
+    spark = access.sparkSession
+    both = materialize(access.where(F.col("table_name").isNotNull()).select("job", "access", "table_name"), "access")
+    counts = both.groupBy("table_name").agg(F.count_if(F.col("access") == "write").alias("w"), F.count_if(F.col("access") == "read").alias("r"))
+    large = counts.where(F.greatest("w", "r") > TASK_ROWS).select(
+        F.col("table_name").alias("_large"), *[F.greatest(F.ceil(F.col(c) / TASK_ROWS), F.lit(1)).cast("int").alias(f"_{c}") for c in ("w", "r")])
+    # At most one row per TASK_ROWS rows.
+    blocks = both.join(F.broadcast(materialize(large, "large")), F.col("table_name") == F.col("_large"), "left")
+    blocks = blocks.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_w", "_r")})
+
+    def side(kind: str, name: str, own: str, other: str) -> DataFrame:
+        rows = blocks.where(F.col("access") == kind).select(
+            F.col("job").alias(name), "table_name", F.pmod(F.xxhash64("job"), F.col(own)).cast("int").alias(f"{own}_block"),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block"))
+        return rows.repartition(parts, "table_name", "_w_block", "_r_block")
+
+    parts = _parts(spark, both.count())
+    joined = side("write", "writer", "_w", "_r").join(side("read", "reader", "_r", "_w"), ["table_name", "_w_block", "_r_block"])
+    return joined.where(F.col("writer") != F.col("reader")).select("writer", "reader", "table_name")
 
 
 def table_links(access: DataFrame) -> DataFrame:

@@ -870,6 +870,17 @@ def test_reads_writes_are_grouped_in_tasks_that_do_not_grow(spark, monkeypatch):
     assert links.count("Exchange") == 2
 
 
+@pytest.mark.parametrize("size", [250_000, 7])
+def test_data_edges_of_large_tables_in_blocks(spark, monkeypatch, size):
+    """Many writers, many readers, both, repeated rows and NULL names: every block of writers meets every block of readers."""
+    monkeypatch.setattr(lineage, "TASK_ROWS", size)
+    rows = [(f"w{i}", "write", t) for i in range(20) for t in ("many", "written", "only")] + [(f"r{i}", "read", t) for i in range(30) for t in ("many", "read", "none")]
+    rows += [("w0", "read", "many"), ("one", "read", "written"), ("one", "write", "read"), ("w1", "write", "many"), ("w1", "write", None), ("r1", "read", None), (None, "read", "many")]
+    access = spark.createDataFrame(rows, "job string, access string, table_name string")
+    want = Counter((w, r, t) for w, a, t in rows for r, b, u in rows if a == "write" and b == "read" and t == u and t and w and r and w != r)
+    assert rows_of(lineage.data_edges(access)) == want
+
+
 def test_table_links_count_pairs_without_making_them(spark):
     jobs = spark.range(10_000)
     hot = jobs.select(F.concat(F.lit("w"), "id").alias("job"), F.lit("write").alias("access"), F.lit("hot").alias("table_name"))

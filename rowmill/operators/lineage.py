@@ -122,7 +122,7 @@ def needed_jobs(access: DataFrame, roots: DataFrame, column: str = "job") -> Dat
     """
     spark = access.sparkSession
     with StoredBy(spark) as store:
-        both = materialize(access.select("access", "job", "table_name").distinct(), "access")
+        both = materialize(access.select("access", "job", "table_name"), "access")
         reads = store.write(both.where("access = 'read'").select("job", "table_name"), "job", "reads")
         writes = store.write(both.where("access = 'write'").select("table_name", "job"), "table_name", "writes")
         name, number = f"rowmill_needed_{uuid.uuid4().hex}", 0

@@ -881,6 +881,15 @@ def test_data_edges_of_large_tables_in_blocks(spark, monkeypatch, size):
     assert rows_of(lineage.data_edges(access)) == want
 
 
+def test_large_tables_are_stored_in_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(session, "BUCKET_ROWS", 10)
+    with session.StoredBy(spark) as store:
+        stored = store.write(spark.range(95).select((F.col("id") % 50).alias("k"), "id"), "k", "b")
+        described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {store.names[0]}").collect()}
+        assert described["Num Buckets"] == "10"
+        assert rows_of(stored.matched(spark.range(3).toDF("k"))) == Counter((i % 50, i) for i in range(95) if i % 50 < 3)
+
+
 def test_table_links_count_pairs_without_making_them(spark):
     jobs = spark.range(10_000)
     hot = jobs.select(F.concat(F.lit("w"), "id").alias("job"), F.lit("write").alias("access"), F.lit("hot").alias("table_name"))

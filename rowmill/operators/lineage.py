@@ -157,8 +157,10 @@ def _with(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
     return [materialize(_union(parts), "rounds")] if len(parts) > _MAX_PARTS else parts
 
 
-def classify_jobs(access: DataFrame, jobs: DataFrame, connected: DataFrame) -> DataFrame:
-    """``(job, status)``: ``connected``, ``data_dependent`` or ``dead``."""
+def classify_jobs(access: DataFrame, jobs: DataFrame | None, connected: DataFrame) -> DataFrame:
+    """``(job, status)``: ``connected``, ``data_dependent`` or ``dead``; of the jobs in ``access`` when ``jobs`` is None."""
+    access = materialize(access.select("access", "job", "table_name"), "access")
+    jobs = access if jobs is None else jobs
     needed = needed_jobs(access, connected).select(F.col("job").alias("_needed"))
     roots = connected.select(F.col("job").alias("_root")).distinct()
     flagged = (

@@ -108,8 +108,7 @@ def l04(t):
         FROM access a LEFT JOIN connected c USING (job) LEFT JOIN needed n USING (job)""",
 )
 def l04_dead(t):
-    access = lineage.job_reads_writes(_components(t))
-    return lineage.classify_jobs(access, access, _connected(t))
+    return lineage.classify_jobs(lineage.job_reads_writes(_components(t)), None, _connected(t))
 
 
 def _tree(t):

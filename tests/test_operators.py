@@ -881,6 +881,18 @@ def test_data_edges_of_large_tables_in_blocks(spark, monkeypatch, size):
     assert rows_of(lineage.data_edges(access)) == want
 
 
+def test_dead_jobs_read_the_components_once(spark, monkeypatch):
+    stored = []
+    real = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, label: stored.append(df) or real(df, label))
+    rows = [("a", "write", "t"), ("b", "read", "t"), ("c", "write", "u"), ("a", "write", "t")]
+    access = spark.createDataFrame(rows, "job string, access string, table_name string")
+    access = access.withColumn("job", F.concat("job", F.lit("_")))
+    got = lineage.classify_jobs(access, None, spark.createDataFrame([("b_",)], "job string"))
+    assert rows_of(got) == Counter([("a_", "data_dependent"), ("b_", "connected"), ("c_", "dead")])
+    assert "concat" not in got._jdf.queryExecution().optimizedPlan().toString().lower() and len(stored) == 2
+
+
 def test_large_tables_are_stored_in_more_buckets(spark, monkeypatch):
     monkeypatch.setattr(session, "BUCKET_ROWS", 10)
     with session.StoredBy(spark) as store:

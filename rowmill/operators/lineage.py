@@ -231,14 +231,15 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = materialize(ends.groupBy("node").agg(F.sum("i").alias("deg"), F.min("up").alias("up")), "degrees")
     chains = materialize(_chains(degree.where("deg = 1").select("node", "up")), "chains")
     several = links.join(degree.where("deg > 1").select(F.col("node").alias("dst"), "deg"), "dst")
-    # An edge behind an unmeasured line has no anchor: it is lost here, and its target's counter never fills.
-    one = F.col("deg") == 1
-    info = degree.join(chains, "node", "left").select(
-        F.col("node").alias("src"), F.when(one, F.col("anchor")).otherwise(F.col("node")).alias("_from"), F.coalesce("dist", F.lit(0)).alias("_dist"))
-    placed = several.join(info, "src").where(F.col("_from").isNotNull()).select(F.col("_from").alias("node"), "dst", "deg", "_dist")
-    weighted = materialize(placed.groupBy("node", "dst", "deg").agg(F.count("*").alias("n"), (F.max("_dist") + 1).cast("long").alias("w")), "weighted")
+    # An edge behind an unmeasured line has no anchor: it is lost here, and its target's counter never fills. Other nodes than
+    # those on lines are their own anchors and need no lookup. Edges from one node to another, directly and behind lines, are
+    # not put together here: the counters do that.
+    lines = degree.where("deg = 1").join(chains, "node", "left").select(
+        F.col("node").alias("src"), F.lit(True).alias("_line"), F.col("anchor").alias("_anchor"), F.col("dist").alias("_dist"))
+    placed = several.join(lines, "src", "left").where(F.col("_line").isNull() | F.col("_anchor").isNotNull()).select(
+        F.coalesce("_anchor", "src").alias("node"), "dst", "deg", F.lit(1).cast("long").alias("n"), (F.coalesce("_dist", F.lit(0)) + 1).cast("long").alias("w"))
     with StoredBy(spark) as store:
-        stored = store.write(weighted, "node", "links")
+        stored = store.write(materialize(placed, "weighted"), "node", "links")
         ready = degree.where("deg = 0").select("node", F.lit(0).cast("long").alias("level"))
         done, waiting = [ready], None
         while True:

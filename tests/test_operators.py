@@ -870,6 +870,18 @@ def test_reads_writes_are_grouped_in_tasks_that_do_not_grow(spark, monkeypatch):
     assert links.count("Exchange") == 2
 
 
+def test_a_round_does_not_sort_the_stored_rows(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session.StoredBy(spark) as store:
+            stored = store.write(spark.range(95).select((F.col("id") % 50).alias("k"), "id"), "k", "b")
+            plan = stored.matched(spark.range(3).toDF("k"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMergeJoin", "") and plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("size", [250_000, 7])
 def test_data_edges_of_large_tables_in_blocks(spark, monkeypatch, size):
     """Many writers, many readers, both, repeated rows and NULL names: every block of writers meets every block of readers."""

@@ -103,7 +103,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     placed = prints.select("_fp", F.explode(near_points(grid_point(F.col("_fp")))).alias("_at"))
     sizes = placed.groupBy(F.col("_at").alias("_met")).count().where(F.col("count") > 1)
-    met = placed.join(sizes, F.col("_at") == F.col("_met")).select("_fp", "_at", "count")
+    # Up to 33 cells per fingerprint, which the size estimate of the exploded side does not see: no broadcast.
+    met = placed.join(sizes.hint("merge"), F.col("_at") == F.col("_met")).select("_fp", "_at", "count")
     met = materialize(met, "cells")
     groups = met.where(F.col("count") <= crowd).groupBy("_at").agg(F.sort_array(F.collect_list("_fp")).alias("fps"))
     first = groups.select("fps", F.posexplode("fps").alias("_i", "a"))

@@ -8,8 +8,9 @@ from test_quality import brute as quality_brute
 from test_simhash import brute_print, groups
 
 import corpus_pipeline
-from rowmill.llm import toxicity
+from rowmill.llm import simhash, toxicity
 from rowmill.llm.queries import tokenizer_path
+from rowmill.session import materialize
 
 BAD = ["vermin", "filth", "rotten"]
 
@@ -80,6 +81,19 @@ def packed(kept, pieces):
         assert at == len(ids)
 
 
+def test_cells_of_the_corpus_are_not_broadcast(llm, corpus, monkeypatch):
+    _, folder = corpus
+    plans = {}
+
+    def planned(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", planned)
+    corpus_pipeline.drop_near_duplicates(llm, llm.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert "SortMergeJoin" in plans["cells"] and "BroadcastHashJoin" not in plans["cells"]
+
+
 def test_run_writes_every_stage(llm, corpus):
     _, folder = corpus
     out = corpus_pipeline.run(llm, folder)

@@ -130,4 +130,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", crow
     grouped = least.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
     roots = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
     by_print = grouped.select("_fp", "root").join(roots, "root").select("_fp", "component_id")
-    return rows.join(by_print, "_fp").select(key, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id")
+    # Stored rows have a smaller size in files than in memory, and both sides grow with the documents: no broadcast.
+    return rows.join(by_print.hint("merge"), "_fp").select(key, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id")

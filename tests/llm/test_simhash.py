@@ -6,6 +6,7 @@ import xxhash
 
 from rowmill.llm import simhash
 from rowmill.llm.components import components
+from rowmill.session import materialize
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -74,6 +75,22 @@ def test_near_duplicates_agree_with_all_pairs(llm, vocabulary, odd_texts):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
+def test_document_tables_are_not_broadcast(llm, monkeypatch):
+    plans = {}
+
+    def planned(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", planned)
+    out = simhash.near_duplicates(llm.createDataFrame([(1, "a b"), (2, "a b"), (None, None)], "doc_id bigint, text string"))
+    # Files of three rows are far below the limit of a broadcast.
+    assert "SortMergeJoin" in plans["cells"] and "BroadcastHashJoin" not in plans["cells"]
+    last = next(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert "SortMergeJoin" in last
+    assert sorted((r.doc_id or 0, r.component_id) for r in out.collect()) == [(0, None), (1, 1), (2, 1)]
+
+
 def test_links_connect_all_near_fingerprints(llm):
     rng = random.Random(6)
     centre = rng.getrandbits(64)

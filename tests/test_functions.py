@@ -142,6 +142,17 @@ def test_small_that_does_not_fit(spark, tmp_path):
     assert {tuple(r) for r in got} == {(1, 7, 7), (2, 40_000, None), (3, None, None)}
 
 
+def test_conversions_stop_at_a_number_that_does_not_fit(spark, tmp_path):
+    rows = [(1, 7, "view", 1.0), (2, 32_767, "click", 2.5), (3, None, "click", None)]
+    for name, more in (("fits", []), ("over", [(4, 32_768, "click", 2.5)])):
+        table = spark.createDataFrame(rows + more, "event_id bigint, user_id bigint, event_type string, value double")
+        table.write.parquet(f"{tmp_path}/{name}/events.parquet")
+    got = QUERIES["f109_f114_conversions"](spark, f"{tmp_path}/fits").select("event_id", "i", "sm").collect()
+    assert {tuple(r) for r in got} == {(1, 7, 7), (2, 32_767, 32_767), (3, None, None)}
+    with pytest.raises(PySparkException, match="CAST_OVERFLOW"):
+        QUERIES["f109_f114_conversions"](spark, f"{tmp_path}/over").collect()
+
+
 def test_numbers(spark):
     assert one(spark, -7, "int", n.modulo("x", 3)) == -1
     assert one(spark, 2.5, "double", n.rounded("x")) == 3.0
